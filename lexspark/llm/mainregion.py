@@ -105,12 +105,17 @@ class Page:
             self.items.append((feature, 0, None, name not in INLINE, bool(open_aside)))
         self.marked += [(s, len(self.items)) for s in open_content]
 
-    def best(self, weights: dict[str, float]) -> tuple[int, int]:
-        """Bounds of the contiguous items with the largest sum; empty when no word is there."""
+    def best(self, weights: dict[str, float], gold: tuple[int, int] | None = None) -> tuple[int, int]:
+        """Bounds of the contiguous items with the largest sum; empty when no word is there.
+
+        With ``gold``, items within it are handicapped by MARGIN and others favoured by it: training for a margin.
+        """
         top = total = 0.0
         start = first = last = 0
         for i, (feature, n, _, _, _) in enumerate(self.items):
             total += n * weights.get(feature, WORD) if feature[0] != "<" else weights.get(feature, TAG)
+            if gold:
+                total += -MARGIN if gold[0] <= i < gold[1] else MARGIN
             if total <= 0:
                 total, start = 0.0, i + 1
             elif total > top:
@@ -138,7 +143,7 @@ class Page:
 
 #: Where training starts, and the weight of what training pages never showed.
 WORD, TAG = 1.0, -1.0
-LEAST_WORD, MOST_TAG = 0.02, -0.01
+LEAST_WORD, MOST_TAG, MARGIN = 0.02, -0.01, 0.25
 
 #: Labelled layouts without <article>, so that weights for them exist: region between the two marks.
 EXAMPLES = [
@@ -178,7 +183,7 @@ def fit(labelled: list[tuple[Page, tuple[int, int]]], epochs: int = EPOCHS) -> d
     totals: dict[str, float] = defaultdict(float)
     for _ in range(epochs):
         for page, gold in labelled:
-            guess = page.best(w)
+            guess = page.best(w, gold)
             if guess != gold:
                 right, wrong = _sums(page, *gold), _sums(page, *guess)
                 size = sum(abs(right.get(f, 0) - wrong.get(f, 0)) for f in {*right, *wrong}) or 1
