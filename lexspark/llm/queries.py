@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jpeg, mainregion, packing
+from . import bpe, jpeg, mainregion, multiset, packing, pseudonyms
 from .work import table
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -18,6 +18,10 @@ def _public(name: str) -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+def op2_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.neighbour_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), *_public(RANKS))
 
@@ -30,14 +34,20 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), *_public(TOKENIZER))
 
 
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainregion.extract(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_multiset_hash": op2_multiset_hash,
     "op3_bpe": op3_bpe,
     "op6_jpeg": op6_jpeg,
     "op7_packing": op7_packing,
+    "op9_pseudonyms": op9_pseudonyms,
     "op10_main_text": op10_main_text,
 }
 
