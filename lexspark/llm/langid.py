@@ -149,8 +149,8 @@ def train(docs: DataFrame, bound: int = SAMPLE) -> Model:
     return fit(raw, [lang for lang, _ in rows])
 
 
-def predictions(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` with ``found``: struct of lang_pred, score and rejected."""
+def predictions(docs: DataFrame, model: Model, name: str = "found") -> DataFrame:
+    """All columns of ``docs`` with ``name``: struct of lang_pred, score and rejected."""
     handle = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
@@ -159,7 +159,7 @@ def predictions(docs: DataFrame, model: Model) -> DataFrame:
 
         return pd.DataFrame(handle.value.predict(list(texts)), columns=["lang_pred", "score", "rejected"])
 
-    return docs.withColumn("found", predict(F.col("text").cast("string")))
+    return docs.withColumn(name, predict(F.col("text").cast("string")))
 
 
 def identify(docs: DataFrame) -> DataFrame:

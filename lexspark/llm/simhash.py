@@ -180,3 +180,102 @@ def classes(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
     least = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
     named = of_class.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Near copies by similarity: rows of least-hash samples in a key, keys of a document, and the bound on differing bits.
+#: At a similarity of 0.8 a document misses all keys of its copy with probability (1 - 0.8**5)**16 = 0.002.
+KEY_ROWS, KEYS, SIMILAR_BITS = 5, 16, 26
+
+
+def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    draw = lambda what: np.array([xxhash.xxh64_intdigest(f"{what} {i}") for i in range(n)], np.uint64)
+    return draw("times") | np.uint64(1), draw("plus")
+
+
+def least_hash_keys(unique: np.ndarray, times: np.ndarray, plus: np.ndarray) -> list[int]:
+    """KEYS keys, each of KEY_ROWS least values of independent orders of the run hashes."""
+    least = np.full(len(times), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(unique), 8192):
+        part = unique[at : at + 8192]
+        least = np.minimum(least, (part[None, :] * times[:, None] + plus[:, None]).min(axis=1))
+    return [signed(xxhash.xxh64_intdigest(least[i : i + KEY_ROWS].tobytes(), i)) for i in range(0, len(least), KEY_ROWS)]
+
+
+def described(docs: DataFrame, size: int) -> DataFrame:
+    """For each document: content key of its run set, fingerprint, bucket keys and the set (sorted 32-bit run hashes)."""
+
+    def run(batches):
+        times, plus = _multipliers(KEYS * KEY_ROWS)
+        for batch in batches:
+            key, fp, keys, sets = [], [], [], []
+            for text in batch.column(1):
+                hashes = run_hashes(words_of(text.as_py()), size)
+                unique = np.unique(hashes)
+                key.append(signed(xxhash.xxh64_intdigest(unique.tobytes())))
+                fp.append(signed(fingerprint(hashes)))
+                keys.append(least_hash_keys(unique, times, plus))
+                sets.append(np.unique((unique >> np.uint64(32)).astype("<u4")).tobytes())
+            arrays = [batch.column(0), pa.array(key, pa.int64()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "fp", "keys", "runs"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key long, fp long, keys array<long>, runs binary")
+
+
+def similar(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sorted run sets; two empty sets are alike."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    if not len(x) and not len(y):
+        return 1.0
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
+def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, key (of the run set) and component_id for every document, linking run sets of ``similarity`` or more.
+
+    Equal sets share a key and cost one row.  In a bucket each member is tried with two leaders, drawn anew in
+    each of the KEYS buckets it is in, so that candidates grow with the members and not with their pairs.
+    """
+    rows = written(described(docs, size), "described")
+    distinct = rows.groupBy("key").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min("doc_id").alias("least"))
+    members = written(distinct, "members")
+    inside = members.select("key", "fp", F.posexplode("keys").alias("number", "bucket"))
+    draw = F.struct(F.xxhash64("key", "number").alias("draw"), "key", "fp")
+    leaders = inside.groupBy("number", "bucket").agg(F.min(draw).alias("first"), F.max(draw).alias("last")).where(F.col("first.key") != F.col("last.key"))
+    leaders = leaders.select("number", "bucket", F.explode(F.array("first", "last")).alias("leader"))
+    tried = inside.join(leaders, ["number", "bucket"]).where(F.col("key") != F.col("leader.key"))
+    # the triangle inequality on the pivot table discards first, then the distance itself
+    apart = lambda p: F.abs(F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))) - F.bit_count(F.col("leader.fp").bitwiseXOR(F.lit(p))))
+    worst = F.greatest(*[apart(signed(int(p))) for p in pivots()])
+    tried = tried.where((worst <= SIMILAR_BITS) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("leader.fp"))) <= SIMILAR_BITS))
+    pairs = written(tried.select(F.least("key", "leader.key").alias("a"), F.greatest("key", "leader.key").alias("b")).distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    sets = written(rows.select("key", "runs").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("runs").alias("runs")), "sets")
+    both = pairs.join(sets.toDF("a", "runs_a"), "a").join(sets.toDF("b", "runs_b"), "b")
+
+    def verify(batches):
+        for batch in batches:
+            ok = [similar(x.as_py(), y.as_py()) >= similarity for x, y in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    verified = both.select("a", "b", "runs_a", "runs_b").mapInArrow(verify, "a long, b long")
+    roots = components(verified)
+    of_class = members.select("key", "least").join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    least = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = of_class.join(least, "root").select("key", "component_id")
+    return rows.select("doc_id", "key").join(named, "key")
+
+
+def deduplicated(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the least of its class, repeated rows once.
+
+    A class whose doc_ids are all null keeps one of its rows.
+    """
+    classed = written(near_copies(docs, size, similarity), "classed")
+    kept = classed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__rows"))
+    columns = [F.col(f"d.{c}") for c in docs.columns]
+    joined = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")))
+    once = joined.where(F.col("k.__rows") == 1).select(*columns)
+    repeated = joined.where(F.col("k.__rows") > 1).select(*columns).dropDuplicates(["doc_id"])
+    return once.unionByName(repeated)

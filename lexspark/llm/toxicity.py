@@ -37,7 +37,9 @@ from .work import remainder, written
 SAMPLE = 2500
 STEM_LENGTHS = (4, 5, 6)
 #: A lexicon entry is so much commoner in toxic documents (log odds), by so clear a log-likelihood ratio.
-LEAST_LOG_ODDS, LEAST_G2 = 2.0, 40.0
+LEAST_LOG_ODDS, LEAST_G2 = 2.5, 30.0
+#: A stem stands for a family of words: surer, and in this many times the documents of its commonest entry.
+STEM_LOG_ODDS, STEM_FAMILY = 4.5, 1.5
 
 # Closed classes of the grammar, in English, German, French and Spanish.
 THREATS = frozenset("kill kills murder destroy hurt burn beat stab shoot hang töten umbringen verprügeln vernichten tuer frapper brûler détruire matar golpear quemar destruir".split())
@@ -232,8 +234,13 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     g2 = 2 * (log_ratio(F.col("a"), part) + log_ratio(F.col("b"), 1 - part))
     # an entry needs a number of documents of a bounded sample, so the lexicon is bounded too
     kept = counted.where((odds >= LEAST_LOG_ODDS) & (g2 >= LEAST_G2)).select("entry", "a", odds.alias("odds")).collect()
-    stems = {r.entry[1:]: r.odds for r in kept if r.entry[0] == "^"}
-    model = Model({r.entry: r.odds for r in kept if r.entry[0] != "^"}, stems)
+    words = {r.entry: r for r in kept if r.entry[0] != "^"}
+    member = Counter()
+    for w, r in words.items():
+        for n in STEM_LENGTHS:
+            member[w[:n]] = max(member[w[:n]], r.a)
+    stems = {r.entry[1:]: r.odds for r in kept if r.entry[0] == "^" and r.odds >= STEM_LOG_ODDS and r.a >= STEM_FAMILY * member[r.entry[1:]]}
+    model = Model({w: r.odds for w, r in words.items()}, stems)
 
     def run(batches):
         for batch in batches:
@@ -246,8 +253,8 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     return Model(model.words, model.stems, bias=float(w[3]), coef=tuple(map(float, w[:3])))
 
 
-def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` with ``score``: the text column is read by the model, nothing else."""
+def scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """All columns of ``docs`` with the score in ``name``: the text column is read by the model, nothing else."""
 
     @F.pandas_udf("double")
     def score(texts):
@@ -255,7 +262,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
         return pd.Series([probability(features(t, model), model) for t in texts], dtype=float)
 
-    return docs.withColumn("score", score(F.col("text").cast("string")))
+    return docs.withColumn(name, score(F.col("text").cast("string")))
 
 
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
