@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jpeg, langid, mainregion, multiset, packing, pseudonyms, simhash, toxicity
+from . import bpe, jpeg, katz, langid, mainregion, multiset, packing, pseudonyms, simhash, toxicity
 from .work import table
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -18,6 +18,10 @@ def _public(name: str) -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op2_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.neighbour_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_katz": op1_katz,
     "op2_multiset_hash": op2_multiset_hash,
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
