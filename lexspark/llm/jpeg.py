@@ -247,7 +247,7 @@ def decode_coefficients(images: list[Image]) -> list[np.ndarray]:
         data = np.concatenate([x for i in members for x in (images[i].data, pad)])
         sizes = [len(images[i].data) + len(pad) for i in members]
         offsets = np.r_[0, np.cumsum(sizes)[:-1]]
-        units, bit, place, first = [], [], [], 0
+        units, bit, stop, place, first = [], [], [], [], 0
         for i, offset in zip(members, offsets):
             img = images[i]
             total = img.mcus[0] * img.mcus[1]
@@ -257,10 +257,14 @@ def decode_coefficients(images: list[Image]) -> list[np.ndarray]:
                 raise ValueError("the scan ends early")
             units.append(np.minimum(each, total - each * np.arange(n)))
             bit.append((img.starts[:n] + offset) * 8)
+            stop.append((np.r_[img.starts[1:], len(img.data)][:n] + offset) * 8)
             place.append(first + each * np.arange(n))
             first += total
         coefficients = np.zeros((first, len(blocks), 64), np.int16)
-        _lockstep(data, np.concatenate(bit), np.concatenate(units), np.concatenate(place), blocks, tables, coefficients)
+        bit = np.concatenate(bit)
+        _lockstep(data, bit, np.concatenate(units), np.concatenate(place), blocks, tables, coefficients)
+        if (bit > np.concatenate(stop)).any():
+            raise ValueError("the scan ends early")
         at = 0
         for i in members:
             n = images[i].mcus[0] * images[i].mcus[1]

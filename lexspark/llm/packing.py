@@ -3,7 +3,7 @@
 A bin holds ``capacity`` tokens.  Class k takes the lengths in (capacity/(k+1), capacity/k], and a bin of
 class k takes exactly k pieces, whatever their lengths, so every worker fills its own bins with one counter
 per class and never looks at another's.  Documents may be cut, so each is cut into full bins and then,
-greedily, into pieces of the largest length of some class k < 16, which fill their bins to within k-1
+greedily, into pieces of the largest length of some class k <= 16, which fill their bins to within k-1
 tokens; the tail that is left (under capacity/16 tokens) goes to its class k >= 16, whose bins waste at most
 one part in 17.
 
@@ -31,7 +31,7 @@ from .bpe import ByteBPE
 from .work import written
 
 CAPACITY = 1024
-#: Pieces of class k below this are cut to the class's largest length.
+#: Pieces of class k up to this are cut to the class's largest length.
 CUT_CLASSES = 16
 #: Workers whose remainders are packed together.
 GROUP = 64
@@ -48,7 +48,7 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
     while rest:
         k = -(-capacity // rest)  # the smallest k whose largest length is at most rest
         k += capacity // k > rest
-        piece = capacity // k if k < CUT_CLASSES else rest
+        piece = capacity // k if k <= CUT_CLASSES else rest
         out.append(piece)
         rest -= piece
     return out
