@@ -31,6 +31,7 @@ FILES = [
     ("n/nolang.txt", "broken word\nbrocn (adj)\nhttp://x.y/z"),
     ("t/trailing.txt", "trailing [ME] \ntrâling (v)"),
     ("u/unknown.txt", "foo [ME]\nfou, fous (mn)"),
+    ("t/tiger.txt", "tiger [ME]\nti\u0302gre ti\u0302gars (m n)"),
     ("m/mixed.txt", "mixed [ME] (adj)\nmixt (adj)"),
 ]
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.reference import CATEGORY
 from ..functions.text import nfc, trim_blanks
-from .stanzas import tags
+from .stanzas import CONJ, tags
 
 
 def cleaned_english(c: Column) -> Column:
@@ -23,10 +23,18 @@ def cleaned_reformed(c: Column) -> Column:
     return nfc(F.regexp_replace(F.regexp_replace(c, r"[.,!?()\[\]{}]", ""), r"^\s+|\s+$", ""))
 
 
+def composed(conj: Column) -> Column:
+    """Conjugations with every form composed; the English side of explicit pairs is a key and stays as it is."""
+    done = F.from_json(nfc(F.to_json(conj)), CONJ)
+    pairs = F.transform(F.arrays_zip(conj["explicit"].alias("a"), done["explicit"].alias("b")), lambda z: F.struct(z["a"]["eng"].alias("eng"), z["b"]["ing"].alias("ing")))
+    return F.when(conj.isNotNull(), done.withField("explicit", pairs))
+
+
 def validated(records: DataFrame) -> DataFrame:
     """Records with eng, ing, categories and ``reason`` (null: kept)."""
     table = F.create_map(*[F.lit(x) for kv in CATEGORY.items() for x in kv])
     rows = records.withColumn("eng", cleaned_english(F.col("me_word"))).withColumn("ing", cleaned_reformed(F.col("inglisce_word")))
+    rows = rows.withColumn("conjugations", composed(F.col("conjugations")))
     known = F.filter(F.transform(tags(F.lower("pos")), lambda t: F.try_element_at(table, t)), lambda c: c.isNotNull())
     rows = rows.withColumn("categories", known)
     blank = lambda c: c.isNull() | (F.trim(c) == "")

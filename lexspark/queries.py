@@ -330,7 +330,7 @@ BRAIN_SQL = rf"""{PARSED_SQL}, v AS (SELECT *, nfc_normalize(lower(coalesce(stri
 w AS (SELECT *, CASE WHEN trim(me_word) = '' OR trim(inglisce_word) = '' THEN 'no word' WHEN eng = '' THEN 'no English word' WHEN len(cats) = 0 THEN 'no known part of speech' END AS reason FROM v),
 ec AS (SELECT file, stanza_idx, eng, ing, conj_kind, plural, third_singular, explicit, generate_subscripts(cats, 1) - 1 AS cat_idx, unnest(cats) AS category FROM w WHERE reason IS NULL),
 ex AS (SELECT file, stanza_idx, cat_idx, category, generate_subscripts(explicit, 1) - 1 AS p, unnest(explicit) AS pr FROM ec WHERE explicit IS NOT NULL),
-mp AS (SELECT file, stanza_idx, cat_idx, 0 AS kind, 0 AS sub, eng, category, ing AS form, CASE WHEN conj_kind <> 'empty' THEN conj_kind || ':' || coalesce(plural, '') || ':' || coalesce(third_singular, '') END AS conj FROM ec
+mp AS (SELECT file, stanza_idx, cat_idx, 0 AS kind, 0 AS sub, eng, category, ing AS form, CASE WHEN conj_kind <> 'empty' THEN conj_kind || ':' || coalesce(nfc_normalize(plural), '') || ':' || coalesce(third_singular, '') END AS conj FROM ec
  UNION ALL SELECT file, stanza_idx, cat_idx, 1, p * 2, lower(pr.eng), 'Verb', nfc_normalize(pr.ing), NULL FROM ex WHERE coalesce(pr.eng, '') <> '' AND coalesce(pr.ing, '') <> ''
  UNION ALL SELECT file, stanza_idx, cat_idx, 1, p * 2 + 1, lower(pr.eng), category, nfc_normalize(pr.ing), NULL FROM ex WHERE category <> 'Verb' AND coalesce(pr.eng, '') <> '' AND coalesce(pr.ing, '') <> ''
  UNION ALL SELECT file, stanza_idx, cat_idx, 2, q, 'cannot', c, coalesce(nullif(list_filter(coalesce(explicit, []), lambda x: x.eng = 'can''t')[1].ing, ''), ing), NULL FROM ec, (VALUES (0, 'Modal'), (1, 'Verb')) AS k(q, c) WHERE category = 'Modal' AND eng = 'can'),

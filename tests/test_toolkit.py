@@ -104,6 +104,8 @@ def test_compiler(spark, parsed, files):
     assert compiled["cannot", "Modal"].form == "cânt" and ("cannot", "Verb") in compiled
     assert compiled["would", "Verb"].form == "oûd"
     assert ("a", "Determiner") not in compiled
+    tiger = compiled["tiger", "Noun"]
+    assert tiger.form == "tîgre" and tiger.conj.conjugations.plural == "tîgars"
     rows = [(1, "x", "Noun", "one", "first"), (2, "x", "Noun", "two", None), (3, "x", "Verb", "v", None)]
     got = {r.category: r for r in brain.merged(spark.createDataFrame(rows, "ord int, eng string, category string, form string, conj string")).collect()}
     assert (got["Noun"].form, got["Noun"].conj, got["Noun"].cat_ord) == ("two", "first", 1)
