@@ -33,6 +33,8 @@ LANE = 0xFFFF_FFFF
 RANGE_CHARS = 8_000_000
 #: Quantiles of doc_id that the driver holds at most.
 SEGMENTS = 256
+#: Ranges up to which one small row of each is broadcast.
+MOST_BROADCAST = 100_000
 
 
 def paragraphs(text: Column) -> Column:
@@ -104,8 +106,8 @@ def hexed(strong: Column) -> Column:
     return F.array_join(F.transform(strong, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
 
 
-def ranges(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with ``bucket``: consecutive ranges of doc_id of about RANGE_CHARS characters.
+def ranges(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``docs`` (doc_id, text) with ``bucket``: consecutive ranges of doc_id of about RANGE_CHARS characters; and their number.
 
     Up to SEGMENTS approximate quantiles of doc_id come to the driver; a segment between two of them is divided
     evenly where more ranges are needed, so their number may grow with the table.
@@ -113,7 +115,7 @@ def ranges(docs: DataFrame) -> DataFrame:
     n, chars, low = docs.agg(F.count("*"), F.sum(F.length("text")), F.min("doc_id")).first()
     wanted = max(1, min(n, -(-(chars or 0) // RANGE_CHARS)))
     if wanted == 1 or low is None:
-        return docs.withColumn("bucket", F.lit(0).cast("long"))
+        return docs.withColumn("bucket", F.lit(0).cast("long")), 1
     segments = min(wanted, SEGMENTS)
     parts = -(-wanted // segments)
     quantiles = docs.agg(F.percentile_approx("doc_id", [i / segments for i in range(1, segments + 1)], 100 * segments)).first()[0]
@@ -132,7 +134,7 @@ def ranges(docs: DataFrame) -> DataFrame:
     share = (F.col("doc_id") - at(bottoms)) / (at(tops) - at(bottoms)) if parts > 1 else F.lit(0.0)
     part = F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.ceil(share * parts) - 1))
     bucket = F.when(F.col("doc_id").isNotNull(), F.col("segment") * parts + part)
-    return rows.withColumn("bucket", F.coalesce(bucket, F.lit(-1)).cast("long")).drop("segment")
+    return rows.withColumn("bucket", F.coalesce(bucket, F.lit(-1)).cast("long")).drop("segment"), len(tops) * parts + 1
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -141,8 +143,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     The first row of the range below each range is added to it as a guest, so that a window within the range
     finds every neighbour.  Only the numbers of the ranges are ordered as a whole.
     """
-    rows = ranges(docs).withColumn("guest", F.lit(False))
-    tops = rows.groupBy(F.col("bucket").alias("of")).agg(F.max("doc_id").alias("top"))  # one row a range
+    rows, n = ranges(docs)
+    rows = rows.withColumn("guest", F.lit(False))
+    tops = rows.groupBy(F.col("bucket").alias("of")).agg(F.max("doc_id").alias("top"))
+    if n <= MOST_BROADCAST:  # one row a range at most; else their texts are found by a shuffle
+        tops = F.broadcast(tops)
     highest = rows.join(tops, (F.col("bucket") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("top")))
     heads = highest.groupBy("bucket", "doc_id").agg(F.max("text").alias("text"))
     above = F.lag("bucket").over(Window.partitionBy(F.lit(0)).orderBy(F.col("bucket").desc()))
