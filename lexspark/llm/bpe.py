@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 #: Distinct pre-tokens a worker remembers before it starts afresh: bounds its memory, not what is encoded.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 #: Pre-tokens longer than this many bytes are not remembered.
 CACHE_BYTES = 64
 
