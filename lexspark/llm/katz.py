@@ -13,7 +13,7 @@ against the bucketed table, so texts are never shuffled.  Asking sends each n-gr
 counted.  A context that alone would fill a bucket is dealt over several by its next word, and their sums are
 added.  Probabilities are evaluated recursively for each token from the answers of all orders.
 
-Words and contexts are named by 64-bit hashes.  The training rows are those whose crc32(doc_id as text) mod 7
+Words are told apart by 64-bit hashes, then numbered; contexts of several words are named by 64-bit hashes.  The training rows are those whose crc32(doc_id as text) mod 7
 isn't 2; all rows are scored.
 
 Cases: null text is empty and scores its end token; a null doc_id counts as the empty text and is kept; repeated
@@ -40,10 +40,11 @@ from .work import remainder, written
 
 #: Counts up to this are discounted; tokens of a block and of a bucket, about.
 TOP = 5
-BLOCK_TOKENS = 1_500_000
-BUCKET_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
+BUCKET_TOKENS = 1_200_000
 
-END, START = (xxhash.xxh64_intdigest(x) for x in (b"\n end", b"\n start"))
+END = xxhash.xxh64_intdigest(b"\n end")  # no word holds a line break
+START = 0  # words are numbered from 1
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -71,7 +72,7 @@ def mixed(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
 
 # -- blocks ------------------------------------------------------------------------------------------------
 
-BLOCK = "block long, starts long, doc_ids array<long>, train binary, lengths binary, tokens binary, words binary"
+BLOCK = "block long, starts long, size long, doc_ids array<long>, train binary, lengths binary, tokens binary, words binary"
 
 
 def make_blocks(batches):
@@ -80,8 +81,8 @@ def make_blocks(batches):
 
     def block():
         words = np.fromiter((END if w is None else xxhash.xxh64_intdigest(w) for w in vocabulary), np.uint64, len(vocabulary))
-        row = [[part << 24 | made], [sum(train)], [ids], [np.array(train, bool).tobytes()], [np.array(lengths, "<u4").tobytes()], [np.array(tokens, "<u4").tobytes()], [words.tobytes()]]
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
+        row = [[part << 24 | made], [sum(train)], [len(tokens)], [ids], [np.array(train, bool).tobytes()], [np.array(lengths, "<u4").tobytes()], [packed(np.array(tokens, "<u4"))], [words.tobytes()]]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=[c.split()[0] for c in BLOCK.split(", ")])
 
     for batch in batches:
@@ -106,20 +107,20 @@ class Block:
         self.number, self.doc_ids = row["block"], row["doc_ids"]
         self.train = np.frombuffer(row["train"], bool)
         self.lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
-        self.tokens = np.frombuffer(row["tokens"], "<u4").astype(np.int64)
+        self.tokens = unpacked(row["tokens"], np.uint32).astype(np.int32)
         self.words = np.frombuffer(row["words"], np.uint64)
-        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
         self.learn = self.train[self.doc]
-        self.first = np.r_[0, np.cumsum(self.lengths)[:-1]]
-        self.position = np.arange(len(self.tokens)) - self.first[self.doc]
+        first = np.r_[0, np.cumsum(self.lengths)[:-1]].astype(np.int32)
+        self.position = np.arange(len(self.tokens), dtype=np.int32) - first[self.doc]
+        self.names = self.words  # the numbers of the words, once they are known
 
     def contexts(self, order: int) -> np.ndarray:
-        """Hash of the order-1 tokens before each token, the start filling up."""
-        word = self.words[self.tokens]
-        out = np.full(len(word), order, np.uint64)
-        for back in range(order - 1, 0, -1):
+        """Name of the order-1 tokens before each token, the start filling up: a word's number, a hash of several."""
+        word, out = self.names[self.tokens], None
+        for back in range(1, order):
             before = np.where(self.position >= back, np.roll(word, back), np.uint64(START))
-            out = mixed(out, before)
+            out = before if out is None else mixed(out, before)
         return out
 
     def before(self, counts: np.ndarray, starts: int) -> np.ndarray:
@@ -152,7 +153,8 @@ def counts_of_counts(c: np.ndarray) -> list[float]:
     return [float((c == r).sum()) for r in range(1, TOP + 2)]
 
 
-def count_words(table: pa.Table) -> pa.Table:
+def count_words(table: pa.Table, buckets: int) -> pa.Table:
+    """Adds up a bucket and answers with counts and numbers: short names for the orders to come."""
     rows = table.to_pylist()
     words = [np.frombuffer(r["words"], np.uint64) for r in rows]
     counts = np.concatenate([unpacked(r["counts"], np.uint32) for r in rows]).astype(np.int64)
@@ -160,7 +162,8 @@ def count_words(table: pa.Table) -> pa.Table:
     total = np.bincount(inverse, weights=counts, minlength=len(unique)).astype(np.uint64)
     out, at = [], 0
     for r, w in zip(rows, words):
-        out.append({"block": r["block"], "bucket": r["bucket"], "counts": packed(total[inverse[at : at + len(w)]])})
+        mine = inverse[at : at + len(w)]
+        out.append({"block": r["block"], "bucket": r["bucket"], "counts": packed(total[mine]), "sums": packed((mine * buckets + r["bucket"] + 1).astype(np.uint64))})
         at += len(w)
     out.append({"block": -1, "bucket": rows[0]["bucket"], "stats": [float(total.sum()), float((total > 0).sum()), *counts_of_counts(total)]})
     return pa.Table.from_pylist(out, schema=ANSWER)
@@ -212,15 +215,15 @@ class Unigrams:
 
 # -- higher orders -----------------------------------------------------------------------------------------
 
-ASK = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("contexts", pa.binary()), ("shared", pa.binary()), ("runs", pa.binary()), ("words", pa.binary()), ("counts", pa.binary()), ("lower", pa.binary())])
-ASK_SQL = "block long, bucket int, contexts binary, shared binary, runs binary, words binary, counts binary, lower binary"
+ASK = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("contexts", pa.binary()), ("shared", pa.binary()), ("runs", pa.binary()), ("words", pa.binary()), ("counts", pa.binary()), ("lower", pa.binary()), ("values", pa.binary())])
+ASK_SQL = "block long, bucket int, contexts binary, shared binary, runs binary, words binary, counts binary, lower binary, values binary"
 
 
 class Grams:
     """The distinct n-grams of a block, in the order it asks: by bucket, context, word."""
 
     def __init__(self, b: Block, order: int, common: np.ndarray, buckets: int, heavy: float):
-        contexts, words = b.contexts(order), b.words[b.tokens]
+        contexts, words = b.contexts(order), b.names[b.tokens]
         _, first, inverse = np.unique(mixed(contexts, words), return_index=True, return_inverse=True)
         c, w = contexts[first], words[first]
         # a context with over a bucket's worth of tokens is dealt over several buckets by the next word
@@ -244,26 +247,39 @@ def ask_grams(b: Block, g: Grams, lower: np.ndarray):
     cut = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1], True]) if len(buckets) else np.zeros(1, int)
     for i, j in zip(cut[:-1], cut[1:]):
         s, e = bounds[i], bounds[j]
+        values, which = np.unique(lower[g.first[s:e]], return_inverse=True)  # few, as rare words are alike
         yield {
-            "block": b.number, "bucket": int(buckets[i]), "contexts": g.contexts[g.run_starts[i:j]].tobytes(), "shared": packed(g.shared[g.run_starts[i:j]]), "runs": packed(np.diff(bounds[i : j + 1]).astype(np.uint32)),
-            "words": g.words[s:e].tobytes(), "counts": packed(g.counts[s:e]), "lower": packed(lower[g.first[s:e]]),
+            "block": b.number, "bucket": int(buckets[i]), "contexts": packed(g.contexts[g.run_starts[i:j]]), "shared": packed(g.shared[g.run_starts[i:j]]), "runs": packed(np.diff(bounds[i : j + 1]).astype(np.uint32)),
+            "words": packed(g.words[s:e]), "counts": packed(g.counts[s:e]), "lower": packed(which.astype(np.uint32)), "values": packed(values),
         }
 
 
 SUMS = TOP + 2  # of a context: tokens, n-grams of each count to TOP, lower mass of what was seen
 
 
+def packed_sums(sums: np.ndarray) -> bytes:
+    """Whole numbers by plane, and the lower mass to 29 bits: an error of 2e-9 of it."""
+    mass = np.ascontiguousarray(sums[:, TOP + 1]).view(np.uint64) & np.uint64(0xFFFF_FFFF_FF00_0000)
+    return packed(np.concatenate([sums[:, : TOP + 1].T.astype(np.uint64).reshape(-1), mass]))
+
+
+def unpacked_sums(b: bytes) -> np.ndarray:
+    rows = unpacked(b, np.uint64).reshape(SUMS, -1)
+    return np.vstack([rows[: TOP + 1].astype(np.float64), rows[TOP + 1].view(np.float64)[None]]).T
+
+
 def count_grams(table: pa.Table) -> pa.Table:
     """Adds up a bucket and answers: counts of the n-grams asked for and sums of their contexts."""
     rows = sorted(table.to_pylist(), key=lambda r: r["block"])
-    asked = [np.frombuffer(r["contexts"], np.uint64) for r in rows]
+    asked = [unpacked(r["contexts"], np.uint64) for r in rows]
     runs = [unpacked(r["runs"], np.uint32).astype(np.int64) for r in rows]
     contexts = np.concatenate([np.repeat(c, n) for c, n in zip(asked, runs)])
-    words = np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows])
+    words = np.concatenate([unpacked(r["words"], np.uint64) for r in rows])
     counts = np.concatenate([unpacked(r["counts"], np.uint32) for r in rows]).astype(np.int64)
-    lower = np.concatenate([unpacked(r["lower"], np.float64) for r in rows])
+    lower = np.concatenate([unpacked(r["values"], np.float64)[unpacked(r["lower"], np.uint32)] for r in rows])
     by = np.lexsort((words, contexts))
     c, w = contexts[by], words[by]
+    del contexts, words
     new_context = np.r_[True, c[1:] != c[:-1]]
     new = new_context | np.r_[True, w[1:] != w[:-1]]
     gram = np.cumsum(new) - 1
@@ -284,7 +300,7 @@ def count_grams(table: pa.Table) -> pa.Table:
     for r, a, n in zip(rows, asked, runs):
         size = int(n.sum())
         found = sums[np.searchsorted(names, a)]
-        out.append({"block": r["block"], "bucket": r["bucket"], "counts": packed(answer[at : at + size].astype(np.uint64)), "sums": packed(found.T.reshape(-1))})
+        out.append({"block": r["block"], "bucket": r["bucket"], "counts": packed(answer[at : at + size].astype(np.uint64)), "sums": packed_sums(found)})
         at += size
     out.append({"block": -1, "bucket": rows[0]["bucket"], "stats": counts_of_counts(total)})
     return pa.Table.from_pylist(out, schema=ANSWER)
@@ -323,11 +339,13 @@ class Levels:
         found = np.concatenate([unpacked(a["counts"], np.uint64) for a in answers[0]])
         words = np.empty(len(b.words), np.int64)
         words[place] = found
+        b.names = np.empty(len(b.words), np.uint64)
+        b.names[place] = np.concatenate([unpacked(a["sums"], np.uint64) for a in answers[0]])
         p, common = self.unigrams.p(words)[b.tokens], b.before(words[b.tokens], self.starts)
         for order, (d, shared) in enumerate(self.orders, 2):
             g = Grams(b, order, common, self.buckets, self.heavy)
             counts = np.concatenate([unpacked(a["counts"], np.uint64) for a in answers[order - 1]]).astype(np.int64)
-            sums = np.concatenate([unpacked(a["sums"], np.float64).reshape(SUMS, -1).T for a in answers[order - 1]])
+            sums = np.concatenate([unpacked_sums(a["sums"]) for a in answers[order - 1]])
             for i in np.flatnonzero(g.shared[g.run_starts]):
                 sums[i] = shared[int(g.contexts[g.run_starts[i]])]
             p, common = recursive(g, counts, sums[g.run], d, p), b.before(counts[g.inverse], self.starts)
@@ -379,12 +397,12 @@ def score(docs: DataFrame, order: int = 2, held_out_modulus: int = 7, held_out_r
         F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id"), held_out_modulus) != held_out_remainder).alias("train"), F.col("text").cast("string").alias("text")
     )
     blocks = bucketed(rows.mapInArrow(make_blocks, BLOCK), "block")
-    size = blocks.agg(F.sum(F.length("tokens")), F.sum(F.length("words")), F.sum("starts")).first()
-    tokens, words, starts = (size[0] or 0) // 4, (size[1] or 0) // 8, size[2] or 0
+    size = blocks.agg(F.sum("size"), F.sum(F.length("words")), F.sum("starts")).first()
+    tokens, words, starts = size[0] or 0, (size[1] or 0) // 8, size[2] or 0
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     word_buckets, buckets = (max(least, -(-n // BUCKET_TOKENS)) for n in (words, tokens))
     sql = "block long, bucket int, words binary, counts binary"
-    first = written(blocks.mapInArrow(lambda b: ask_words(b, word_buckets), sql).groupBy("bucket").applyInArrow(count_words, ANSWER_SQL), "words")
+    first = written(blocks.mapInArrow(lambda b: ask_words(b, word_buckets), sql).groupBy("bucket").applyInArrow(lambda t: count_words(t, word_buckets), ANSWER_SQL), "words")
     stats = first.where(F.col("block") == -1).select(*[F.sum(F.get("stats", F.lit(i))) for i in range(TOP + 3)]).first()
     levels = Levels(Unigrams([x or 0.0 for x in stats]), starts, buckets, max(1.0, tokens / buckets))
     levels.word_buckets = word_buckets
