@@ -251,7 +251,8 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     tried = tried.where((worst <= SIMILAR_BITS) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("leader.fp"))) <= SIMILAR_BITS))
     pairs = written(tried.select(F.least("key", "leader.key").alias("a"), F.greatest("key", "leader.key").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = written(rows.select("key", "runs").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("runs").alias("runs")), "sets")
+    # copies become one row before the shuffle, so that a large group of them doesn't meet in one task
+    sets = written(rows.groupBy("key").agg(F.first("runs").alias("runs")).join(wanted, "key", "left_semi"), "sets")
     both = pairs.join(sets.toDF("a", "runs_a"), "a").join(sets.toDF("b", "runs_b"), "b")
 
     def verify(batches):
@@ -274,8 +275,8 @@ def deduplicated(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Dat
     """
     classed = written(near_copies(docs, size, similarity), "classed")
     kept = classed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    columns = [F.col(f"d.{c}") for c in docs.columns]
-    joined = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")))
-    once = joined.where(F.col("k.__rows") == 1).select(*columns)
-    repeated = joined.where(F.col("k.__rows") > 1).select(*columns).dropDuplicates(["doc_id"])
-    return once.unionByName(repeated)
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id"))
+    stay = lambda rows: docs.alias("d").join(rows.alias("k"), same, "left_semi").select(*docs.columns)
+    if kept.where(F.col("__rows") > 1).isEmpty():  # then texts are shuffled once
+        return stay(kept)
+    return stay(kept.where(F.col("__rows") == 1)).unionByName(stay(kept.where(F.col("__rows") > 1)).dropDuplicates(["doc_id"]))
