@@ -60,7 +60,7 @@ def affix_words(records: DataFrame, pos: str | None = None, lang: str | None = N
         rows = rows.where(ascii_lower(F.col("pos")).contains(pos))
     if lang:
         rows = rows.where(F.exists("etymology", lambda e: e["lang"] == lang))
-    return rows.select(F.col("inglisce_word").alias("word"))
+    return rows.select(F.col("reformed_word").alias("word"))
 
 
 def find_lines(files: DataFrame, query: str) -> DataFrame:
@@ -71,19 +71,19 @@ def find_lines(files: DataFrame, query: str) -> DataFrame:
 
 def lookup(records: DataFrame, word: str) -> DataFrame:
     same = lambda c: ascii_lower(F.col(c)) == ascii_lower(F.lit(word))
-    return records.where(same("me_word") | same("inglisce_word"))
+    return records.where(same("me_word") | same("reformed_word"))
 
 
 def info(records: DataFrame, word: str) -> DataFrame:
     """Word, pos, language of origin and forms of what :func:`lookup` finds."""
     lang = F.coalesce(F.nullif(origin(F.col("etymology"))["lang"], F.lit("")), F.lit("?"))
     forms = F.array_join(F.filter(conj_leaves(F.col("conj_kind"), F.col("conjugations")), lambda x: x != ""), " ")
-    return lookup(records, word).select("inglisce_word", "pos", lang.alias("origin"), forms.alias("forms"))
+    return lookup(records, word).select("reformed_word", "pos", lang.alias("origin"), forms.alias("forms"))
 
 
-def chain(records: DataFrame, word: str, project: str = "Inglisce") -> DataFrame:
+def chain(records: DataFrame, word: str, project: str = "Reformed") -> DataFrame:
     """Etymology of a word, one step a row, ending in the reformed word."""
-    steps = F.concat(F.transform("etymology", lambda e: F.concat(F.lit(" ↳ "), e["form"], F.lit("  ["), e["lang"], F.lit("]"))), F.array(F.concat(F.lit(" ↳ "), "inglisce_word", F.lit(f"  [{project}]"))))
+    steps = F.concat(F.transform("etymology", lambda e: F.concat(F.lit(" ↳ "), e["form"], F.lit("  ["), e["lang"], F.lit("]"))), F.array(F.concat(F.lit(" ↳ "), "reformed_word", F.lit(f"  [{project}]"))))
     return lookup(records, word).select("file", "stanza_idx", F.posexplode(steps).alias("step", "shown"))
 
 
@@ -91,8 +91,8 @@ def cognates(files: DataFrame, records: DataFrame, query: str) -> DataFrame:
     """Records of files that have ``query`` literally whose forms match it as a pattern, case aside; distinct, sorted."""
     near = files.where(F.col("text").contains(query)).select("file")
     rows = records.join(near, "file", "left_semi")
-    hit = F.exists("etymology", lambda e: e["form"].rlike(f"(?i){query}")) | F.col("inglisce_word").rlike(f"(?i){query}")
-    shown = F.concat(F.col("inglisce_word"), F.lit(" ("), F.col("pos"), F.lit(") [from "), F.col("me_word"), F.lit("]"))
+    hit = F.exists("etymology", lambda e: e["form"].rlike(f"(?i){query}")) | F.col("reformed_word").rlike(f"(?i){query}")
+    shown = F.concat(F.col("reformed_word"), F.lit(" ("), F.col("pos"), F.lit(") [from "), F.col("me_word"), F.lit("]"))
     return rows.where(hit).select(shown.alias("shown")).distinct().orderBy("shown")
 
 
@@ -113,7 +113,7 @@ def verb_coverage(records: DataFrame) -> DataFrame:
     regular = (c["third_singular"] == "-s") & c["past"].isin("-d", "-ed") & (c["gerund"] == "-ing")
     slots = F.when(F.coalesce(c["present"], F.lit("")) != "", F.array(c["present"], c["third_singular"], c["past"], c["participle"], c["gerund"])).otherwise(F.array(c["third_singular"], c["past"], c["gerund"]))
     forms = F.array_join(F.filter(slots, lambda x: F.coalesce(x, F.lit("")) != ""), " ")
-    return records.where(ascii_lower(F.col("pos")).isin("v", "tr v", "intr v")).select(F.when(F.coalesce(regular, F.lit(False)), "standard").otherwise("nonstandard").alias("kind"), "file", F.col("inglisce_word").alias("word"), forms.alias("forms"))
+    return records.where(ascii_lower(F.col("pos")).isin("v", "tr v", "intr v")).select(F.when(F.coalesce(regular, F.lit(False)), "standard").otherwise("nonstandard").alias("kind"), "file", F.col("reformed_word").alias("word"), forms.alias("forms"))
 
 
 def search(docs: DataFrame, query: str, top: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,18 +129,18 @@ def search(docs: DataFrame, query: str, top: int = 15, id_col: str = "doc_id", t
 
 
 def flattened(records: DataFrame) -> DataFrame:
-    """me_word, inglisce_word, pos, conjugations (its strings joined): the columns of the CSV export."""
-    return records.select("me_word", "inglisce_word", "pos", F.array_join(conj_leaves(F.col("conj_kind"), F.col("conjugations")), " ").alias("conjugations"))
+    """me_word, reformed_word, pos, conjugations (its strings joined): the columns of the CSV export."""
+    return records.select("me_word", "reformed_word", "pos", F.array_join(conj_leaves(F.col("conj_kind"), F.col("conjugations")), " ").alias("conjugations"))
 
 
 def csv_lines(records: DataFrame) -> DataFrame:
     """Lines of the CSV export without the header, every field quoted."""
     quoted = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
-    return flattened(records).select(F.concat_ws(",", *[quoted(c) for c in ("me_word", "inglisce_word", "pos", "conjugations")]).alias("line"))
+    return flattened(records).select(F.concat_ws(",", *[quoted(c) for c in ("me_word", "reformed_word", "pos", "conjugations")]).alias("line"))
 
 
 def json_lines(records: DataFrame) -> DataFrame:
-    return records.select(F.to_json(F.struct("me_word", "inglisce_word", "pos", "conjugations", "etymology", "sources")).alias("line"))
+    return records.select(F.to_json(F.struct("me_word", "reformed_word", "pos", "conjugations", "etymology", "sources")).alias("line"))
 
 
 def lines_of(files: DataFrame) -> DataFrame:

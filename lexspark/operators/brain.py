@@ -33,13 +33,13 @@ def composed(conj: Column) -> Column:
 def validated(records: DataFrame) -> DataFrame:
     """Records with eng, ing, categories and ``reason`` (null: kept)."""
     table = F.create_map(*[F.lit(x) for kv in CATEGORY.items() for x in kv])
-    rows = records.withColumn("eng", cleaned_english(F.col("me_word"))).withColumn("ing", cleaned_reformed(F.col("inglisce_word")))
+    rows = records.withColumn("eng", cleaned_english(F.col("me_word"))).withColumn("ing", cleaned_reformed(F.col("reformed_word")))
     rows = rows.withColumn("conjugations", composed(F.col("conjugations")))
     known = F.filter(F.transform(tags(F.lower("pos")), lambda t: F.try_element_at(table, t)), lambda c: c.isNotNull())
     rows = rows.withColumn("categories", known)
     blank = lambda c: c.isNull() | (F.trim(c) == "")
     reason = (
-        F.when(blank(F.col("me_word")) | blank(F.col("inglisce_word")), "no word")
+        F.when(blank(F.col("me_word")) | blank(F.col("reformed_word")), "no word")
         .when(F.col("eng") == "", "no English word")
         .when(F.size("categories") == 0, "no known part of speech")
     )
@@ -47,7 +47,7 @@ def validated(records: DataFrame) -> DataFrame:
 
 
 def rejected(records: DataFrame) -> DataFrame:
-    return validated(records).where(F.col("reason").isNotNull()).select("file", "stanza_idx", "me_word", "inglisce_word", "pos", "reason")
+    return validated(records).where(F.col("reason").isNotNull()).select("file", "stanza_idx", "me_word", "reformed_word", "pos", "reason")
 
 
 def mappings(records: DataFrame) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PROJECT = "Inglisce"
+PROJECT = "Reformed"
 
 
 def chains(records: DataFrame, project: str = PROJECT) -> DataFrame:
     """ord and chain: the etymology of a record and then its reformed word; a record without etymology makes none."""
     old = F.transform("etymology", lambda e: F.struct(e["form"].alias("label"), e["lang"].alias("lang"), F.lit("").alias("pos")))
-    new = F.array(F.struct(F.col("inglisce_word").alias("label"), F.lit(project).alias("lang"), F.col("pos")))
+    new = F.array(F.struct(F.col("reformed_word").alias("label"), F.lit(project).alias("lang"), F.col("pos")))
     return records.where(F.size("etymology") > 0).select(F.struct("file", "stanza_idx").alias("ord"), F.concat(old, new).alias("chain"))
 
 

@@ -1,6 +1,6 @@
 """Stanzas of an entry file, and the typed record of each: all by higher-order functions.
 
-A record: file, stanza_idx, me_word, inglisce_word, pos, conj_kind, conjugations, etymology, sources, warnings.
+A record: file, stanza_idx, me_word, reformed_word, pos, conj_kind, conjugations, etymology, sources, warnings.
 ``conj_kind`` tells which fields of ``conjugations`` count: slot, explicit, noun, forms or empty.  Null is absent;
 an empty string is a slot without a form.  The total order of records is (file, stanza_idx).
 """
@@ -123,7 +123,7 @@ def parse(files: DataFrame) -> DataFrame:
     rows = rows.withColumn("c", conjugations(F.col("pos"), F.col("toks"), tokens(F.col("me")), first_form(F.col("etymology"), "ME").isNotNull()))
     return rows.select(
         "file", "stanza_idx", F.coalesce(F.get(F.split("me", r"[ \t,]+"), F.lit(0)), F.lit("")).alias("me_word"),
-        F.coalesce(F.regexp_replace(F.get("toks", F.lit(0)), "[,.]$", ""), F.lit("")).alias("inglisce_word"), "pos",
+        F.coalesce(F.regexp_replace(F.get("toks", F.lit(0)), "[,.]$", ""), F.lit("")).alias("reformed_word"), "pos",
         F.col("c.kind").alias("conj_kind"), F.col("c.conj").alias("conjugations"), "etymology", F.filter("lines", is_url).alias("sources"),
         F.when(F.col("c.warning").isNotNull(), F.array("c.warning")).otherwise(F.array().cast("array<string>")).alias("warnings"),
     )

@@ -61,7 +61,7 @@ tm AS (SELECT *, list_filter(string_split_regex(me, '[ \t,]+'), lambda x: x <> '
 kd AS (SELECT *, CASE WHEN verbish AND real_me AND len(mt) = n AND n > 1 AND len(list_filter(t[2:], lambda x: starts_with(x, '-') OR ends_with(x, '(s'))) = 0 THEN 'explicit'
   WHEN verbish AND slotted AND coalesce(ends_with(t[2], '(s'), false) THEN 'slot1' WHEN verbish AND slotted AND n > 5 THEN 'empty' WHEN verbish AND slotted THEN 'slot3' WHEN verbish THEN 'empty'
   WHEN nounish AND n < 2 THEN 'empty' WHEN nounish AND starts_with(t[2], '-') THEN 'noun6' WHEN nounish THEN 'noun7' WHEN n < 2 THEN 'empty' ELSE 'forms' END AS k FROM tm),
-parsed AS (SELECT file, stanza_idx, coalesce(string_split_regex(me, '[ \t,]+')[1], '') AS me_word, coalesce(regexp_replace(t[1], '[,.]$', ''), '') AS inglisce_word, pos, tags, regexp_replace(k, '[0-9]', '') AS conj_kind,
+parsed AS (SELECT file, stanza_idx, coalesce(string_split_regex(me, '[ \t,]+')[1], '') AS me_word, coalesce(regexp_replace(t[1], '[,.]$', ''), '') AS reformed_word, pos, tags, regexp_replace(k, '[0-9]', '') AS conj_kind,
   CASE k WHEN 'slot1' THEN left(t[2], len(t[2]) - 2) WHEN 'slot3' THEN '' END AS present,
   CASE k WHEN 'slot1' THEN left(t[2], len(t[2]) - 2) || 's' WHEN 'slot3' THEN coalesce(t[2], '-s') END AS third_singular,
   CASE k WHEN 'slot1' THEN coalesce(t[3], '') WHEN 'slot3' THEN CASE WHEN n >= 4 THEN t[3] ELSE '' END END AS past,
@@ -98,13 +98,13 @@ def _list(c) -> F.Column:
 ETYM = "coalesce(array_to_string(list_transform(etymology, lambda e: e.form || '/' || e.lang), '|'), '-')"
 
 
-@query(f"""WITH {PARSED_SQL} SELECT file, stanza_idx, me_word, inglisce_word, pos, conj_kind, present, third_singular, past, participle, gerund,
+@query(f"""WITH {PARSED_SQL} SELECT file, stanza_idx, me_word, reformed_word, pos, conj_kind, present, third_singular, past, participle, gerund,
   coalesce(array_to_string(list_transform(explicit, lambda p: p.eng || '=' || p.ing), '|'), '-') AS explicit, plural, coalesce(array_to_string(variants, '|'), '-') AS variants,
   coalesce(array_to_string(forms, '|'), '-') AS forms, {ETYM} AS etymology, coalesce(array_to_string(sources, '|'), '-') AS sources, warned::BIGINT AS warnings FROM records""")
 def parse_stanzas(spark, sf_dir):
     c = F.col("conjugations")
     return records(spark, sf_dir).select(
-        "file", "stanza_idx", "me_word", "inglisce_word", "pos", "conj_kind", *[c[s].alias(s) for s in stanzas.SLOTS],
+        "file", "stanza_idx", "me_word", "reformed_word", "pos", "conj_kind", *[c[s].alias(s) for s in stanzas.SLOTS],
         _list(F.transform(c["explicit"], lambda p: F.concat(p["eng"], F.lit("="), p["ing"]))).alias("explicit"), c["plural"].alias("plural"), _list(c["variants"]).alias("variants"), _list(c["forms"]).alias("forms"),
         _list(F.transform("etymology", lambda e: F.concat(e["form"], F.lit("/"), e["lang"]))).alias("etymology"), _list(F.col("sources")).alias("sources"), F.size("warnings").cast("long").alias("warnings"),
     )
@@ -184,7 +184,7 @@ def affix_prefix(spark, sf_dir):
     return analytics.affixes(english_words(spark, sf_dir), prefix=True).withColumn("percent", F.round("percent", 6))
 
 
-@query(f"WITH {PARSED_SQL}, f AS (SELECT inglisce_word AS word FROM records WHERE contains(lower(pos), 'v') AND len(list_filter(etymology, lambda e: e.lang = 'OE')) > 0) " + AFFIX_SQL.format("'-' || right(word, 3)", "f"))
+@query(f"WITH {PARSED_SQL}, f AS (SELECT reformed_word AS word FROM records WHERE contains(lower(pos), 'v') AND len(list_filter(etymology, lambda e: e.lang = 'OE')) > 0) " + AFFIX_SQL.format("'-' || right(word, 3)", "f"))
 def affix_filtered(spark, sf_dir):
     return analytics.affixes(analytics.affix_words(records(spark, sf_dir), "v", "OE")).withColumn("percent", F.round("percent", 6))
 
@@ -195,21 +195,21 @@ def literal_find(spark, sf_dir):
 
 
 @query(f"""WITH {PARSED_SQL}, near AS (SELECT file FROM files WHERE contains(text, 'er'))
-SELECT DISTINCT inglisce_word || ' (' || pos || ') [from ' || me_word || ']' AS shown FROM records WHERE file IN (SELECT file FROM near)
-  AND (len(list_filter(etymology, lambda e: regexp_matches(e.form, 'er', 'i'))) > 0 OR regexp_matches(inglisce_word, 'er', 'i'))""")
+SELECT DISTINCT reformed_word || ' (' || pos || ') [from ' || me_word || ']' AS shown FROM records WHERE file IN (SELECT file FROM near)
+  AND (len(list_filter(etymology, lambda e: regexp_matches(e.form, 'er', 'i'))) > 0 OR regexp_matches(reformed_word, 'er', 'i'))""")
 def cognate_search(spark, sf_dir):
     return analytics.cognates(entry_files(spark, sf_dir), records(spark, sf_dir), "er")
 
 
-@query(f"WITH {PARSED_SQL} SELECT inglisce_word, pos, coalesce(nullif(origin.lang, ''), '?') AS origin, array_to_string(list_filter(leaves, lambda x: x <> ''), ' ') AS forms FROM records WHERE lower(me_word) = 'the' OR lower(inglisce_word) = 'the'")
+@query(f"WITH {PARSED_SQL} SELECT reformed_word, pos, coalesce(nullif(origin.lang, ''), '?') AS origin, array_to_string(list_filter(leaves, lambda x: x <> ''), ' ') AS forms FROM records WHERE lower(me_word) = 'the' OR lower(reformed_word) = 'the'")
 def info_view(spark, sf_dir):
     return analytics.info(records(spark, sf_dir), "The")
 
 
-CHAIN = "list_concat(list_transform(etymology, lambda e: ' ↳ ' || e.form || '  [' || e.lang || ']'), [' ↳ ' || inglisce_word || '  [Inglisce]'])"
+CHAIN = "list_concat(list_transform(etymology, lambda e: ' ↳ ' || e.form || '  [' || e.lang || ']'), [' ↳ ' || reformed_word || '  [Reformed]'])"
 
 
-@query(f"WITH {PARSED_SQL}, c AS (SELECT file, stanza_idx, {CHAIN} AS s FROM records WHERE lower(me_word) = 'body' OR lower(inglisce_word) = 'body') SELECT file, stanza_idx, (generate_subscripts(s, 1) - 1)::INT AS step, unnest(s) AS shown FROM c")
+@query(f"WITH {PARSED_SQL}, c AS (SELECT file, stanza_idx, {CHAIN} AS s FROM records WHERE lower(me_word) = 'body' OR lower(reformed_word) = 'body') SELECT file, stanza_idx, (generate_subscripts(s, 1) - 1)::INT AS step, unnest(s) AS shown FROM c")
 def chain_view(spark, sf_dir):
     return analytics.chain(records(spark, sf_dir), "body")
 
@@ -220,7 +220,7 @@ def resolve_file(spark, sf_dir):
     return analytics.resolve_file(entry_files(spark, sf_dir), "fous")
 
 
-CHAINS_SQL = f"""{PARSED_SQL}, ch AS (SELECT file, stanza_idx, list_concat(list_transform(etymology, lambda e: {{'label': e.form, 'lang': e.lang, 'pos': ''}}), [{{'label': inglisce_word, 'lang': 'Inglisce', 'pos': pos}}]) AS c FROM records WHERE len(etymology) > 0),
+CHAINS_SQL = f"""{PARSED_SQL}, ch AS (SELECT file, stanza_idx, list_concat(list_transform(etymology, lambda e: {{'label': e.form, 'lang': e.lang, 'pos': ''}}), [{{'label': reformed_word, 'lang': 'Reformed', 'pos': pos}}]) AS c FROM records WHERE len(etymology) > 0),
 nd AS (SELECT file, stanza_idx, generate_subscripts(c, 1) AS i, unnest(c) AS n FROM ch)"""
 
 
@@ -286,7 +286,7 @@ def unknown_tags(spark, sf_dir):
     return lint.unknown_tags(entry_files(spark, sf_dir), pos_codes(spark))
 
 
-@query(f"""WITH {PARSED_SQL} SELECT CASE WHEN coalesce(third_singular = '-s' AND past IN ('-d', '-ed') AND gerund = '-ing', false) THEN 'standard' ELSE 'nonstandard' END AS kind, file, inglisce_word AS word,
+@query(f"""WITH {PARSED_SQL} SELECT CASE WHEN coalesce(third_singular = '-s' AND past IN ('-d', '-ed') AND gerund = '-ing', false) THEN 'standard' ELSE 'nonstandard' END AS kind, file, reformed_word AS word,
   array_to_string(list_filter(CASE WHEN coalesce(present, '') <> '' THEN [present, third_singular, past, participle, gerund] ELSE [third_singular, past, gerund] END, lambda x: coalesce(x, '') <> ''), ' ') AS forms
   FROM records WHERE lower(pos) IN ('v', 'tr v', 'intr v')""")
 def verb_coverage(spark, sf_dir):
@@ -296,7 +296,7 @@ def verb_coverage(spark, sf_dir):
 CSV = "'\"' || replace({0}, '\"', '\"\"') || '\"'"
 
 
-@query(f"WITH {PARSED_SQL} SELECT {CSV.format('me_word')} || ',' || {CSV.format('inglisce_word')} || ',' || {CSV.format('pos')} || ',' || {CSV.format('array_to_string(leaves, chr(32))')} AS line FROM records")
+@query(f"WITH {PARSED_SQL} SELECT {CSV.format('me_word')} || ',' || {CSV.format('reformed_word')} || ',' || {CSV.format('pos')} || ',' || {CSV.format('array_to_string(leaves, chr(32))')} AS line FROM records")
 def csv_flatten(spark, sf_dir):
     return analytics.csv_lines(records(spark, sf_dir))
 
@@ -325,9 +325,9 @@ def history_split(spark, sf_dir):
 
 CATEGORY_MAP = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in reference.CATEGORY.items()) + "}"
 BRAIN_SQL = rf"""{PARSED_SQL}, v AS (SELECT *, nfc_normalize(lower(coalesce(string_split_regex(regexp_replace(regexp_replace(me_word, '\([^)]*\)|\[[^\]]*\]', '', 'g'), '^[ \t]+|[ \t]+$', '', 'g'), '\s+')[1], ''))) AS eng,
-  nfc_normalize(regexp_replace(regexp_replace(inglisce_word, '[.,!?()\[\]{{}}]', '', 'g'), '^\s+|\s+$', '', 'g')) AS ing,
+  nfc_normalize(regexp_replace(regexp_replace(reformed_word, '[.,!?()\[\]{{}}]', '', 'g'), '^\s+|\s+$', '', 'g')) AS ing,
   list_filter(list_transform(list_filter(tags, lambda x: x <> ''), lambda x: {CATEGORY_MAP}[lower(x)]), lambda x: x IS NOT NULL) AS cats FROM records),
-w AS (SELECT *, CASE WHEN trim(me_word) = '' OR trim(inglisce_word) = '' THEN 'no word' WHEN eng = '' THEN 'no English word' WHEN len(cats) = 0 THEN 'no known part of speech' END AS reason FROM v),
+w AS (SELECT *, CASE WHEN trim(me_word) = '' OR trim(reformed_word) = '' THEN 'no word' WHEN eng = '' THEN 'no English word' WHEN len(cats) = 0 THEN 'no known part of speech' END AS reason FROM v),
 ec AS (SELECT file, stanza_idx, eng, ing, conj_kind, plural, third_singular, explicit, generate_subscripts(cats, 1) - 1 AS cat_idx, unnest(cats) AS category FROM w WHERE reason IS NULL),
 ex AS (SELECT file, stanza_idx, cat_idx, category, generate_subscripts(explicit, 1) - 1 AS p, unnest(explicit) AS pr FROM ec WHERE explicit IS NOT NULL),
 mp AS (SELECT file, stanza_idx, cat_idx, 0 AS kind, 0 AS sub, eng, category, ing AS form, CASE WHEN conj_kind <> 'empty' THEN conj_kind || ':' || coalesce(nfc_normalize(plural), '') || ':' || coalesce(third_singular, '') END AS conj FROM ec
@@ -352,7 +352,7 @@ def brain_entries(spark, sf_dir):
     return brain.entries(brain.compile_brain(records(spark, sf_dir))).select("eng", "first_category", F.size("forms").cast("long").alias("categories"))
 
 
-@query(f"WITH {BRAIN_SQL} SELECT file, stanza_idx, me_word, inglisce_word, pos, reason FROM w WHERE reason IS NOT NULL")
+@query(f"WITH {BRAIN_SQL} SELECT file, stanza_idx, me_word, reformed_word, pos, reason FROM w WHERE reason IS NOT NULL")
 def brain_rejects(spark, sf_dir):
     return brain.rejected(records(spark, sf_dir))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENS = "array<struct<text:string,lemma:string,pos:string,tag:string,is_ent:boolean,whitespace:string>>"
-RECORD = "me_word string, inglisce_word string, pos string, conjugations string, etymology array<struct<form:string,lang:string>>, sources array<string>"
+RECORD = "me_word string, reformed_word string, pos string, conjugations string, etymology array<struct<form:string,lang:string>>, sources array<string>"
 
 
 def relative(root: str):
@@ -32,9 +32,12 @@ def token_files(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("doc_id", "tok_idx", "t.*")
 
 
-def record_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a JSON-lines dataset; ``conjugations`` comes as JSON text, a legacy array counts as corrupt and is dropped."""
-    rows = spark.read.schema(RECORD).json(path)
+def record_lines(spark: SparkSession, path: str, word_field: str = "reformed_word") -> DataFrame:
+    """Records of a JSON-lines dataset; ``conjugations`` comes as JSON text, a legacy array counts as corrupt and is dropped.
+
+    ``word_field`` is the name that the dataset has for the reformed word.
+    """
+    rows = spark.read.schema(RECORD.replace("reformed_word", word_field)).json(path).withColumnRenamed(word_field, "reformed_word")
     return rows.where(F.col("conjugations").isNull() | ~F.col("conjugations").startswith("["))
 
 

@@ -48,8 +48,8 @@ def test_classifier(parsed):
 
 
 def test_lines(parsed):
-    assert parsed["t/two.txt", 1].inglisce_word == "tou"  # the last reformed line wins
-    assert parsed["r/return.txt", 1].inglisce_word == "retoúrn"
+    assert parsed["t/two.txt", 1].reformed_word == "tou"  # the last reformed line wins
+    assert parsed["r/return.txt", 1].reformed_word == "retoúrn"
     escape = parsed["e/escape.txt", 1]
     assert [e.form for e in escape.etymology] == ['es"ca\\pe', "es\tcape"] and escape.sources == ['http://a.b/"x\\y']
     assert ("w/white.txt", 1) in parsed and ("w/white.txt", 2) not in parsed  # blanks don't end a stanza
