@@ -14,7 +14,8 @@ class), never its pairs.
 
 **Near copies by similarity** (:func:`near_copies`).  Runs of five words at a similarity of 0.8 lie 4 to 18 bits
 apart, too far for exact blocking, so buckets come from least-hash samples of the same run hashes; the pivot
-table, the distance bound and at last the exact similarity of the run sets decide there.
+table, the distance bound and at last the exact similarity of the run sets decide there.  Two leaders of a bucket
+join most of it; then every pair of a bucket that isn't joined is compared, in blocks.
 
 Cases: null text is empty; without words the fingerprint is zero and links as any other; with fewer words than
 a run the whole sequence is the one run; repeated rows share their class; a null doc_id has no class of its own
@@ -39,6 +40,8 @@ PIVOTS = 16
 SEED = 42
 #: Rows of a bucket compared at once: bounds memory.
 STRIP = 512
+#: Runs of a block of a bucket, about: bounds memory where texts are long.
+STRIP_RUNS = 4_000_000
 
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _SPACE = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
@@ -231,14 +234,83 @@ def similar(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def block_links(keys: np.ndarray, sets: list[np.ndarray], of: np.ndarray, left: np.ndarray, right: np.ndarray, buckets: np.ndarray, bucket: int, similarity: float) -> list[tuple[int, int]]:
+    """Links of each member in ``left`` to those in ``right`` (masks of two blocks of a bucket, or of one twice).
+
+    ``of`` is the class that a member is joined to so far.  A pair that shares several buckets is compared in the
+    first of them only, and of the links found those that join something are given.
+    """
+    full = np.flatnonzero([len(s) > 0 for s in sets])  # an empty set is like no other
+    if len(full) < 2:
+        return []
+    keys, of, left, right, buckets = keys[full], of[full], left[full], right[full], buckets[full]
+    sizes = np.array([len(sets[i]) for i in full])
+    values, runs = np.unique(np.concatenate([sets[i] for i in full]), return_inverse=True)
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    parent: dict[int, int] = {}
+
+    def find(x):
+        while x in parent:
+            x = parent[x]
+        return x
+
+    out, mine = [], np.zeros(len(values), bool)
+    for i in np.flatnonzero(left):
+        agree = buckets == buckets[i]
+        wanted = right & (of != of[i]) & (buckets[np.arange(len(full)), agree.argmax(axis=1)] == bucket) & (~(left & right) | (keys > keys[i]))
+        wanted &= np.minimum(sizes, sizes[i]) / np.maximum(sizes, sizes[i]) >= similarity
+        if not wanted.any():
+            continue
+        own = runs[starts[i] : starts[i] + sizes[i]]
+        mine[own] = True
+        both = np.add.reduceat(mine[runs], starts, dtype=np.int64)
+        mine[own] = False
+        for j in np.flatnonzero(wanted & (both / (sizes + sizes[i] - both) >= similarity)):
+            x, y = find(int(of[i])), find(int(of[j]))
+            if x != y:
+                parent[x] = y
+                out.append((int(keys[i]), int(keys[j])))
+    return out
+
+
+def links_across(members: DataFrame, roots: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) for run sets of ``similarity`` or more that share a bucket and that ``roots`` doesn't join.
+
+    A bucket's members outside its largest class are dealt into blocks, and so are those inside it.  Each block of
+    the former meets itself and every other block: no pair of two classes is left out.
+    """
+    placed = members.join(roots, F.col("key") == F.col("node"), "left").select("key", "n", "keys", F.coalesce("root", "key").alias("of"))
+    inside = placed.select("key", "of", "n", F.explode("keys").alias("bucket"))
+    by_class = inside.groupBy("bucket", "of").agg(F.count("*").alias("rows"), F.sum("n").alias("runs"))
+    mixed = by_class.groupBy("bucket").agg(F.max(F.struct("rows", "of", "runs")).alias("most"), F.count("*").alias("classes"), F.sum("rows").alias("rows"), F.sum("runs").alias("runs")).where("classes > 1")
+    blocks = lambda rows, runs: F.ceil(F.greatest(rows / STRIP, runs / STRIP_RUNS)).cast("int")
+    most, others = blocks(F.col("most.rows"), F.col("most.runs")), blocks(F.col("rows") - F.col("most.rows"), F.col("runs") - F.col("most.runs"))
+    mixed = mixed.select("bucket", F.col("most.of").alias("most"), others.alias("others"), (others + most).alias("blocks"))
+    some = F.xxhash64("key", "bucket")
+    block = F.when(F.col("of") == F.col("most"), F.col("others") + F.pmod(some, F.col("blocks") - F.col("others"))).otherwise(F.pmod(some, F.col("others"))).cast("int")
+    dealt = written(inside.join(mixed, "bucket").select("key", "of", "bucket", "others", "blocks", block.alias("block")), "dealt")
+    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j")))
+    met = dealt.select("key", "of", "bucket", "block", F.explode(F.filter(met, lambda m: m["i"] < F.col("others"))).alias("m")).select("key", "of", "bucket", "block", "m.i", "m.j")
+    sets = rows.groupBy("key").agg(F.first("runs").alias("runs"), F.first("keys").alias("keys")).join(dealt.select("key").distinct(), "key", "left_semi")
+
+    def compare(t: pa.Table) -> pa.Table:
+        of_block = t["block"].to_numpy()
+        sets = [np.frombuffer(r.as_py(), "<u4") for r in t["runs"]]
+        left, right = of_block == t["i"][0].as_py(), of_block == t["j"][0].as_py()
+        found = block_links(t["key"].to_numpy(), sets, t["of"].to_numpy(), left, right, np.array(t["keys"].to_pylist(), np.int64), t["bucket"][0].as_py(), similarity)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return met.join(sets, "key").groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, key (of the run set) and component_id for every document, linking run sets of ``similarity`` or more.
 
-    Equal sets share a key and cost one row.  In a bucket each member is tried with two leaders, drawn anew in
-    each of the KEYS buckets it is in, so that candidates grow with the members and not with their pairs.
+    Equal sets share a key and cost one row.  In a bucket each member is first tried with two leaders, drawn anew in
+    each of the KEYS buckets it is in; what they leave in several classes is compared by :func:`links_across`.
     """
     rows = written(described(docs, size), "described")
-    distinct = rows.groupBy("key").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min("doc_id").alias("least"))
+    distinct = rows.groupBy("key").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), (F.first(F.length("runs")) / 4).cast("long").alias("n"), F.min("doc_id").alias("least"))
     members = written(distinct, "members")
     inside = members.select("key", "fp", F.posexplode("keys").alias("number", "bucket"))
     draw = F.struct(F.xxhash64("key", "number").alias("draw"), "key", "fp")
@@ -260,8 +332,10 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
             ok = [similar(x.as_py(), y.as_py()) >= similarity for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    verified = both.select("a", "b", "runs_a", "runs_b").mapInArrow(verify, "a long, b long")
-    roots = components(verified)
+    roots = components(both.select("a", "b", "runs_a", "runs_b").mapInArrow(verify, "a long, b long"))
+    across = written(links_across(members, roots, rows, similarity), "across")
+    if not across.isEmpty():
+        roots = components(roots.toDF("a", "b").unionByName(across))
     of_class = members.select("key", "least").join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     least = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
     named = of_class.join(least, "root").select("key", "component_id")

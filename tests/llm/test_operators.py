@@ -537,6 +537,33 @@ def test_near_copies(spark, docs, none):
     assert simhash.deduplicated(none).count() == 0
 
 
+def star(edits, runs, changed, seed=3):
+    """A text and edits of it that are each like it but hardly like one another."""
+    draw = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(runs)]
+    out = [" ".join(base)]
+    for e in range(edits):
+        words = list(base)
+        for at in draw.choice(np.arange(5, runs - 5, 6), changed, replace=False):
+            words[at] = f"e{e}x{at}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_near_copies_of_a_star(spark, monkeypatch):
+    texts = star(1000, 300, 5)
+    sets = [set(simhash.run_hashes(simhash.words_of(t), 5).tolist()) for t in texts]
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(like(0, i) >= 0.8 for i in range(1, 1001))
+    assert sum(like(i, i + 1) < 0.8 for i in range(1, 1000)) > 990
+    table = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    root = closed(1001, [(i, 0) for i in range(1, 1001)])
+    assert set(root) == {0}
+    monkeypatch.setattr(simhash, "STRIP", 200)  # several blocks a bucket
+    # an edit misses all buckets of the text with probability (1 - like**5)**16: 0.0001
+    assert sum(r.component_id != 1 for r in simhash.near_copies(table).collect()) <= 2
+
+
 # -- 9 -------------------------------------------------------------------------------------------------------
 
 PRIVATE = [
