@@ -13,8 +13,8 @@ verified by a full comparison.  A bucket gives one link for each fingerprint joi
 class), never its pairs.
 
 **Near copies by similarity** (:func:`near_copies`).  Runs of five words at a similarity of 0.8 lie 4 to 18 bits
-apart, too far for exact blocking, so buckets come from least-hash samples of the same run hashes; the pivot
-table, the distance bound and at last the exact similarity of the run sets decide there.  Two leaders of a bucket
+apart on the test tables and further where a copy repeats a passage, so no bound on bits is used: buckets come
+from least-hash samples of the same run hashes, and the exact similarity of the run sets decides.  Two leaders of a bucket
 join most of it; then every pair of a bucket that isn't joined is compared, in blocks.
 
 Cases: null text is empty; without words the fingerprint is zero and links as any other; with fewer words than
@@ -185,9 +185,9 @@ def classes(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near copies by similarity: rows of least-hash samples in a key, keys of a document, and the bound on differing bits.
+#: Near copies by similarity: rows of least-hash samples in a key, and keys of a document.
 #: At a similarity of 0.8 a document misses all keys of its copy with probability (1 - 0.8**5)**16 = 0.002.
-KEY_ROWS, KEYS, SIMILAR_BITS = 5, 16, 26
+KEY_ROWS, KEYS = 5, 16
 
 
 def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,24 +205,22 @@ def least_hash_keys(unique: np.ndarray, times: np.ndarray, plus: np.ndarray) ->
 
 
 def described(docs: DataFrame, size: int) -> DataFrame:
-    """For each document: content key of its run set, fingerprint, bucket keys and the set (sorted 32-bit run hashes)."""
+    """For each document: content key of its run set, bucket keys and the set (sorted 32-bit run hashes)."""
 
     def run(batches):
         times, plus = _multipliers(KEYS * KEY_ROWS)
         for batch in batches:
-            key, fp, keys, sets = [], [], [], []
+            key, keys, sets = [], [], []
             for text in batch.column(1):
-                hashes = run_hashes(words_of(text.as_py()), size)
-                unique = np.unique(hashes)
+                unique = np.unique(run_hashes(words_of(text.as_py()), size))
                 key.append(signed(xxhash.xxh64_intdigest(unique.tobytes())))
-                fp.append(signed(fingerprint(hashes)))
                 keys.append(least_hash_keys(unique, times, plus))
                 sets.append(np.unique((unique >> np.uint64(32)).astype("<u4")).tobytes())
-            arrays = [batch.column(0), pa.array(key, pa.int64()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "fp", "keys", "runs"])
+            arrays = [batch.column(0), pa.array(key, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "keys", "runs"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, key long, fp long, keys array<long>, runs binary")
+    return rows.mapInArrow(run, "doc_id long, key long, keys array<long>, runs binary")
 
 
 def similar(a: bytes, b: bytes) -> float:
@@ -310,17 +308,15 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     each of the KEYS buckets it is in; what they leave in several classes is compared by :func:`links_across`.
     """
     rows = written(described(docs, size), "described")
-    distinct = rows.groupBy("key").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), (F.first(F.length("runs")) / 4).cast("long").alias("n"), F.min("doc_id").alias("least"))
+    distinct = rows.groupBy("key").agg(F.first("keys").alias("keys"), (F.first(F.length("runs")) / 4).cast("long").alias("n"), F.min("doc_id").alias("least"))
     members = written(distinct, "members")
-    inside = members.select("key", "fp", F.posexplode("keys").alias("number", "bucket"))
-    draw = F.struct(F.xxhash64("key", "number").alias("draw"), "key", "fp")
+    inside = members.select("key", "n", F.posexplode("keys").alias("number", "bucket"))
+    draw = F.struct(F.xxhash64("key", "number").alias("draw"), "key", "n")
     leaders = inside.groupBy("number", "bucket").agg(F.min(draw).alias("first"), F.max(draw).alias("last")).where(F.col("first.key") != F.col("last.key"))
     leaders = leaders.select("number", "bucket", F.explode(F.array("first", "last")).alias("leader"))
     tried = inside.join(leaders, ["number", "bucket"]).where(F.col("key") != F.col("leader.key"))
-    # the triangle inequality on the pivot table discards first, then the distance itself
-    apart = lambda p: F.abs(F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))) - F.bit_count(F.col("leader.fp").bitwiseXOR(F.lit(p))))
-    worst = F.greatest(*[apart(signed(int(p))) for p in pivots()])
-    tried = tried.where((worst <= SIMILAR_BITS) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("leader.fp"))) <= SIMILAR_BITS))
+    # sets of sizes further apart than this can't be alike
+    tried = tried.where(F.least("n", "leader.n") / F.greatest("n", "leader.n") >= similarity)
     pairs = written(tried.select(F.least("key", "leader.key").alias("a"), F.greatest("key", "leader.key").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     # copies become one row before the shuffle, so that a large group of them doesn't meet in one task

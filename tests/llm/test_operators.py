@@ -564,6 +564,20 @@ def test_near_copies_of_a_star(spark, monkeypatch):
     assert sum(r.component_id != 1 for r in simhash.near_copies(table).collect()) <= 2
 
 
+def test_near_copies_that_repeat_a_passage(spark):
+    draw = np.random.default_rng(5)
+    texts = []
+    for t in range(40):
+        words = [f"t{t}w{i}" for i in range(300)]
+        texts += [" ".join(words), " ".join(words + words[50:62] * int(draw.integers(50, 500)))]
+    fps = [simhash.fingerprint(simhash.run_hashes(simhash.words_of(t), 5)) for t in texts]
+    sets = [set(simhash.run_hashes(simhash.words_of(t), 5).tolist()) for t in texts]
+    assert all(len(a & b) >= 0.9 * len(a | b) for a, b in zip(sets[::2], sets[1::2]))
+    assert sum((a ^ b).bit_count() > 26 for a, b in zip(fps[::2], fps[1::2])) > 3
+    got = by_id(simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert all(got[i][0].component_id == i - i % 2 for i in got)
+
+
 # -- 9 -------------------------------------------------------------------------------------------------------
 
 PRIVATE = [
