@@ -204,8 +204,13 @@ def least_hash_keys(unique: np.ndarray, times: np.ndarray, plus: np.ndarray) ->
     return [signed(xxhash.xxh64_intdigest(least[i : i + KEY_ROWS].tobytes(), i)) for i in range(0, len(least), KEY_ROWS)]
 
 
+def text_hash() -> Column:
+    """Tells texts of one doc_id, or of none, apart."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def described(docs: DataFrame, size: int) -> DataFrame:
-    """For each document: content key of its run set, bucket keys and the set (sorted 32-bit run hashes)."""
+    """For each document: hash of its text, content key of its run set, bucket keys and the set (sorted 32-bit run hashes)."""
 
     def run(batches):
         times, plus = _multipliers(KEYS * KEY_ROWS)
@@ -216,11 +221,11 @@ def described(docs: DataFrame, size: int) -> DataFrame:
                 key.append(signed(xxhash.xxh64_intdigest(unique.tobytes())))
                 keys.append(least_hash_keys(unique, times, plus))
                 sets.append(np.unique((unique >> np.uint64(32)).astype("<u4")).tobytes())
-            arrays = [batch.column(0), pa.array(key, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "keys", "runs"])
+            arrays = [batch.column(0), batch.column(2), pa.array(key, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "same", "key", "keys", "runs"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, key long, keys array<long>, runs binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash().alias("same"))
+    return rows.mapInArrow(run, "doc_id long, same long, key long, keys array<long>, runs binary")
 
 
 def similar(a: bytes, b: bytes) -> float:
@@ -302,7 +307,7 @@ def links_across(members: DataFrame, roots: DataFrame, rows: DataFrame, similari
 
 
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, key (of the run set) and component_id for every document, linking run sets of ``similarity`` or more.
+    """doc_id, same (hash of the text), key (of the run set), root and component_id for every document, linking run sets of ``similarity`` or more.
 
     Equal sets share a key and cost one row.  In a bucket each member is first tried with two leaders, drawn anew in
     each of the KEYS buckets it is in; what they leave in several classes is compared by :func:`links_across`.
@@ -334,19 +339,22 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
         roots = components(roots.toDF("a", "b").unionByName(across))
     of_class = members.select("key", "least").join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     least = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of_class.join(least, "root").select("key", "component_id")
-    return rows.select("doc_id", "key").join(named, "key")
+    named = of_class.join(least, "root").select("key", "root", "component_id")
+    return rows.select("doc_id", "same", "key").join(named, "key")
 
 
 def deduplicated(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its class, repeated rows once.
+    """One row of each class of ``docs``: that of the least doc_id, and of its texts the one with the least hash.
 
-    A class whose doc_ids are all null keeps one of its rows.
+    A class whose doc_ids are all null keeps one of its rows, and rows that repeat doc_id and text are one.
     """
-    classed = written(near_copies(docs, size, similarity), "classed")
-    kept = classed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id"))
-    stay = lambda rows: docs.alias("d").join(rows.alias("k"), same, "left_semi").select(*docs.columns)
+    classed = near_copies(docs, size, similarity).groupBy("root", "doc_id", "same").agg(F.count("*").alias("rows"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same", "rows")).alias("first")
+    kept = written(classed.groupBy("root").agg(first).select("first.doc_id", "first.same", F.col("first.rows").alias("__rows")), "kept")
+    named = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__same": text_hash()})
+    same = (F.col("d.__same") == F.col("k.same")) & F.col("d.__id").eqNullSafe(F.col("k.doc_id"))
+    stay = lambda rows: named.alias("d").join(rows.alias("k"), same, "left_semi")
     if kept.where(F.col("__rows") > 1).isEmpty():  # then texts are shuffled once
-        return stay(kept)
-    return stay(kept.where(F.col("__rows") == 1)).unionByName(stay(kept.where(F.col("__rows") > 1)).dropDuplicates(["doc_id"]))
+        return stay(kept).select(*docs.columns)
+    once = stay(kept.where(F.col("__rows") > 1)).dropDuplicates(["__id", "__same"])
+    return stay(kept.where(F.col("__rows") == 1)).unionByName(once).select(*docs.columns)

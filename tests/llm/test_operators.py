@@ -578,6 +578,15 @@ def test_near_copies_that_repeat_a_passage(spark):
     assert all(got[i][0].component_id == i - i % 2 for i in got)
 
 
+def test_one_row_of_each_class(spark):
+    texts = [" ".join(f"{name}{i}" for i in range(40)) for name in "abcdefgh"]
+    a, b, c, d, e, f, g, h = texts
+    rows = [(None, a), (None, b), (None, b), (None, c), (7, d), (7, e), (7, e), (3, f), (9, f), (None, f), (3, g), (2, g), (None, ""), (None, None), (5, h), (5, h.upper())]
+    got = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, a), (None, b), (None, c), (7, d), (7, e), (3, f), (2, g), (None, ""), (5, h)]
+    assert sorted(str((r.doc_id, (r.text or "").lower())) for r in got) == sorted(map(str, want))
+
+
 # -- 9 -------------------------------------------------------------------------------------------------------
 
 PRIVATE = [
