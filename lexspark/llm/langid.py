@@ -3,7 +3,8 @@
 A text is a vector of hashed n-grams (1 to 3 characters of its lower-cased letters, words set off by blanks),
 weighted by TF-IDF and normalised.  Each language has several centroids, clustered by spherical k-means; the
 nearest centroid by cosine names the language, and its cosine is the score.  A text further from every centroid
-than training texts of its length is *rejected*: it isn't in any learned language.
+than held-out training texts and pieces of its length is *rejected*: it isn't in any learned language.  They are
+held out by halves: each half is scored by centroids of the other.
 
 Learned from at most ``SAMPLE`` documents of each language, chosen by a hash of doc_id; document frequencies
 are those of this sample.  Only text is read; language, source and id are never inputs of a prediction.
@@ -14,6 +15,7 @@ repeated rows repeat; other columns are ignored; an empty table, or one without
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +27,9 @@ from .work import remainder
 
 #: Documents of each language that are learned from, at most; buckets of hashed n-grams; centroids of a language.
 SAMPLE, WIDTH, CENTROIDS = 500, 4096, 4
-#: A text is rejected below this part of the least cosine of training texts of its length.
-SLACK = 0.3
+#: A text is rejected below this part of a low quantile of the cosines of held-out pieces of its length, and of whole
+#: texts at most, as some long ones are a word or two over and over.
+SLACK, LOW = 0.75, 0.02
 UNKNOWN = "und"
 
 _LETTER: np.ndarray | None = None
@@ -113,23 +116,47 @@ def k_means(x: np.ndarray, k: int, steps: int = 12) -> np.ndarray:
     return c
 
 
-def fit(raw: np.ndarray, labels: list[str], k: int = CENTROIDS) -> Model:
+def learned(model: Model, x: np.ndarray, y: np.ndarray, k: int) -> Model:
+    rows = [k_means(x[y == i], k) for i in np.unique(y)]
+    model.centroids = np.concatenate(rows).astype(np.float32)
+    model.owner = np.repeat(np.unique(y), [len(r) for r in rows])
+    return model
+
+
+def fit(raw: np.ndarray, labels: list[str], pieces: np.ndarray, k: int = CENTROIDS) -> Model:
+    """A model of documents; ``pieces`` has the counts of a piece of each, of lengths from a word to the whole."""
     languages = sorted(set(labels))
+    model = Model(languages, np.ones(WIDTH, np.float32), np.zeros((0, WIDTH), np.float32), np.zeros(0, int), np.zeros(16))
     if not languages:
-        return Model([], np.ones(WIDTH, np.float32), np.zeros((0, WIDTH), np.float32), np.zeros(0, int), np.zeros(16))
-    idf = (np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))) + 1).astype(np.float32)
-    model = Model(languages, idf, np.zeros((0, WIDTH), np.float32), np.zeros(0, int), np.zeros(16))
+        return model
+    model.idf = (np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))) + 1).astype(np.float32)
     x, y = model.vectors(raw), np.array([languages.index(v) for v in labels])
-    rows = [k_means(x[y == i], k) for i in range(len(languages))]
-    model.centroids = np.concatenate(rows).astype(np.float32)
-    model.owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    own = (x @ model.centroids.T).max(axis=1)
-    bins = length_bin(raw.sum(axis=1))
-    least = np.minimum.accumulate([own[bins == b].min() if (bins == b).any() else np.inf for b in range(15, -1, -1)])[::-1]
-    model.floor = np.where(np.isfinite(least), least, 0.0) * SLACK  # no shorter text is judged more strictly than a longer one
+    half = np.arange(len(x)) % 2
+    whole, part = np.zeros(len(x)), np.zeros(len(x))
+    for h in range(2):
+        mine = half == h if (half != h).any() else half != h
+        if mine.any():
+            learned(model, x[~mine], y[~mine], k)
+            whole[mine] = (x[mine] @ model.centroids.T).max(axis=1)
+            part[mine] = (model.vectors(pieces[mine].astype(np.float32)) @ model.centroids.T).max(axis=1)
+    learned(model, x, y, k)
+    bins = length_bin(np.r_[raw.sum(axis=1), pieces.sum(axis=1)])
+    cosines = np.r_[whole, part]
+    low = np.array([np.quantile(cosines[bins == b], LOW) if (bins == b).any() else np.inf for b in range(16)])
+    least = np.minimum(np.minimum.accumulate(low[::-1])[::-1], np.quantile(whole, LOW))
+    model.floor = least * SLACK  # no shorter text is judged more strictly than a longer one
     return model
 
 
+def piece(text: str) -> str:
+    """Some words of a text, a power of two of them: lengths and places are drawn by its hash."""
+    words = text.split()
+    draw = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    size = min(len(words), 1 << draw % 9)
+    at = draw // 9 % (len(words) - size + 1)
+    return " ".join(words[at : at + size])
+
+
 def train(docs: DataFrame, bound: int = SAMPLE) -> Model:
     """Centroids from the documents that may be learned from."""
     known = docs.where(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), 4) != 2))
@@ -138,15 +165,22 @@ def train(docs: DataFrame, bound: int = SAMPLE) -> Model:
     for lang, n in sizes.items():
         condition = condition | ((F.col("lang") == lang) & (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, bound / n)) + 1))
 
+    def binary(c):
+        return np.minimum(c, 65535).astype("<u2").tobytes()
+
     def run(batches):
         for batch in batches:
-            found = [(c, lang) for t, lang in zip(batch.column(0), batch.column(1).to_pylist()) if (c := counts(t.as_py())) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for c, _ in found], pa.binary()), pa.array([v for _, v in found], pa.string())], names=["raw", "lang"])
-
-    rows = known.where(condition).select(F.col("text").cast("string").alias("text"), "lang").mapInArrow(run, "raw binary, lang string").collect()
-    rows = sorted((r.lang, bytes(r.raw)) for r in rows)
-    raw = np.frombuffer(b"".join(r for _, r in rows), "<u2").reshape(-1, WIDTH).astype(np.float32)
-    return fit(raw, [lang for lang, _ in rows])
+            found = []
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if (c := counts(text)) is not None:
+                    some = counts(piece(text))
+                    found.append((binary(c), binary(c if some is None else some), lang))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.string()))], names=["raw", "piece", "lang"])
+
+    rows = known.where(condition).select(F.col("text").cast("string").alias("text"), "lang").mapInArrow(run, "raw binary, piece binary, lang string").collect()
+    rows = sorted((r.lang, bytes(r.raw), bytes(r.piece)) for r in rows)
+    raw, pieces = (np.frombuffer(b"".join(r[i] for r in rows), "<u2").reshape(-1, WIDTH) for i in (1, 2))
+    return fit(raw.astype(np.float32), [r[0] for r in rows], pieces)
 
 
 def predictions(docs: DataFrame, model: Model, name: str = "found") -> DataFrame:

@@ -241,6 +241,24 @@ def test_language(spark, docs):
     assert both.count() == len(ROWS) and both.columns == [*docs.columns, "__f"]
 
 
+FOREIGN = {
+    "it": "La mattina presto il vecchio pescatore uscì dalla sua casa e camminò lentamente verso il porto, dove la barca lo aspettava come ogni giorno. Il mare era calmo e il cielo cominciava a schiarirsi sopra le colline.",
+    "nl": "De oude visser verliet vroeg in de ochtend zijn huis en liep langzaam naar de haven, waar de boot zoals elke dag op hem lag te wachten. De zee was kalm en de lucht werd langzaam lichter boven de heuvels.",
+    "pl": "Wczesnym rankiem stary rybak wyszedł ze swojego domu i powoli poszedł w stronę portu, gdzie jak co dzień czekała na niego łódź. Morze było spokojne, a niebo zaczynało się rozjaśniać nad wzgórzami.",
+    "fi": "Varhain aamulla vanha kalastaja lähti kotoaan ja käveli hitaasti kohti satamaa, jossa vene odotti häntä kuten joka päivä. Meri oli tyyni ja taivas alkoi vaaleta kukkuloiden yllä.",
+    "tr": "Sabah erkenden yaşlı balıkçı evinden çıktı ve her gün olduğu gibi teknenin onu beklediği limana doğru yavaşça yürüdü. Deniz sakindi ve gökyüzü tepelerin üzerinde aydınlanmaya başlıyordu.",
+}
+
+
+def test_language_rejects_other_latin_scripts(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(table)
+    texts = [part for t in FOREIGN.values() for part in (t, t[:90])]
+    assert [r for _, _, r in model.predict(texts)] == [True] * len(texts)
+    held = [r.text for r in table.where(F.crc32(F.col("doc_id").cast("string")) % 4 == 2).collect()]
+    assert np.mean([r for _, _, r in model.predict(held)]) < 0.01
+
+
 def test_language_edges(docs, none):
     assert langid.identify(none).count() == 0
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
