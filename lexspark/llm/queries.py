@@ -19,7 +19,7 @@ def _public(name: str) -> tuple[str, str]:
 
 
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score(table(spark, sf_dir, "documents"))
+    return katz.score(table(spark, sf_dir, "documents"), order=3)
 
 
 def op2_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:

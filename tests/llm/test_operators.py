@@ -108,6 +108,13 @@ def test_katz(spark, sf, docs, monkeypatch, order):
     assert sums == pytest.approx([1.0] * len(sums))
 
 
+def test_katz_query_has_trigrams(spark, sf):
+    scores = lambda df: sorted((r.doc_id, round(r.score, 5)) for r in df.collect())
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    got = scores(queries.op1_katz(spark, sf))
+    assert got == scores(katz.score(table, order=3)) and got != scores(katz.score(table, order=2))
+
+
 def test_katz_edges(none, docs):
     assert katz.score(none).count() == 0
     assert katz.score(docs).count() == len(ROWS)
