@@ -6,8 +6,8 @@ nearest centroid by cosine names the language, and its cosine is the score.  A t
 than held-out training texts and pieces of its length is *rejected*: it isn't in any learned language.  They are
 held out by halves: each half is scored by centroids of the other.
 
-Learned from at most ``SAMPLE`` documents of each language, chosen by a hash of doc_id; document frequencies
-are those of this sample.  Only text is read; language, source and id are never inputs of a prediction.
+Document frequencies are those of all documents that may be learned from; centroids and floors come from at most
+``SAMPLE`` of each language, chosen by a hash of doc_id.  Only text is read; language, source and id are never inputs of a prediction.
 
 Cases: text that is null or without a letter is ``und`` with score 0; texts of any length are read whole;
 repeated rows repeat; other columns are ignored; an empty table, or one without a labelled row, predicts ``und``.
@@ -123,13 +123,13 @@ def learned(model: Model, x: np.ndarray, y: np.ndarray, k: int) -> Model:
     return model
 
 
-def fit(raw: np.ndarray, labels: list[str], pieces: np.ndarray, k: int = CENTROIDS) -> Model:
-    """A model of documents; ``pieces`` has the counts of a piece of each, of lengths from a word to the whole."""
+def fit(raw: np.ndarray, labels: list[str], pieces: np.ndarray, seen: np.ndarray, k: int = CENTROIDS) -> Model:
+    """A model of documents; ``seen`` has how many documents there are in all and with each n-gram, ``pieces`` has the counts of a piece of each, of lengths from a word to the whole."""
     languages = sorted(set(labels))
     model = Model(languages, np.ones(WIDTH, np.float32), np.zeros((0, WIDTH), np.float32), np.zeros(0, int), np.zeros(16))
     if not languages:
         return model
-    model.idf = (np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))) + 1).astype(np.float32)
+    model.idf = (np.log((1 + seen[0]) / (1 + seen[1:])) + 1).astype(np.float32)
     x, y = model.vectors(raw), np.array([languages.index(v) for v in labels])
     half = np.arange(len(x)) % 2
     whole, part = np.zeros(len(x)), np.zeros(len(x))
@@ -157,6 +157,21 @@ def piece(text: str) -> str:
     return " ".join(words[at : at + size])
 
 
+def document_frequencies(known: DataFrame) -> np.ndarray:
+    """The number of texts with a letter, and of those with each n-gram: one vector a partition."""
+
+    def run(batches):
+        seen = np.zeros(1 + WIDTH, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                if (c := counts(text.as_py())) is not None:
+                    seen += np.r_[1, c > 0]
+        yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary())], names=["seen"])
+
+    rows = known.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "seen binary").collect()
+    return sum((np.frombuffer(r.seen, np.int64) for r in rows), np.zeros(1 + WIDTH, np.int64))
+
+
 def train(docs: DataFrame, bound: int = SAMPLE) -> Model:
     """Centroids from the documents that may be learned from."""
     known = docs.where(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), 4) != 2))
@@ -180,7 +195,7 @@ def train(docs: DataFrame, bound: int = SAMPLE) -> Model:
     rows = known.where(condition).select(F.col("text").cast("string").alias("text"), "lang").mapInArrow(run, "raw binary, piece binary, lang string").collect()
     rows = sorted((r.lang, bytes(r.raw), bytes(r.piece)) for r in rows)
     raw, pieces = (np.frombuffer(b"".join(r[i] for r in rows), "<u2").reshape(-1, WIDTH) for i in (1, 2))
-    return fit(raw.astype(np.float32), [r[0] for r in rows], pieces)
+    return fit(raw.astype(np.float32), [r[0] for r in rows], pieces, document_frequencies(known))
 
 
 def predictions(docs: DataFrame, model: Model, name: str = "found") -> DataFrame:

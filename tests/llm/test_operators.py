@@ -266,6 +266,14 @@ def test_language_rejects_other_latin_scripts(spark):
     assert np.mean([r for _, _, r in model.predict(held)]) < 0.01
 
 
+def test_language_weights_from_all_documents(spark, sf):
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    known = table.where("lang IS NOT NULL AND crc32(CAST(doc_id AS STRING)) % 4 <> 2").collect()
+    seen = np.stack([c > 0 for r in known if (c := langid.counts(r.text)) is not None])
+    want = np.log((1 + len(seen)) / (1 + seen.sum(axis=0))) + 1
+    assert np.allclose(langid.train(table, bound=3).idf, want)
+
+
 def test_language_edges(docs, none):
     assert langid.identify(none).count() == 0
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
