@@ -258,8 +258,8 @@ SUMS = TOP + 2  # of a context: tokens, n-grams of each count to TOP, lower mass
 
 
 def packed_sums(sums: np.ndarray) -> bytes:
-    """Whole numbers by plane, and the lower mass to 29 bits: an error of 2e-9 of it."""
-    mass = np.ascontiguousarray(sums[:, TOP + 1]).view(np.uint64) & np.uint64(0xFFFF_FFFF_FF00_0000)
+    """Whole numbers by plane, and the lower mass as it is."""
+    mass = np.ascontiguousarray(sums[:, TOP + 1]).view(np.uint64)
     return packed(np.concatenate([sums[:, : TOP + 1].T.astype(np.uint64).reshape(-1), mass]))
 
 

@@ -115,6 +115,12 @@ def test_katz_query_has_trigrams(spark, sf):
     assert got == scores(katz.score(table, order=3)) and got != scores(katz.score(table, order=2))
 
 
+def test_katz_sums_arrive_whole():
+    sums = np.random.default_rng(1).random((50, katz.SUMS)) * np.r_[np.full(katz.TOP + 1, 1000), 1]
+    sums[:, : katz.TOP + 1] = np.floor(sums[:, : katz.TOP + 1])
+    assert (katz.unpacked_sums(katz.packed_sums(sums)) == sums).all()
+
+
 def test_katz_edges(none, docs):
     assert katz.score(none).count() == 0
     assert katz.score(docs).count() == len(ROWS)
