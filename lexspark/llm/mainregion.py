@@ -205,12 +205,13 @@ def labelled_region(page: Page) -> tuple[int, int] | None:
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", bound: int = TRAIN_PAGES) -> dict[str, float]:
-    """Weights from at most ``bound`` pages that mark their content, chosen by a hash of id and html, and EXAMPLES."""
-    chosen = (
-        pages.where(F.col(html_col).rlike("(?i)<(?:article|main)[\\s>]"))
-        .select(F.xxhash64(F.col(id_col).cast("string"), F.length(html_col)).alias("h"), F.col(html_col).alias("html"))
-        .orderBy("h", "html").limit(bound).select("html").collect()
-    )
+    """Weights from at most ``bound`` pages that mark their content, chosen by a hash of id and html, and EXAMPLES.
+
+    The least hashes are found first, alone; then their pages are read, one of each hash.
+    """
+    marked = pages.where(F.col(html_col).rlike("(?i)<(?:article|main)[\\s>]")).select(F.xxhash64(F.col(id_col).cast("string"), html_col).alias("h"), F.col(html_col).alias("html"))
+    least = marked.select("h").distinct().orderBy("h").limit(bound).agg(F.max("h")).first()[0]
+    chosen = [] if least is None else sorted(marked.where(F.col("h") <= least).groupBy("h").agg(F.min("html").alias("html")).collect())
     labelled = [example(e) for e in EXAMPLES]
     for row in chosen:
         page = Page(row.html)
