@@ -46,7 +46,7 @@ def reformed_upper(c: Column) -> Column:
 def resolve_form(form: Column, root: Column, gerund: Column | bool = False) -> Column:
     """An inflected form: the form itself, or a ``-suffix`` joined to ``root`` by the rules for a silent ending.
 
-    null form -> null; a form that isn't a suffix loses its parentheses; a suffix without a root stays as it is.
+    null or empty form -> null; a form that isn't a suffix loses its parentheses; a suffix without a root stays as it is.
     """
     is_gerund = gerund if isinstance(gerund, Column) else F.lit(gerund)
     suffix = F.regexp_replace(form, "^-", "")
@@ -59,7 +59,7 @@ def resolve_form(form: Column, root: Column, gerund: Column | bool = False) -> C
         .otherwise(root)
     )
     return (
-        F.when(form.isNull() | (form == ""), form)
+        F.when(form.isNull() | (form == ""), F.lit(None).cast("string"))
         .when(~form.startswith("-"), F.regexp_replace(form, "[()]", ""))
         .when(root.isNull() | (root == ""), form)
         .otherwise(F.concat(stem, suffix))

@@ -46,5 +46,12 @@ def mermaid(records: DataFrame, project: str = PROJECT) -> DataFrame:
     return lines.agg(F.concat(F.lit("graph LR\n"), body).alias("diagram"))
 
 
+def document(records: DataFrame, project: str = PROJECT) -> DataFrame:
+    """One row, ``json``: {"nodes": [...], "edges": [...]} of the given records, sorted; meant for a few of them."""
+    held = nodes(records, project).agg(F.array_sort(F.collect_list(F.struct("id", "label", "lang", "pos"))).alias("nodes"))
+    held = held.crossJoin(edges(records, project).agg(F.array_sort(F.collect_list(F.struct("source", "target"))).alias("edges")))  # one row each
+    return held.select(F.to_json(F.struct("nodes", "edges")).alias("json"))
+
+
 def graph_counts(records: DataFrame, project: str = PROJECT) -> DataFrame:
     return nodes(records, project).agg(F.count("*").alias("nodes")).crossJoin(edges(records, project).agg(F.count("*").alias("edges")))  # one row each

@@ -52,8 +52,9 @@ def tags(pos: Column) -> Column:
     return F.filter(F.transform(F.split(pos, ","), trim_blanks), lambda t: t != "")
 
 
-def has_tag(pos: Column, wanted: tuple[str, ...]) -> Column:
-    return F.exists(F.transform(F.split(pos, ","), trim_blanks), lambda t: t.isin(*wanted))
+def has_tag(found: Column, wanted: tuple[str, ...]) -> Column:
+    """Whether some of the tags found is wanted."""
+    return F.arrays_overlap(found, F.array(*[F.lit(w) for w in wanted]))
 
 
 def first_form(etymology: Column, lang: str) -> Column:
@@ -76,8 +77,11 @@ def _some(a: Column) -> Column:
     return F.when(F.size(a) > 0, a)
 
 
-def conjugations(pos: Column, t: Column, me: Column, real_me: Column) -> Column:
-    """struct(kind, conj, warning) from the tokens of the reformed line and of the English line."""
+def conjugations(slotted: Column, verbish: Column, nounish: Column, t: Column, me: Column, real_me: Column) -> Column:
+    """struct(kind, conj, warning) from the tokens of the reformed line and of the English line, and what the tags say.
+
+    All of them are columns of the row: an expression here would be worked out anew wherever it is named.
+    """
     n = F.size(t)
     at = lambda i: F.coalesce(F.get(t, F.lit(i - 1)), F.lit(""))
     tail = lambda start: F.slice(t, start, F.greatest(n - start + 1, F.lit(0)))
@@ -103,13 +107,13 @@ def conjugations(pos: Column, t: Column, me: Column, real_me: Column) -> Column:
     empty = out("empty", _conj())
     verb = (
         F.when(real_me & (F.size(me) == n) & (n > 1) & plain, out("explicit", _conj(explicit=pairs)))
-        .when(has_tag(pos, SLOTTED) & at(2).endswith("(s"), out("slot", c1))
-        .when(has_tag(pos, SLOTTED) & (n > 5), out("empty", _conj(), F.concat(F.lit("over five forms: "), F.array_join(t, " "))))
-        .when(has_tag(pos, SLOTTED), out("slot", c3))
+        .when(slotted & at(2).endswith("(s"), out("slot", c1))
+        .when(slotted & (n > 5), out("empty", _conj(), F.concat(F.lit("over five forms: "), F.array_join(t, " "))))
+        .when(slotted, out("slot", c3))
         .otherwise(empty)
     )
     noun = F.when(n < 2, empty).when(at(2).startswith("-"), out("noun", _conj(plural=at(2), forms=_some(tail(3))))).otherwise(out("noun", c7))
-    return F.when(has_tag(pos, VERBISH), verb).when(has_tag(pos, NOUNISH), noun).when(n < 2, empty).otherwise(out("forms", c8))
+    return F.when(verbish, verb).when(nounish, noun).when(n < 2, empty).otherwise(out("forms", c8))
 
 
 def parse(files: DataFrame) -> DataFrame:
@@ -120,7 +124,10 @@ def parse(files: DataFrame) -> DataFrame:
     rows = rows.withColumn("toks", tokens(without_to(trim_blanks(F.regexp_replace("reformed", POS_AT_END, "")))))
     me = F.coalesce(first_form(F.col("etymology"), "ME"), first_form(F.col("etymology"), "MI"), F.try_element_at("etymology", F.lit(-1))["form"])
     rows = rows.withColumn("me", F.coalesce(without_to(me), F.lit("")))
-    rows = rows.withColumn("c", conjugations(F.col("pos"), F.col("toks"), tokens(F.col("me")), first_form(F.col("etymology"), "ME").isNotNull()))
+    found = F.transform(F.split("pos", ","), trim_blanks)
+    rows = rows.withColumns({"me_toks": tokens(F.col("me")), "real_me": first_form(F.col("etymology"), "ME").isNotNull(), "tags": found})
+    rows = rows.withColumns({"slotted": has_tag(F.col("tags"), SLOTTED), "verbish": has_tag(F.col("tags"), VERBISH), "nounish": has_tag(F.col("tags"), NOUNISH)})
+    rows = rows.withColumn("c", conjugations(*[F.col(x) for x in ("slotted", "verbish", "nounish", "toks", "me_toks", "real_me")]))
     return rows.select(
         "file", "stanza_idx", F.coalesce(F.get(F.split("me", r"[ \t,]+"), F.lit(0)), F.lit("")).alias("me_word"),
         F.coalesce(F.regexp_replace(F.get("toks", F.lit(0)), "[,.]$", ""), F.lit("")).alias("reformed_word"), "pos",

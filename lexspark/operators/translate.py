@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.common import let
 from ..functions.text import is_clitic, match_casing, resolve_form
 from .brain import entries
 
@@ -35,15 +36,16 @@ def routed(pos: Column, forms: Column, first: Column) -> Column:
 def inflected(tag: Column, word: Column, conj: Column) -> Column:
     """The form for a Penn tag; an empty slot counts as absent."""
     slot = lambda name: F.nullif(conj[name], F.lit(""))
-    return (
-        F.when(tag == "NNS", resolve_form(F.coalesce(slot("plural"), F.lit("-s")), word))
-        .when(tag == "VBP", F.coalesce(slot("present"), word))
-        .when(tag == "VBZ", resolve_form(F.coalesce(slot("third_singular"), F.lit("-s")), word))
-        .when(tag == "VBD", resolve_form(F.coalesce(slot("past"), F.lit("-d")), word))
-        .when(tag == "VBN", resolve_form(F.coalesce(slot("participle"), slot("past"), F.lit("-d")), word))
-        .when(tag == "VBG", resolve_form(F.coalesce(slot("gerund"), F.lit("-ing")), word, True))
-        .otherwise(word)
+    suffixed = (
+        F.when(tag == "NNS", F.coalesce(slot("plural"), F.lit("-s")))
+        .when(tag == "VBZ", F.coalesce(slot("third_singular"), F.lit("-s")))
+        .when(tag == "VBD", F.coalesce(slot("past"), F.lit("-d")))
+        .when(tag == "VBN", F.coalesce(slot("participle"), slot("past"), F.lit("-d")))
+        .when(tag == "VBG", F.coalesce(slot("gerund"), F.lit("-ing")))
     )
+    # one call for the slot that is chosen, each value named once: the code of a plan has a limit of 64 KB
+    resolved = let(F.struct(suffixed.alias("form"), word.alias("word")), lambda v: resolve_form(v["form"], v["word"], tag == "VBG"))
+    return F.when(tag == "VBP", F.coalesce(slot("present"), word)).when(tag.isin("NNS", "VBZ", "VBD", "VBN", "VBG"), resolved).otherwise(word)
 
 
 def transcribed_words(words: DataFrame, brain: DataFrame) -> DataFrame:
@@ -58,7 +60,7 @@ def transcribed_words(words: DataFrame, brain: DataFrame) -> DataFrame:
     base = F.nullif(F.try_element_at("e.forms", F.col("route.category")), F.lit(""))
     rows = rows.withColumn("base", base).withColumn("conj", F.try_element_at("e.conjs", F.col("route.category"))["conjugations"])
     whole = F.col("a").isNotNull() & (F.col("raw") != F.col("low"))
-    word = match_casing(F.col("text"), F.when(whole, F.col("base")).otherwise(inflected(F.col("tag"), F.col("base"), F.col("conj"))))
+    word = let(F.when(whole, F.col("base")).otherwise(inflected(F.col("tag"), F.col("base"), F.col("conj"))), lambda w: match_casing(F.col("text"), w))
     missing = ~F.col("bypass") & F.col("base").isNull()
     return rows.select(
         "text", "lemma", "pos", "tag", "is_ent", F.when(F.col("bypass"), F.col("text")).when(missing, F.concat(F.lit("["), F.col("text"), F.lit("]"))).otherwise(word).alias("word"),

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as X
 from .functions import geometry, keys, reference, text
 from .operators import analytics, brain, content, graph, histories, lint, stanzas, translate
+from .plans import pipelines
 from .sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,15 +35,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# -- entry files: the fixtures, and one synthesised from the words of every English document ----------------
+# -- entry files: the fixtures, and one for every document, a stanza from each four of its words -------------
 
 POS_BY_ID = ["v", "m n", "adj", "adv", "adj, m n", "aux"]
-STEPS = "concat(w[{0}], ' [OE]\n', 'to ', w[{1}], ', ', w[{2}], ' [ME]\n', w[{3}], ' -s -d -ing (', p, ')\nhttps://www.example.com/', w[{0}], '/x')"
+#: Stanzas in turn; {0} to {3} are the words, {p} the part of speech: verbs with slots, nouns, explicit pairs, forms,
+#: a stanza without a reformed line, and a verb in full.
+STANZAS = [
+    "{0} [OE]\nto {1}, {2} [ME]\n{3} -s -d -ing ({p})\nhttps://www.example.com/{0}/x",
+    "{0} [OF]\n{1} [ME]\n{2} -s {3} (m n)",
+    "{0}, {1}, {2} [ME]\n{1}, {2}, {3} (modal, aux)\nhttp://example.org/{3}",
+    "{0} [L]\n{1} [MI]\n{2} -{3} -ly ({p})",
+    "{0} [OE]\n{1} {2} -{3}",
+    "to {0} [ME]\nto {1} {2}(s -d {3} -ing (tr v)",
+]
+
+
+
+def _stanza_sql(stanza: str) -> str:
+    pieces = re.split(r"\{(\w)\}", stanza)
+    return "concat(" + ", ".join(("p" if x == "p" else f"w{x}") if i % 2 else X.literal(x) for i, x in enumerate(pieces) if x) + ")"
+
 
 FILES_SQL = f"""{X.values(X.FILES, "fixture", "file, text")},
-synth AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda x: lower(x)) AS w,
-  CASE doc_id % 6 {" ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(POS_BY_ID))} END AS p FROM documents WHERE lang = 'en'),
-files AS (SELECT file, text FROM fixture UNION ALL SELECT concat('doc/', doc_id, '.txt'), {STEPS.format(1, 2, 3, 4)} FROM synth WHERE len(w) >= 4)"""
+wd AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents)),
+w4 AS (SELECT doc_id, i // 4 AS k, max(x) FILTER (i % 4 = 0) AS w0, max(x) FILTER (i % 4 = 1) AS w1, max(x) FILTER (i % 4 = 2) AS w2, max(x) FILTER (i % 4 = 3) AS w3, (doc_id + i // 4) % 6 AS turn FROM wd GROUP BY 1, 2 HAVING count(*) = 4),
+s4 AS (SELECT doc_id, k, w0, w1, w2, w3, turn, CASE (doc_id // 6 + k) % 6 {" ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(POS_BY_ID))} END AS p FROM w4),
+files AS (SELECT file, text FROM fixture UNION ALL SELECT concat('doc/', doc_id, '.txt'), string_agg(CASE turn {" ".join(f"WHEN {i} THEN {_stanza_sql(s)}" for i, s in enumerate(STANZAS))} END, chr(10) || chr(10) ORDER BY k) FROM s4 GROUP BY doc_id)"""
 
 PARSED_SQL = rf"""{FILES_SQL},
 st AS (SELECT file, generate_subscripts(ps, 1)::INT AS stanza_idx, unnest(ps) AS stanza FROM
@@ -77,14 +97,22 @@ records AS (SELECT *, coalesce(list_filter(etymology, lambda e: e.lang IN ('ME',
 
 
 def entry_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file and text."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
-    rows = docs.select("doc_id", F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), F.lower).alias("w")).where(F.size("w") >= 4)
-    p = F.get(F.array(*[F.lit(x) for x in POS_BY_ID]), (F.col("doc_id") % 6).cast("int"))
-    w = lambda i: F.get("w", F.lit(i - 1))
-    made = F.concat(w(1), F.lit(" [OE]\nto "), w(2), F.lit(", "), w(3), F.lit(" [ME]\n"), w(4), F.lit(" -s -d -ing ("), p, F.lit(")\nhttps://www.example.com/"), w(1), F.lit("/x"))
+    """file and text: a document's words, all of them, in stanzas of four."""
+    docs = table(spark, sf_dir, "documents")
+    # lowered first, as SQL does: A-Z alone have a lower form in a-z but for the Kelvin sign, which both lower
+    rows = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w")).where(F.size("w") >= 4)
+    fours = F.sequence(F.lit(0), F.floor(F.size("w") / 4).cast("int") - 1)
+
+    def stanza(k: Column) -> Column:
+        p = F.get(F.array(*[F.lit(x) for x in POS_BY_ID]), ((F.floor(F.col("doc_id") / 6) + k) % 6).cast("int"))
+        out, turn = None, (F.col("doc_id") + k) % 6
+        for i, s in enumerate(STANZAS):
+            text = F.concat(*[(p if x == "p" else F.get("w", k * 4 + int(x))) if n % 2 else F.lit(x) for n, x in enumerate(re.split(r"\{(\w)\}", s)) if x])
+            out = F.when(turn == i, text) if out is None else out.when(turn == i, text)
+        return out
+
     fixed = spark.createDataFrame(X.FILES, "file string, text string")
-    return fixed.unionByName(rows.select(F.concat(F.lit("doc/"), "doc_id", F.lit(".txt")).alias("file"), made.alias("text")))
+    return fixed.unionByName(rows.select(F.concat(F.lit("doc/"), "doc_id", F.lit(".txt")).alias("file"), F.array_join(F.transform(fours, stanza), "\n\n").alias("text")))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,10 +242,17 @@ def chain_view(spark, sf_dir):
     return analytics.chain(records(spark, sf_dir), "body")
 
 
-@query(f"""WITH {FILES_SQL}, t AS (SELECT file, CASE WHEN lower(regexp_extract(file, '([^/]*)\\.txt$', 1)) = 'fous' THEN 1 WHEN regexp_matches(text, '(^|[^a-zA-Z])fous([^a-zA-Z]|$)') THEN 2 END AS tier FROM files WHERE regexp_matches(file, '(^|/)f/[^/]*$'))
-SELECT file FROM t WHERE tier IS NOT NULL ORDER BY tier, file LIMIT 1""")
+#: Found by name, by a word of the text, by both (the name wins), by a part of a word only, and not at all.
+SOUGHT = ["body", "CAN", "sihor", "fares", "fare", "hamer", "fous", "zzz"]
+
+
+@query(f"""WITH {FILES_SQL}, {X.values([(w,) for w in SOUGHT], "sought", "word")}, t AS (SELECT word, file, CASE WHEN lower(regexp_extract(file, '([^/]*)\\.txt$', 1)) = lower(word) THEN 1 WHEN regexp_matches(text, concat('(^|[^a-zA-Z])', word, '([^a-zA-Z]|$)')) THEN 2 END AS tier
+  FROM files, sought WHERE regexp_matches(file, concat('(^|/)', left(word, 1), '/[^/]*$')))
+SELECT word, file FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY tier, file) AS rn FROM t WHERE tier IS NOT NULL) WHERE rn = 1""")
 def resolve_file(spark, sf_dir):
-    return analytics.resolve_file(entry_files(spark, sf_dir), "fous")
+    files = entry_files(spark, sf_dir)
+    hits = [analytics.resolve_file(files, w).select(F.lit(w).alias("word"), "file") for w in SOUGHT]
+    return functools.reduce(DataFrame.unionByName, hits)
 
 
 CHAINS_SQL = f"""{PARSED_SQL}, ch AS (SELECT file, stanza_idx, list_concat(list_transform(etymology, lambda e: {{'label': e.form, 'lang': e.lang, 'pos': ''}}), [{{'label': reformed_word, 'lang': 'Reformed', 'pos': pos}}]) AS c FROM records WHERE len(etymology) > 0),
@@ -242,6 +277,23 @@ def mermaid(spark, sf_dir):
     return graph.mermaid(records(spark, sf_dir).where(F.col("file").isin("b/body.txt", "f/fox.txt")))
 
 
+@query(rf"""WITH {CHAINS_SQL}, n1 AS (SELECT n.label || '_' || n.lang AS id, n, row_number() OVER (PARTITION BY n.label || '_' || n.lang ORDER BY file, stanza_idx, i) AS rn FROM nd),
+e1 AS (SELECT DISTINCT source, target FROM (SELECT lag(n.label || '_' || n.lang) OVER (PARTITION BY file, stanza_idx ORDER BY i) AS source, n.label || '_' || n.lang AS target FROM nd) WHERE source IS NOT NULL)
+SELECT 'node' AS kind, to_json({{'id': id, 'label': n.label, 'lang': n.lang, 'pos': n.pos}})::VARCHAR AS json FROM n1 WHERE rn = 1 UNION ALL SELECT 'edge', to_json({{'source': source, 'target': target}})::VARCHAR FROM e1""")
+def graph_json(spark, sf_dir):
+    """The lines that ``write_graph`` writes."""
+    found = records(spark, sf_dir)
+    lines = lambda kind, rows: rows.select(F.lit(kind).alias("kind"), F.to_json(F.struct("*")).alias("json"))
+    return lines("node", graph.nodes(found)).unionByName(lines("edge", graph.edges(found)))
+
+
+@query(f"""WITH {PARSED_SQL}, p AS (SELECT tag, count(*) AS count FROM (SELECT unnest(tags) AS tag FROM records) WHERE tag <> '' GROUP BY tag), g AS (SELECT origin.lang AS lang, count(*) AS count FROM records GROUP BY 1), x AS (SELECT pos, coalesce(origin.lang, '?') AS lang, count(*) AS count FROM records GROUP BY 1, 2)
+SELECT to_json({{'parts_of_speech': (SELECT list({{'tag': tag, 'count': count}} ORDER BY count DESC, tag) FROM p), 'languages': (SELECT list({{'lang': lang, 'count': count}} ORDER BY count DESC, coalesce(lang, '')) FROM g),
+ 'cross_tabulation': (SELECT list({{'pos': pos, 'lang': lang, 'count': count}} ORDER BY count DESC, pos, lang) FROM x)}})::VARCHAR AS json""")
+def summary_json(spark, sf_dir):
+    return pipelines.summary_json(records(spark, sf_dir))
+
+
 @query(f"WITH {CHAINS_SQL}, e AS (SELECT DISTINCT source, target FROM (SELECT lag(n.label || '_' || n.lang) OVER (PARTITION BY file, stanza_idx ORDER BY i) AS source, n.label || '_' || n.lang AS target FROM nd) WHERE source IS NOT NULL) SELECT (SELECT count(DISTINCT n.label || '_' || n.lang) FROM nd) AS nodes, (SELECT count(*) FROM e) AS edges")
 def graph_counts(spark, sf_dir):
     return graph.graph_counts(records(spark, sf_dir))
@@ -330,7 +382,7 @@ BRAIN_SQL = rf"""{PARSED_SQL}, v AS (SELECT *, nfc_normalize(lower(coalesce(stri
 w AS (SELECT *, CASE WHEN trim(me_word) = '' OR trim(reformed_word) = '' THEN 'no word' WHEN eng = '' THEN 'no English word' WHEN len(cats) = 0 THEN 'no known part of speech' END AS reason FROM v),
 ec AS (SELECT file, stanza_idx, eng, ing, conj_kind, plural, third_singular, explicit, generate_subscripts(cats, 1) - 1 AS cat_idx, unnest(cats) AS category FROM w WHERE reason IS NULL),
 ex AS (SELECT file, stanza_idx, cat_idx, category, generate_subscripts(explicit, 1) - 1 AS p, unnest(explicit) AS pr FROM ec WHERE explicit IS NOT NULL),
-mp AS (SELECT file, stanza_idx, cat_idx, 0 AS kind, 0 AS sub, eng, category, ing AS form, CASE WHEN conj_kind <> 'empty' THEN conj_kind || ':' || coalesce(nfc_normalize(plural), '') || ':' || coalesce(third_singular, '') END AS conj FROM ec
+mp AS (SELECT file, stanza_idx, cat_idx, 0 AS kind, 0 AS sub, eng, category, ing AS form, CASE WHEN conj_kind <> 'empty' THEN conj_kind || ':' || coalesce(nfc_normalize(plural), '') || ':' || coalesce(third_singular, '') || ':' || coalesce(array_to_string(list_transform(explicit, lambda x: x.eng || '=' || nfc_normalize(x.ing)), ';'), '') END AS conj FROM ec
  UNION ALL SELECT file, stanza_idx, cat_idx, 1, p * 2, lower(pr.eng), 'Verb', nfc_normalize(pr.ing), NULL FROM ex WHERE coalesce(pr.eng, '') <> '' AND coalesce(pr.ing, '') <> ''
  UNION ALL SELECT file, stanza_idx, cat_idx, 1, p * 2 + 1, lower(pr.eng), category, nfc_normalize(pr.ing), NULL FROM ex WHERE category <> 'Verb' AND coalesce(pr.eng, '') <> '' AND coalesce(pr.ing, '') <> ''
  UNION ALL SELECT file, stanza_idx, cat_idx, 2, q, 'cannot', c, coalesce(nullif(list_filter(coalesce(explicit, []), lambda x: x.eng = 'can''t')[1].ing, ''), ing), NULL FROM ec, (VALUES (0, 'Modal'), (1, 'Verb')) AS k(q, c) WHERE category = 'Modal' AND eng = 'can'),
@@ -339,7 +391,25 @@ br AS (SELECT eng, category, arg_max(form, o) AS form, arg_max(conj, o) FILTER (
 
 
 def conj_text(c: F.Column) -> F.Column:
-    return F.when(c.isNotNull(), F.concat(c["conj_kind"], F.lit(":"), F.coalesce(c["conjugations"]["plural"], F.lit("")), F.lit(":"), F.coalesce(c["conjugations"]["third_singular"], F.lit(""))))
+    return F.when(c.isNotNull(), F.concat(c["conj_kind"], F.lit(":"), forms_text(c["conjugations"])))
+
+
+def forms_text(c: F.Column) -> F.Column:
+    """Plural, third person and explicit pairs of conjugations."""
+    pairs = F.array_join(F.transform(c["explicit"], lambda p: F.concat(p["eng"], F.lit("="), p["ing"])), ";")
+    return F.concat(F.coalesce(c["plural"], F.lit("")), F.lit(":"), F.coalesce(c["third_singular"], F.lit("")), F.lit(":"), F.coalesce(pairs, F.lit("")))
+
+
+@query(f"""WITH {BRAIN_SQL} SELECT eng, array_to_string(list(category ORDER BY first), ',') AS categories, array_to_string(list(form ORDER BY first), ',') AS forms,
+  array_to_string(list(category || '=' || regexp_replace(conj, '^[a-z]+:', '') ORDER BY first) FILTER (conj IS NOT NULL), ',') AS conjugations FROM br GROUP BY 1""")
+def brain_json(spark, sf_dir):
+    """The lexicon's JSON objects, read back: categories in their order, forms, and what the conjugations hold."""
+    lines = sinks.brain_json_lines(brain.compile_brain(records(spark, sf_dir)))
+    back = lines.select("eng", F.from_json("value", "map<string, map<string, string>>")[F.col("eng")].alias("entry"))
+    keys = F.filter(F.map_keys("entry"), lambda k: ~k.endswith("_conjugations"))
+    held = F.filter(F.map_keys("entry"), lambda k: k.endswith("_conjugations"))
+    conj = F.transform(held, lambda k: F.concat(F.regexp_replace(k, "_conjugations$", ""), F.lit("="), forms_text(F.from_json(F.col("entry")[k], stanzas.CONJ))))
+    return back.select("eng", F.array_join(keys, ",").alias("categories"), F.array_join(F.transform(keys, lambda k: F.col("entry")[k]), ",").alias("forms"), F.when(F.size(held) > 0, F.array_join(conj, ",")).alias("conjugations"))
 
 
 @query(f"WITH {BRAIN_SQL} SELECT eng, category, form, conj FROM br")
@@ -402,7 +472,7 @@ def lexicon(spark: SparkSession) -> DataFrame:
 
 def resolve_sql(form: str, root: str, gerund: str) -> str:
     suffix = f"regexp_replace({form}, '^-', '')"
-    return f"""CASE WHEN {form} IS NULL OR {form} = '' THEN {form} WHEN NOT starts_with({form}, '-') THEN regexp_replace({form}, '[()]', '', 'g') WHEN coalesce({root}, '') = '' THEN {form}
+    return f"""CASE WHEN {form} IS NULL OR {form} = '' THEN NULL WHEN NOT starts_with({form}, '-') THEN regexp_replace({form}, '[()]', '', 'g') WHEN coalesce({root}, '') = '' THEN {form}
  WHEN ends_with({root}, 'ie') AND starts_with({suffix}, 'i') AND {gerund} THEN left({root}, length({root}) - 2) || 'y' || {suffix} WHEN ends_with({root}, 'ie') AND {suffix} = 'is' THEN left({root}, length({root}) - 2) || {suffix}
  WHEN (ends_with({root}, 'ue') OR ends_with({root}, 'che')) AND {suffix} = 's' THEN left({root}, length({root}) - 2) || {suffix} WHEN ends_with({root}, 'e') AND ({gerund} OR regexp_matches({suffix}, '^[aeiouy]')) THEN left({root}, length({root}) - 1) || {suffix} ELSE {root} || {suffix} END"""
 
@@ -617,13 +687,17 @@ def erase_area(spark, sf_dir):
     return geometry.apply_erase(drawings(spark), (4.0, 2.0, 8.0, 6.0)).select("entry", "type", "name", "paths")
 
 
-GLYPHS = [("New Glyph", "Kana", ["M 0 0"]), ("x", "", ["M 1 1"]), ("", "Kana", ["M 0 0"]), ("no paths", "Kana", None)]
+GLYPHS = [("New Glyph", "Kana", ["M 0 0"]), ("x", "", ["M 1 1"]), ("y", None, ["M 1 1", "M 2 2"]), ("Old  Rune", "Runes", []), ("", "Kana", ["M 0 0"]), ("no paths", "Kana", None)]
 
 
-@query(r"""SELECT CASE WHEN name = '' OR paths IS NULL THEN 400 ELSE 200 END AS status, CASE WHEN NOT (name = '' OR paths IS NULL) THEN regexp_replace(lower(name), '\s+', '_', 'g') END AS slug, coalesce(nullif(category, ''), 'Custom') AS tab FROM (VALUES ('New Glyph', 'Kana', 'p'), ('x', '', 'p'), ('', 'Kana', 'p'), ('no paths', 'Kana', NULL)) AS g(name, category, paths)""")
+@query(rf"""WITH {X.values([(n, c, None if p is None else len(p)) for n, c, p in GLYPHS], "g", "name, category, paths")}, more AS (SELECT name, category, paths FROM g UNION ALL SELECT p_name, p_brand, p_size % 3 FROM part)
+SELECT name, CASE WHEN name = '' OR paths IS NULL THEN 400 ELSE 200 END AS status, CASE WHEN NOT (name = '' OR paths IS NULL) THEN regexp_replace(lower(name), '\s+', '_', 'g') END AS slug,
+  CASE WHEN NOT (name = '' OR paths IS NULL) THEN coalesce(nullif(category, ''), 'Custom') END AS tab, CASE WHEN NOT (name = '' OR paths IS NULL) THEN paths::BIGINT END AS paths FROM more""")
 def glyph_save(spark, sf_dir):
+    """What a save of each glyph answers, and the category and paths that its record holds."""
     rows = spark.createDataFrame(GLYPHS, "name string, category string, paths array<string>")
-    checked = sinks.checked_glyphs(rows.withColumn("category", F.coalesce(F.nullif("category", F.lit("")), F.lit("Custom"))))
-    return checked.select("status", "slug", F.when(F.col("slug") == "x", "Custom").otherwise("Kana").alias("tab"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("category"), F.array_repeat(F.lit("M 0 0"), (F.col("p_size") % 3).cast("int")).alias("paths"))
+    saved = F.from_json("record", "name string, category string, paths array<string>")
+    return sinks.checked_glyphs(rows.unionByName(parts)).select("name", "status", "slug", saved["category"].alias("tab"), F.when(F.col("status") == 200, F.size(saved["paths"])).cast("long").alias("paths"))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import glyph_slug
+from ..operators import graph
 from ..operators.analytics import flattened, json_lines
 
 
@@ -26,13 +29,27 @@ def write_brain(brain: DataFrame, path: str, as_json: bool = False) -> None:
     if not as_json:
         brain.write.mode("overwrite").parquet(path)
         return
-    fields = F.transform(
-        F.array_sort(F.collect_list(F.struct("cat_ord", "category", "form", F.to_json("conj.conjugations").alias("c")))),
-        lambda x: F.concat(F.to_json(F.create_map(x["category"], x["form"])), F.when(x["c"].isNotNull(), F.concat(F.lit(',{"'), x["category"], F.lit('_conjugations":'), x["c"], F.lit("}"))).otherwise("")),
-    )
-    merged = F.regexp_replace(F.array_join(fields, ","), r"\},\{", ",")
-    lines = brain.groupBy("eng").agg(merged.alias("entry")).orderBy("eng")
-    lines.select(F.concat(F.lit("{"), F.regexp_replace(F.to_json(F.struct("eng")), r'^\{"eng":|\}$', ""), F.lit(":"), "entry", F.lit("}")).alias("value")).write.mode("overwrite").text(path)
+    brain_json_lines(brain).orderBy("eng").select("value").write.mode("overwrite").text(path)
+
+
+def member(key: Column, json: Column) -> Column:
+    """``"key":json`` of an object; the key is quoted as JSON is."""
+    one = F.to_json(F.create_map(key, F.lit("")))  # {"key":""}
+    return F.concat(F.substr(one, F.lit(2), F.length(one) - 4), json)
+
+
+def quoted(text: Column) -> Column:
+    """A string as JSON."""
+    one = F.to_json(F.array(text))
+    return F.substr(one, F.lit(2), F.length(one) - 2)
+
+
+def brain_json_lines(brain: DataFrame) -> DataFrame:
+    """eng and value: one object a lemma, its categories in the order they came, each followed by its conjugations."""
+    rows = brain.select("eng", "cat_ord", member(F.col("category"), quoted(F.col("form"))).alias("form"), member(F.concat("category", F.lit("_conjugations")), F.to_json("conj.conjugations")).alias("conj"))
+    held = F.array_sort(F.collect_list(F.struct("cat_ord", F.concat_ws(",", "form", "conj").alias("members"))))
+    entry = F.concat(F.lit("{"), F.array_join(F.transform(held, lambda x: x["members"]), ","), F.lit("}"))
+    return rows.groupBy("eng").agg(entry.alias("entry")).select("eng", F.concat(F.lit("{"), member(F.col("eng"), F.col("entry")), F.lit("}")).alias("value"))
 
 
 def write_books(texts: DataFrame, path: str) -> None:
@@ -40,24 +57,60 @@ def write_books(texts: DataFrame, path: str) -> None:
     texts.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    """A path and its file system, whatever store it is in."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def write_words(words: DataFrame, path: str) -> bool:
-    """A sorted word list; what was there goes when there are none."""
-    column = words.columns[0]
-    some = not words.isEmpty()
-    words.select(F.col(column).alias("value")).orderBy("value").write.mode("overwrite").text(path)
+    """A sorted word list; without words nothing is left there."""
+    spark = words.sparkSession
+    words.select(F.col(words.columns[0]).alias("value")).orderBy("value").write.mode("overwrite").text(path)
+    some = not spark.read.text(path).isEmpty()
+    if not some:
+        p, files = _folder(spark, path)
+        files.delete(p, True)
     return some
 
 
-def write_histories(histories: DataFrame, path: str) -> None:
-    """History files by folder and name."""
-    histories.select(F.concat_ws("/", "dir", "name").alias("name"), F.col("text").alias("value")).write.mode("overwrite").partitionBy("name").text(path)
+def write_histories(histories: DataFrame, path: str, dry_run: bool = False) -> list[str]:
+    """Each history as ``<dir>/<word>_<pos>.txt`` below ``path``; returns the names, which is all that a dry run does.
+
+    Spark writes the texts, a folder for each name; the driver then renames the one file of each to its place.
+    """
+    named = histories.select(F.concat_ws("/", "dir", "name").alias("name"), F.col("text").alias("value"))
+    if dry_run:
+        return sorted(r.name for r in named.select("name").toLocalIterator())
+    spark = histories.sparkSession
+    made = f"{path.rstrip('/')}/_made"
+    named.write.mode("overwrite").partitionBy("name").option("lineSep", "\n").text(made)
+    root, files = _folder(spark, made)
+    names = []
+    for folder in files.listStatus(root):
+        if folder.isDirectory():
+            (part,) = [f for f in files.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+            name = unquote(folder.getPath().getName().removeprefix("name="))
+            to, _ = _folder(spark, f"{path.rstrip('/')}/{name}")
+            files.mkdirs(to.getParent())
+            files.delete(to, False)
+            files.rename(part.getPath(), to)
+            names.append(name)
+    files.delete(root, True)
+    return sorted(names)
+
+
+def write_graph(records: DataFrame, path: str) -> None:
+    """The etymology graph as JSON lines, ``nodes`` and ``edges``; one document of a few records is ``graph.document``."""
+    for name, rows in (("nodes", graph.nodes(records)), ("edges", graph.edges(records))):
+        rows.write.mode("overwrite").json(f"{path}/{name}")
 
 
 def checked_glyphs(glyphs: DataFrame) -> DataFrame:
     """What a save is given: slug, record as JSON, and status 400 without a name or paths, else 200."""
     bad = (F.coalesce("name", F.lit("")) == "") | F.col("paths").isNull()
     record = F.to_json(F.struct("name", F.coalesce(F.nullif("category", F.lit("")), F.lit("Custom")).alias("category"), "paths"))
-    return glyphs.select(F.when(bad, 400).otherwise(200).alias("status"), F.when(~bad, glyph_slug(F.col("name"))).alias("slug"), F.when(~bad, record).alias("record"))
+    return glyphs.select("name", F.when(bad, 400).otherwise(200).alias("status"), F.when(~bad, glyph_slug(F.col("name"))).alias("slug"), F.when(~bad, record).alias("record"))
 
 
 def write_glyphs(glyphs: DataFrame, path: str) -> None:

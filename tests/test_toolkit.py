@@ -78,7 +78,7 @@ def lcg(seed):
 
 
 def test_morphology_and_casing(spark):
-    want = ["", "did", "went", "books", "sadly", "translated", "making", "cyngs", "mâcs", "makes", "statement", "bying", "mâching", "comittis", "-s", "", "seed", "flyies"]
+    want = ["", "did", "went", "books", "sadly", "translated", "making", "cyngs", "mâcs", "makes", "statement", "bying", "mâching", "comittis", "-s", None, "seed", "flyies"]
     rows = spark.createDataFrame([(i, *x) for i, x in enumerate(X.FORMS)], "i int, form string, root string, gerund boolean")
     got = [r.x for r in rows.select("i", text.resolve_form(F.col("form"), F.col("root"), F.col("gerund")).alias("x")).orderBy("i").collect()]
     assert got == [None, *want[1:]]
@@ -174,11 +174,40 @@ def test_sources_and_sinks(spark, tmp_path):
 
     entry = json.loads(spark.read.text(str(tmp_path / "bj")).first().value)
     assert list(entry["body"])[0] == "Adjective" and entry["body"]["Noun_conjugations"]["plural"] == "-is"
-    assert pipelines.create_histories(spark, str(tmp_path / "d"), str(tmp_path / "h")).count() == 1
+    said = []
+    assert pipelines.create_histories(spark, str(tmp_path / "d"), say=said.append).count() == 1 and len(said) == 1
+    pipelines.create_histories(spark, str(tmp_path / "d"), str(tmp_path / "h"))
+    made = [p for p in (tmp_path / "h").rglob("*") if p.is_file() and not p.name.startswith(".")]
+    assert [str(p.relative_to(tmp_path / "h")) for p in made] == said and "bodie" not in made[0].read_text() and "bodi [MI]" in made[0].read_text()
     (tmp_path / "t").mkdir()
     (tmp_path / "t/a.json").write_text('[{"text":"Hi","lemma":"hi","pos":"INTJ","tag":"UH","is_ent":false,"whitespace":""}]')
     assert readers.token_files(spark, str(tmp_path / "t")).first().text == "Hi"
     assert "m n" in pipelines.summary_text(records)
+    told = json.loads(pipelines.summary_json(records).first().json)
+    assert {"tag": "m n", "count": 1} in told["parts_of_speech"] and told["cross_tabulation"] == [{"pos": "adj, m n", "lang": "ME", "count": 1}]
+    sinks.write_graph(records, str(tmp_path / "g"))
+    assert spark.read.json(str(tmp_path / "g/edges")).count() == 3
+    document = json.loads(graph.document(records).first().json)
+    assert len(document["nodes"]) == 4 and document["edges"][0]["source"] == "bodi_MI"
+    words = spark.createDataFrame([("b",), ("a",)], "word string")
+    assert sinks.write_words(words, str(tmp_path / "w")) and [r.value for r in spark.read.text(str(tmp_path / "w")).collect()] == ["a", "b"]
+    assert not sinks.write_words(words.where("false"), str(tmp_path / "w")) and not (tmp_path / "w").exists()
+
+
+def test_lexicon_as_json(spark, files, tmp_path):
+    """Explicit pairs come back whole; text that looks like JSON does no harm."""
+    import json
+
+    odd = spark.createDataFrame([("o.txt", 'o}{"d [ME]\nx}{"z -s -d -ing (v)')], "file string, text string")
+    compiled = brain.compile_brain(stanzas.parse(files.unionByName(odd)))
+    sinks.write_brain(compiled, str(tmp_path / "b"), as_json=True)
+    entries = {k: v for r in spark.read.text(str(tmp_path / "b")).collect() for k, v in json.loads(r.value).items()}
+    pairs = lambda e: [(p["eng"], p["ing"]) for p in entries[e]["Modal_conjugations"]["explicit"]]
+    assert pairs("will") == [("would", "oûd"), ("won't", "uon't"), ("wouldn't", "oûdn't")]
+    assert pairs("can") == [("could", "coûd"), ("can't", "cânt")]
+    assert sorted(entries) == sorted(r.eng for r in compiled.select("eng").distinct().collect())
+    assert all(entries[r.eng][r.category] == r.form for r in compiled.collect())
+    assert entries['o}{"d']["Verb"] == 'x"z'
 
 
 def test_stream(spark, tmp_path):
@@ -196,6 +225,16 @@ def test_keys(spark):
     assert all(r.m == r.x for r in rows)
 
 
+def test_line_without():
+    cut = lambda *p: G.line_without([complex(*x) for x in p], 2 + 2j, 4 + 4j)
+    assert cut((0, 3), (6, 3)) == [[3j, 2 + 3j], [4 + 3j, 6 + 3j]]
+    assert cut((3, 3), (3, 9)) == [[3 + 4j, 3 + 9j]] and cut((3, 3)) == [] and cut((9, 9)) == [[9 + 9j]] and cut() == []
+    assert cut((0, 0), (1, 9), (9, 9)) == [[0j, 1 + 9j, 9 + 9j]]
+    assert cut((0, 2), (2, 0)) == [[2j, 2 + 0j]] and cut((2.5, 2.5), (3, 3)) == []
+    assert cut((0, 3), (3, 3), (3, 0), (6, 0)) == [[3j, 2 + 3j], [3 + 2j, 3 + 0j, 6 + 0j]]
+    assert cut((0, 4), (4, 0)) == [[4j, 2 + 2j], [2 + 2j, 4 + 0j]]  # it touches a corner
+
+
 def test_geometry():
     assert [len(r) for r in G.subpaths("M 0 0 Q 1 1 2 0 m 1 1 l 1 0 1 1 z")] == [33, 3]
     end = G.arc(100 + 100j, 50, 50, 0, False, True, 200 + 100j, 32)
