@@ -128,6 +128,22 @@ def search(docs: DataFrame, query: str, top: int = 15, id_col: str = "doc_id", t
     return docs.select(F.col(id_col).alias("doc_id"), score.alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(top)
 
 
+def term_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """term, doc_id, section (lines from 1), n: how often a section has a term.  Written once, partitioned or sorted by term, it serves any number of searches."""
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.lower(text_col), "\n")).alias("p", "line"))
+    terms = lines.select("doc_id", (F.col("p") + 1).alias("section"), F.explode(F.regexp_extract_all("line", F.lit("[a-z]+"), F.lit(0))).alias("term"))
+    return terms.groupBy("term", "doc_id", "section").agg(F.count("*").alias("n"))
+
+
+def search_index(index: DataFrame, query: str, top: int = 15, sections: int = 3) -> DataFrame:
+    """doc_id, score, sections, section, section_score: the best documents, and of each its best sections (ties by place).  A blank query finds nothing."""
+    words = sorted({w for w in query.lower().split() if w})
+    hits = index.where(F.col("term").isin(*words) if words else F.lit(False)).groupBy("doc_id", "section").agg(F.sum("n").alias("section_score"))
+    best = hits.groupBy("doc_id").agg(F.sum("section_score").alias("score"), F.count("*").alias("sections")).orderBy(F.desc("score"), "doc_id").limit(top)
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("section_score"), "section"))
+    return hits.join(best, "doc_id").withColumn("rank", rank).where(F.col("rank") <= sections).select("doc_id", "score", "sections", "section", "section_score")
+
+
 def flattened(records: DataFrame) -> DataFrame:
     """me_word, reformed_word, pos, conjugations (its strings joined): the columns of the CSV export."""
     return records.select("me_word", "reformed_word", "pos", F.array_join(conj_leaves(F.col("conj_kind"), F.col("conjugations")), " ").alias("conjugations"))

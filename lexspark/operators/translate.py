@@ -107,13 +107,13 @@ FUNCTION_WORDS = {
 }
 
 
-def tagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokens of whole texts by deterministic rules: words, numbers, marks, and what white space follows.
+def tagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Tokens of whole texts by deterministic rules: words, numbers, marks, and what white space follows; and the columns to ``keep``.
 
     Any trained tagger that gives the same columns can stand here instead.
     """
     text = F.col(text_col)
-    each = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.regexp_extract_all(text, F.lit(r"(n['’]t|['’][A-Za-z]+|[^\W\d_]+?(?=n['’]t)|[^\W\d_]+|[0-9]+|[^\w\s]|_)(\s*)".replace(r"[^\W\d_]", r"\p{L}").replace(r"[^\w\s]", r"[^\p{L}0-9_\s]")), F.lit(0))).alias("tok_idx", "piece"))
+    each = docs.select(F.col(id_col).alias("doc_id"), *keep, F.posexplode(F.regexp_extract_all(text, F.lit(r"(n['’]t|['’][A-Za-z]+|[^\W\d_]+?(?=n['’]t)|[^\W\d_]+|[0-9]+|[^\w\s]|_)(\s*)".replace(r"[^\W\d_]", r"\p{L}").replace(r"[^\w\s]", r"[^\p{L}0-9_\s]")), F.lit(0))).alias("tok_idx", "piece"))
     word = F.regexp_replace("piece", r"\s+$", "")
     rows = each.withColumn("t", word).withColumn("whitespace", F.regexp_extract("piece", r"(\s*)$", 1)).withColumn("low", F.lower("t"))
     pos = F.when(~F.col("low").rlike(r"[\p{L}0-9]"), F.struct(F.lit("PUNCT").alias("pos"), F.lit(".").alias("tag"))).when(F.col("low").rlike("^[0-9]"), F.struct(F.lit("NUM").alias("pos"), F.lit("CD").alias("tag")))
@@ -126,4 +126,4 @@ def tagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
     rows = rows.withColumn("p", pos)
     lemma = F.when(F.col("p.tag") == "NNS", F.regexp_replace("low", "s$", "")).when(F.col("p.tag") == "VBG", F.regexp_replace("low", "ing$", "")).when(F.col("p.tag") == "VBD", F.regexp_replace("low", "ed$", "")).otherwise(F.col("low"))
-    return rows.select("doc_id", "tok_idx", F.col("t").alias("text"), lemma.alias("lemma"), "p.pos", "p.tag", F.lit(False).alias("is_ent"), "whitespace")
+    return rows.select("doc_id", "tok_idx", F.col("t").alias("text"), lemma.alias("lemma"), "p.pos", "p.tag", F.lit(False).alias("is_ent"), "whitespace", *keep)

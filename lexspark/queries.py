@@ -353,9 +353,19 @@ def csv_flatten(spark, sf_dir):
     return analytics.csv_lines(records(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {PARSED_SQL} SELECT me_word, reformed_word, pos, present, third_singular, past, participle, gerund, plural, coalesce(array_to_string(list_transform(explicit, lambda p: p.eng || '=' || p.ing), '|'), '-') AS explicit,
+  coalesce(array_to_string(variants, '|'), '-') AS variants, coalesce(array_to_string(forms, '|'), '-') AS forms, {ETYM} AS etymology, coalesce(array_to_string(sources, '|'), '-') AS sources, count(*) AS lines FROM records GROUP BY ALL""")
 def jsonl_flatten(spark, sf_dir):
-    return analytics.json_lines(records(spark, sf_dir))
+    """The JSON lines of the dataset, read back; equal lines are counted."""
+    r = F.from_json("line", f"me_word string, reformed_word string, pos string, conjugations {stanzas.CONJ}, etymology array<struct<form: string, lang: string>>, sources array<string>")
+    rows = analytics.json_lines(records(spark, sf_dir)).select(r.alias("r")).select("r.*")
+    c = F.col("conjugations")
+    shown = {
+        **{k: F.col(k) for k in ("me_word", "reformed_word", "pos")}, **{s: c[s] for s in (*stanzas.SLOTS, "plural")},
+        "explicit": _list(F.transform(c["explicit"], lambda p: F.concat(p["eng"], F.lit("="), p["ing"]))), "variants": _list(c["variants"]), "forms": _list(c["forms"]),
+        "etymology": _list(F.transform("etymology", lambda e: F.concat(e["form"], F.lit("/"), e["lang"]))), "sources": _list(F.col("sources")),
+    }
+    return rows.groupBy(*[v.alias(k) for k, v in shown.items()]).agg(F.count("*").alias("lines"))
 
 
 HISTORY_CASE = " ".join(f"WHEN regexp_matches(tag, '(?:^|[ \\t])(?:{e})$') THEN '{n}'" for n, e in reference.HISTORY_POS.items())
@@ -635,6 +645,14 @@ def search_top15(spark, sf_dir):
     return analytics.search(table(spark, sf_dir, "documents"), "the of tion")
 
 
+@query(r"""WITH l AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1)::INT AS section FROM (SELECT doc_id, string_split(lower(text), chr(10)) AS s FROM documents)), t AS (SELECT doc_id, section, unnest(regexp_extract_all(line, '[a-z]+')) AS term FROM l),
+s AS (SELECT doc_id, section, count(*) AS n FROM t WHERE term IN ('the', 'tion', 'of') GROUP BY 1, 2), d AS (SELECT doc_id, sum(n)::BIGINT AS score, count(*) AS sections FROM s GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 15)
+SELECT doc_id, score, sections, section, n AS section_score FROM (SELECT d.*, s.section, s.n, row_number() OVER (PARTITION BY doc_id ORDER BY s.n DESC, s.section) AS rn FROM d JOIN s USING (doc_id)) WHERE rn <= 3""")
+def search_sections(spark, sf_dir):
+    """The fifteen best documents by an index of terms, and the three best sections of each."""
+    return analytics.search_index(analytics.term_index(table(spark, sf_dir, "documents")), "the of tion")
+
+
 @query(f"WITH {X.values(X.TYPED, 'k', 'keys, made')} SELECT keys, made FROM k")
 def keyboard_fold(spark, sf_dir):
     pressed = spark.createDataFrame([(k,) for k, _ in X.TYPED], "keys string")

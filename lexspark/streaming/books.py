@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.translate import missing_words, reassembled, tagged, transcribe
+from ..functions.text import is_clitic
+from ..operators.translate import missing_words, reassembled, tagged, transcribe, unmatched
 
 
 def book_stream(spark: SparkSession, root: str) -> DataFrame:
@@ -31,6 +32,14 @@ def translate_folder(spark: SparkSession, root: str, brain: DataFrame, out: str,
     return book_stream(spark, root).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def watch_missing(spark: SparkSession, root: str, brain: DataFrame, out: str, checkpoint: str):
+    """Starts the query that appends each missing word of the books, when it is first met, to ``out``."""
+    tokens = tagged(book_stream(spark, root), keep=("at",))
+    lacking = unmatched(tokens, brain).where(~F.col("pos").isin("PUNCT", "SPACE", "X") & ~is_clitic(F.lower("text"))).select(F.lower("lemma").alias("word"), "at")
+    found = new_missing(lacking)
+    return found.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def new_missing(words: DataFrame, delay: str = "7 days") -> DataFrame:
     """Missing words (word, at) of a stream, each once within the watermark."""
     return words.withWatermark("at", delay).dropDuplicatesWithinWatermark(["word"])

@@ -220,6 +220,16 @@ def test_stream(spark, tmp_path):
     assert [r.word for r in spark.read.parquet(str(tmp_path / "out/missing")).collect()] == ["zebra"]
 
 
+def test_stream_tells_a_missing_word_once(spark, tmp_path):
+    from lexspark.queries import lexicon
+
+    (tmp_path / "in").mkdir()
+    for name, text in (("a", "the fox and zebra, zebra"), ("b", "A zebra; a yak's")):
+        (tmp_path / f"in/{name}.txt").write_text(text)
+        books.watch_missing(spark, str(tmp_path / "in"), lexicon(spark), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r.word for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "yak", "zebra"]
+
+
 def test_keys(spark):
     rows = spark.createDataFrame([(k, m) for k, m in X.TYPED], "k string, m string").select("m", keys.typed(F.split("k", ",")).alias("x")).collect()
     assert all(r.m == r.x for r in rows)
