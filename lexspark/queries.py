@@ -690,19 +690,53 @@ def drawings(spark: SparkSession) -> DataFrame:
     return rows.withColumn("transform", t)
 
 
-@query()
+PARTS_SQL = "c AS (SELECT p_partkey AS id, p_partkey % 97 AS a, p_partkey % 89 AS b, p_size::BIGINT AS s FROM part)"
+
+
+def part_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole numbers of each part, from which paths are drawn."""
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(k.alias("id"), (k % 97).alias("a"), (k % 89).alias("b"), F.col("p_size").cast("long").alias("s"))
+
+
+@query(f"""WITH {PARTS_SQL}, t AS (SELECT i::INT AS i, i / 32.0::DOUBLE AS t FROM range(33) r(i))
+SELECT id, i, (1 - t) * (1 - t) * a + 2 * t * (1 - t) * (a + s) + t * t * (a + s) AS x, (1 - t) * (1 - t) * b + 2 * t * (1 - t) * b + t * t * (b + s) AS y FROM c, t
+UNION ALL SELECT id, 33, a::DOUBLE, (b + s)::DOUBLE FROM c""")
 def path_flatten(spark, sf_dir):
-    return drawings(spark).select("name", F.explode("paths").alias("path")).select("name", F.transform(geometry.flattened("path"), lambda r: F.size(r)).alias("points"))
+    """Points of a curve and the line that goes on from it, for each part."""
+    n = lambda c: c.cast("string")
+    a, b, s = F.col("a"), F.col("b"), F.col("s")
+    path = F.concat_ws(" ", F.lit("M"), n(a), n(b), F.lit("Q"), n(a + s), n(b), n(a + s), n(b + s), F.lit("L"), n(a), n(b + s), F.lit("Z"))
+    return part_columns(spark, sf_dir).select("id", F.posexplode(F.flatten(geometry.flattened(path))).alias("i", "p")).select("id", "i", "p.x", "p.y")
 
 
-@query()
+@query(f"""WITH {PARTS_SQL} SELECT id, concat('M ', 2 * a, ' ', b - 5, ' L ', 2 * (a + s), ' ', b - 4, ' Z') AS baked, concat('M ', a + 3, ' ', b - 2, ' L ', a + s + 3, ' ', b - 1, ' Z') AS moved,
+ 'translate(10.0, 0.0) scale(2.0, 1.0) translate(-5.0, -5.0)' AS attribute FROM c""")
 def path_transform(spark, sf_dir):
-    return drawings(spark).select("name", "transform", F.explode("paths").alias("path")).select("name", geometry.bake("path", "transform").alias("baked"), geometry.translate("path", F.lit(1.5), F.lit(-2.0)).alias("moved"), geometry.transform_attribute(F.col("transform")).alias("attribute"))
+    n = lambda c: c.cast("string")
+    a, b, s = F.col("a"), F.col("b"), F.col("s")
+    t = F.struct(*[F.lit(float(v)).alias(k) for k, v in (("tx", 5), ("ty", -5), ("scaleX", 2), ("scaleY", 1), ("cx", 5), ("cy", 5))])
+    rows = part_columns(spark, sf_dir).select("id", F.concat_ws(" ", F.lit("M"), n(a), n(b), F.lit("L"), n(a + s), n(b + 1), F.lit("Z")).alias("path"), t.alias("transform"))
+    return rows.select("id", geometry.bake("path", "transform").alias("baked"), geometry.translate("path", F.lit(3.0), F.lit(-2.0)).alias("moved"), geometry.transform_attribute(F.col("transform")).alias("attribute"))
 
 
-@query()
+@query(f"""WITH {PARTS_SQL}, e AS (SELECT *, b % 20 AS y, id % 3 AS kind FROM c)
+SELECT id AS entry, 'stroke' AS type, concat('M 0 ', y, ' L 100 ', y) AS path FROM e WHERE kind < 2 AND y NOT BETWEEN 5 AND 10
+UNION ALL SELECT id, 'stroke', concat('M 0 ', y, ' L 40 ', y) FROM e WHERE kind < 2 AND y BETWEEN 5 AND 10 UNION ALL SELECT id, 'stroke', concat('M 60 ', y, ' L 100 ', y) FROM e WHERE kind < 2 AND y BETWEEN 5 AND 10
+UNION ALL SELECT id, 'glyph', concat('M ', a, ' ', b, ' L ', a + 1, ' ', b, ' L ', a + 1, ' ', b + 1, ' Z') FROM e WHERE kind = 2 AND NOT (a <= 60 AND a + 1 >= 40 AND b <= 10 AND b + 1 >= 5)""")
 def erase_area(spark, sf_dir):
-    return geometry.apply_erase(drawings(spark), (4.0, 2.0, 8.0, 6.0)).select("entry", "type", "name", "paths")
+    """A rectangle erased from a drawing of all parts: lines across it are cut in two, shapes inside it go, others stay."""
+    n = lambda c: c.cast("string")
+    a, b, y = F.col("a"), F.col("b"), n(F.col("b") % 20)
+    line = F.concat_ws(" ", F.lit("M 0"), y, F.lit("L 100"), y)
+    shape = F.concat_ws(" ", F.lit("M"), n(a), n(b), F.lit("L"), n(a + 1), n(b), F.lit("L"), n(a + 1), n(b + 1), F.lit("Z"))
+    still = F.struct(*[F.lit(float(v)).alias(k) for k, v in (("tx", 0), ("ty", 0), ("scaleX", 1), ("scaleY", 1), ("cx", 0), ("cy", 0))])
+    stroke = F.col("id") % 3 < 2
+    entries = part_columns(spark, sf_dir).select(F.col("id").alias("entry"), F.when(stroke, "stroke").otherwise("glyph").alias("type"), F.array(F.when(stroke, line).otherwise(shape)).alias("paths"), still.alias("transform"))
+    # shapes that only meet its rim or its edge are left to the tests
+    rim = (F.col("id") % 3 == 2) & ~((a >= 40) & (a + 1 <= 60) & (b >= 5) & (b + 1 <= 10)) & (a <= 60) & (a + 1 >= 40) & (b <= 10) & (b + 1 >= 5)
+    met = part_columns(spark, sf_dir).where(rim).select(F.col("id").alias("entry"))
+    return geometry.apply_erase(entries.join(met, "entry", "left_anti"), (40.0, 5.0, 60.0, 10.0)).select("entry", "type", F.explode("paths").alias("path"))
 
 
 GLYPHS = [("New Glyph", "Kana", ["M 0 0"]), ("x", "", ["M 1 1"]), ("y", None, ["M 1 1", "M 2 2"]), ("Old  Rune", "Runes", []), ("", "Kana", ["M 0 0"]), ("no paths", "Kana", None)]
