@@ -98,7 +98,10 @@ records AS (SELECT *, coalesce(list_filter(etymology, lambda e: e.lang IN ('ME',
 
 def entry_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file and text: a document's words, all of them, in stanzas of four."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:  # a table of one file: parsing is the work, so all cores get a share
+        docs = docs.repartition(cores)
     # lowered first, as SQL does: A-Z alone have a lower form in a-z but for the Kelvin sign, which both lower
     rows = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w")).where(F.size("w") >= 4)
     fours = F.sequence(F.lit(0), F.floor(F.size("w") / 4).cast("int") - 1)
