@@ -4,11 +4,12 @@ A paragraph is hashed to a wide vector of integers, and a document's vector is t
 each lane modulo a power of two.  The sum doesn't depend on the order of paragraphs, and a paragraph is
 inserted or deleted by adding or subtracting its vector (:func:`combined`), with no look at the others.
 
-A paragraph's vector has two parts.  ``STRONG`` lanes of 32 bits come from the hash of the whole paragraph:
-they decide equality.  ``SOFT`` lanes count, for each bit of two hashes, the paragraph's word triples that
-have the bit set (two lanes of 31 bits to an integer, so that one addition serves both): the number of triples
-and these counts give random-sign projections of the multiset of triples, whose cosine is the likeness of two
-documents.  Both parts are functions of the paragraph, so the whole vector stays additive.
+A paragraph's vector has two parts.  ``STRONG`` lanes modulo 2**32 come from the hash of the whole paragraph:
+they decide equality.  The others, modulo 2**31, are the number of the paragraph's word triples and, for each bit of
+two hashes, how many of them have the bit set (two lanes to an integer, so that one addition serves both): these
+give random-sign projections of the multiset of triples, whose cosine is the likeness of two documents.  Both parts
+are functions of the paragraph, so the whole vector stays additive.  A fingerprint is the whole vector as text
+(:func:`shown`), and a likeness is worked out from two fingerprints alone (:func:`read`, :func:`likeness`).
 
 Paragraphs are lines; empty lines count as paragraphs too, so the texts 'a' and 'a\n' differ.  A document
 is one shuffled row: neighbours are found by ranges of doc_id, so that no task holds more than a range.
@@ -29,11 +30,13 @@ SEEDS = 2  # hashes of a word triple, 32 integers of two lanes for each
 SOFT = 32 * SEEDS
 PAIR = 0x0000_0001_0000_0001
 LANE = 0xFFFF_FFFF
+COUNT = 0x7FFF_FFFF  # a lane that counts triples
+COUNTS = COUNT << 32 | COUNT
 #: Characters of text that one range of documents should hold.
 RANGE_CHARS = 8_000_000
 #: Quantiles of doc_id that the driver holds at most.
 SEGMENTS = 256
-#: Ranges up to which one small row of each is broadcast.
+#: Ranges up to which one small row of each is broadcast: a choice of plan, whose results are the same.
 MOST_BROADCAST = 100_000
 
 
@@ -73,7 +76,7 @@ def soft_aggregates(h: Column) -> list[Column]:
     """Sums over rows of word-triple hashes."""
     out = []
     for seed in range(SEEDS):
-        x = h if seed == 0 else F.xxhash64(h)
+        x = h if seed == 0 else F.when(h.isNotNull(), F.xxhash64(h))  # the hash of a null is a number
         out += [F.sum(F.shiftrightunsigned(x, bit).bitwiseAND(F.lit(PAIR))) for bit in range(32)]
     return out
 
@@ -97,6 +100,20 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a["hex"] == b["hex"], 1.0).otherwise(cosine(lanes(a["soft"], a["n"]), lanes(b["soft"], b["n"])))
 
 
+def shown(strong_hex: Column, n: Column, soft: Column) -> Column:
+    """A fingerprint: 8 hex digits for each strong lane and for the number of triples, 16 for each pair of other lanes."""
+    digits = lambda x, k: F.lower(F.lpad(F.hex(x), k, "0"))
+    return F.concat(strong_hex, digits(n, 8), F.array_join(F.transform(soft, lambda x: digits(x, 16)), ""))
+
+
+def read(fingerprint: Column) -> Column:
+    """The lanes of a fingerprint: struct of hex, n and soft."""
+    number = lambda start, k: F.conv(F.substr(fingerprint, start, F.lit(k)), 16, 10).cast("long")
+    at = 8 * STRONG
+    soft = F.transform(F.sequence(F.lit(0), F.lit(SOFT - 1)), lambda i: number(i * 16 + at + 9, 16))
+    return F.struct(F.substr(fingerprint, F.lit(1), F.lit(at)).alias("hex"), number(F.lit(at + 1), 8).alias("n"), soft.alias("soft"))
+
+
 def combined(a: Column, b: Column, sign: int = 1) -> Column:
     """The strong lanes of a document with the paragraphs of ``b`` inserted (deleted with ``sign`` -1)."""
     return F.zip_with(a, b, lambda x, y: (x + sign * y).bitwiseAND(F.lit(LANE)))
@@ -181,8 +198,8 @@ def neighbour_fingerprints(docs: DataFrame) -> DataFrame:
         F.array(triples(F.col("text")), F.when(~F.col("guest"), triples(F.col("edited")))).alias("both"),
     )
     one = described.select(*keys, F.posexplode_outer("both").alias("which", "hashes")).select(*keys, "which", F.explode_outer("hashes").alias("h"))
-    packed = F.array(*[F.coalesce(s, F.lit(0).cast("long")) for s in soft_aggregates(F.col("h"))])
-    sums = one.groupBy(*keys, "which").agg(F.count("h").alias("n"), packed.alias("soft"))
+    packed = F.array(*[F.coalesce(s, F.lit(0).cast("long")).bitwiseAND(F.lit(COUNTS)) for s in soft_aggregates(F.col("h"))])
+    sums = one.groupBy(*keys, "which").agg(F.count("h").bitwiseAND(F.lit(COUNT)).alias("n"), packed.alias("soft"))
     struct = lambda hex_col: F.struct(F.col(hex_col).alias("hex"), "n", "soft")
     pair = sums.groupBy(*keys).agg(
         F.max(F.when(F.col("which") == 0, struct("strong"))).alias("own"), F.max(F.when(F.col("which") == 1, struct("edited_strong"))).alias("changed")
@@ -190,6 +207,7 @@ def neighbour_fingerprints(docs: DataFrame) -> DataFrame:
     w = Window.partitionBy("bucket").orderBy("place")
     found = pair.withColumn("next", F.lead("own").over(w))
     return found.where(~F.col("guest")).select(
-        "doc_id", "n_chars", *[F.lower(F.hex(c)).alias(name) for c, name in (("edited_sha256", "edited_sha256"), ("strong", "fingerprint"), ("edited_strong", "edited_fingerprint"))],
+        "doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"),
+        *[shown(F.lower(F.hex(c)), F.col(f"{side}.n"), F.col(f"{side}.soft")).alias(name) for c, side, name in (("strong", "own", "fingerprint"), ("edited_strong", "changed", "edited_fingerprint"))],
         likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"),
     )
