@@ -10,7 +10,7 @@ Document frequencies are those of all documents that may be learned from; centro
 ``SAMPLE`` of each language, chosen by a hash of doc_id.  Only text is read; language, source and id are never inputs of a prediction.
 
 Cases: text that is null or without a letter is ``und`` with score 0; texts of any length are read whole;
-repeated rows repeat; other columns are ignored; an empty table, or one without a labelled row, predicts ``und``.
+repeated rows repeat; of equal cosines the centroid of the alphabetically first language wins; other columns are ignored; an empty table, or one without a labelled row, predicts ``und``.
 """
 
 from __future__ import annotations
@@ -173,12 +173,13 @@ def document_frequencies(known: DataFrame) -> np.ndarray:
 
 
 def train(docs: DataFrame, bound: int = SAMPLE) -> Model:
-    """Centroids from the documents that may be learned from."""
+    """Centroids from the documents that may be learned from; a text that repeats under an id is drawn once at most."""
     known = docs.where(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), 4) != 2))
+    draw = F.xxhash64(F.col("doc_id"), F.col("text").cast("string"), F.lit(5))
     sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     condition = F.lit(False)
     for lang, n in sizes.items():
-        condition = condition | ((F.col("lang") == lang) & (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, bound / n)) + 1))
+        condition = condition | ((F.col("lang") == lang) & (F.pmod(draw, F.lit(1_000_000)) < int(1_000_000 * min(1.0, bound / n)) + 1))
 
     def binary(c):
         return np.minimum(c, 65535).astype("<u2").tobytes()
@@ -192,7 +193,8 @@ def train(docs: DataFrame, bound: int = SAMPLE) -> Model:
                     found.append((binary(c), binary(c if some is None else some), lang))
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.string()))], names=["raw", "piece", "lang"])
 
-    rows = known.where(condition).select(F.col("text").cast("string").alias("text"), "lang").mapInArrow(run, "raw binary, piece binary, lang string").collect()
+    chosen = known.where(condition).select(F.col("text").cast("string").alias("text"), "lang", draw.alias("draw")).groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    rows = chosen.select("text", "lang").mapInArrow(run, "raw binary, piece binary, lang string").collect()
     rows = sorted((r.lang, bytes(r.raw), bytes(r.piece)) for r in rows)
     raw, pieces = (np.frombuffer(b"".join(r[i] for r in rows), "<u2").reshape(-1, WIDTH) for i in (1, 2))
     return fit(raw.astype(np.float32), [r[0] for r in rows], pieces, document_frequencies(known))
@@ -212,7 +214,7 @@ def predictions(docs: DataFrame, model: Model, name: str = "found") -> DataFrame
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every document."""
+    """doc_id, held_out, lang_pred, score and rejected for every document: what is rejected is in no learned language, ``lang_pred`` is the nearest."""
     model = train(docs)
     rows = predictions(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
-    return rows.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "found.lang_pred", "found.score")
+    return rows.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "found.lang_pred", "found.score", "found.rejected")
