@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import written
+from .work import dropped, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,6 +24,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b"))
         after = written(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "links")
         changed = after.exceptAll(edges).limit(1).count() + (after.count() != edges.count())
+        dropped(edges)
         edges = after
         if not changed:
             break

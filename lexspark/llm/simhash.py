@@ -33,10 +33,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .work import written
+from .work import dropped, written
 
 BLOCKS, BLOCK_BITS = 8, 8
-PIVOTS = 16
+PIVOTS = 32
 SEED = 42
 #: Rows of a bucket compared at once: bounds memory.
 STRIP = 512
@@ -110,14 +110,36 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.array([*stripes, *(xxhash.xxh64_intdigest(f"pivot {i}") for i in range(n))][:n], np.uint64)
 
 
-def linked(fps: np.ndarray, radius: int, reference: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+def pivot_distances(fps: np.ndarray, reference: np.ndarray | None = None) -> np.ndarray:
+    """The table of distances: a row for each fingerprint, a column for each pivot."""
+    reference = pivots() if reference is None else reference
+    return popcount(fps[:, None] ^ reference[None, :]).astype(np.int8)
+
+
+def pivot_table(distinct: DataFrame) -> DataFrame:
+    """``fp`` and its distances to all pivots (a byte each), worked out once and stored."""
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
+        for batch in batches:
+            fps = batch.column(0).to_numpy()
+            rows = pivot_distances(fps.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["fp", "distances"])
+
+    # a set number of parts: each row becomes 28 in the next step, which small files would do in one task
+    return written(distinct.select("fp").repartition(n, "fp").mapInArrow(run, "fp long, distances binary"), "pivots")
+
+
+def linked(fps: np.ndarray, radius: int, table: np.ndarray | None = None) -> tuple[np.ndarray, int]:
     """For distinct fingerprints: the index of the least one of each's class, and how many pairs were verified.
 
-    ``table`` has the distances to the pivots, sorted by the first: only strips whose first distances come
+    ``table`` has the distances to the pivots and is sorted by the first: only strips whose first distances come
     within ``radius`` meet, then all coordinates are compared, and what survives is verified.
     """
-    reference = pivots() if reference is None else reference
-    table = popcount(fps[:, None] ^ reference[None, :]).astype(np.int8)
+    table = pivot_distances(fps) if table is None else table
+    if len(fps) == 2:  # most buckets: the same two steps for one pair
+        near = int(np.abs(table[0] - table[1]).max()) <= radius
+        return np.array([0, int(not (near and int(fps[0] ^ fps[1]).bit_count() <= radius))]), int(near)
     order = np.argsort(table[:, 0], kind="stable")
     table, sorted_fps = table[order], fps[order]
     parent = np.arange(len(fps))
@@ -153,24 +175,25 @@ def linked(fps: np.ndarray, radius: int, reference: np.ndarray | None = None) ->
 def links(distinct: DataFrame, radius: int) -> DataFrame:
     """(a, b) for distinct fingerprints ``fp``: the classes of each bucket, one link for each member but the least."""
     # a group has distinct fingerprints that differ in 8 * radius bits only, so its size is bounded
-    groups = distinct.select("fp", F.explode(bucket_keys(F.col("fp"), radius)).alias("key")).groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    table = pivot_table(distinct)
+    member = F.struct("fp", "distances").alias("member")
+    groups = table.select(member, F.explode(bucket_keys(F.col("fp"), radius)).alias("key")).groupBy("key").agg(F.collect_list("member").alias("members")).where(F.size("members") > 1)
 
     def run(batches):
         for batch in batches:
             a, b = [], []
-            for fps in batch.column(0):
-                fps = np.unique(np.array(fps.as_py(), np.int64).view(np.uint64))
-                if len(fps) == 2:
-                    if int(fps[0] ^ fps[1]).bit_count() <= radius:
-                        a.append(fps[1:]), b.append(fps[:1])
-                    continue
-                least, _ = linked(fps, radius)
+            for members in batch.column(0):
+                fps, distances = members.values.flatten()
+                fps = fps.to_numpy().view(np.uint64)
+                distances = np.frombuffer(b"".join(distances.to_pylist()), np.int8).reshape(len(fps), -1)
+                fps, at = np.unique(fps, return_index=True)
+                least, _ = linked(fps, radius, distances[at])
                 joined = least != np.arange(len(fps))
                 a.append(fps[joined]), b.append(fps[least[joined]])
             a, b = (np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (a, b))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return groups.select("fps").mapInArrow(run, "a long, b long").distinct()
+    return groups.select("members").mapInArrow(run, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
@@ -244,12 +267,18 @@ def block_links(keys: np.ndarray, sets: list[np.ndarray], of: np.ndarray, left:
     first of them only, and of the links found those that join something are given.
     """
     full = np.flatnonzero([len(s) > 0 for s in sets])  # an empty set is like no other
-    if len(full) < 2:
+    while len(full) > 1:
+        sizes = np.array([len(sets[i]) for i in full])
+        values, runs = np.unique(np.concatenate([sets[i] for i in full]), return_inverse=True)
+        starts = np.r_[0, np.cumsum(sizes)[:-1]]
+        # a similar set has at least this share of a member's runs, and a run that only one member has is in no other
+        some = np.add.reduceat(np.bincount(runs)[runs] > 1, starts, dtype=np.int64) >= similarity * sizes
+        if some.all():
+            break
+        full = full[some]
+    else:
         return []
     keys, of, left, right, buckets = keys[full], of[full], left[full], right[full], buckets[full]
-    sizes = np.array([len(sets[i]) for i in full])
-    values, runs = np.unique(np.concatenate([sets[i] for i in full]), return_inverse=True)
-    starts = np.r_[0, np.cumsum(sizes)[:-1]]
     parent: dict[int, int] = {}
 
     def find(x):
@@ -276,7 +305,7 @@ def block_links(keys: np.ndarray, sets: list[np.ndarray], of: np.ndarray, left:
     return out
 
 
-def links_across(members: DataFrame, roots: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+def links_across(members: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b) for run sets of ``similarity`` or more that share a bucket and that ``roots`` doesn't join.
 
     A bucket's members outside its largest class are dealt into blocks, and so are those inside it.  Each block of
@@ -294,7 +323,6 @@ def links_across(members: DataFrame, roots: DataFrame, rows: DataFrame, similari
     dealt = written(inside.join(mixed, "bucket").select("key", "of", "bucket", "others", "blocks", block.alias("block")), "dealt")
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j")))
     met = dealt.select("key", "of", "bucket", "block", F.explode(F.filter(met, lambda m: m["i"] < F.col("others"))).alias("m")).select("key", "of", "bucket", "block", "m.i", "m.j")
-    sets = rows.groupBy("key").agg(F.first("runs").alias("runs"), F.first("keys").alias("keys")).join(dealt.select("key").distinct(), "key", "left_semi")
 
     def compare(t: pa.Table) -> pa.Table:
         of_block = t["block"].to_numpy()
@@ -312,7 +340,7 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     Equal sets share a key and cost one row.  In a bucket each member is first tried with two leaders, drawn anew in
     each of the KEYS buckets it is in; what they leave in several classes is compared by :func:`links_across`.
     """
-    rows = written(described(docs, size), "described")
+    described_rows = rows = written(described(docs, size), "described")
     distinct = rows.groupBy("key").agg(F.first("keys").alias("keys"), (F.first(F.length("runs")) / 4).cast("long").alias("n"), F.min("doc_id").alias("least"))
     members = written(distinct, "members")
     inside = members.select("key", "n", F.posexplode("keys").alias("number", "bucket"))
@@ -323,10 +351,15 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     # sets of sizes further apart than this can't be alike
     tried = tried.where(F.least("n", "leader.n") / F.greatest("n", "leader.n") >= similarity)
     pairs = written(tried.select(F.least("key", "leader.key").alias("a"), F.greatest("key", "leader.key").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    # copies become one row before the shuffle, so that a large group of them doesn't meet in one task
-    sets = written(rows.groupBy("key").agg(F.first("runs").alias("runs")).join(wanted, "key", "left_semi"), "sets")
-    both = pairs.join(sets.toDF("a", "runs_a"), "a").join(sets.toDF("b", "runs_b"), "b")
+    met = inside.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
+    wanted = inside.join(met, "bucket", "left_semi").select("key").distinct()
+    # copies become one row before the shuffle, so that a large group of them doesn't meet in one task; from here on
+    # only the sets that share a bucket with another are moved
+    sets = written(rows.groupBy("key").agg(F.first("runs").alias("runs"), F.first("keys").alias("keys")).join(wanted, "key", "left_semi"), "sets")
+    rows = written(rows.select("doc_id", "same", "key"), "keys")
+    dropped(described_rows)
+    runs_of = lambda side: sets.select(F.col("key").alias(side), F.col("runs").alias(f"runs_{side}"))
+    both = pairs.join(runs_of("a"), "a").join(runs_of("b"), "b")
 
     def verify(batches):
         for batch in batches:
@@ -334,13 +367,16 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     roots = components(both.select("a", "b", "runs_a", "runs_b").mapInArrow(verify, "a long, b long"))
-    across = written(links_across(members, roots, rows, similarity), "across")
+    across = written(links_across(members, roots, sets, similarity), "across")
+    dropped(pairs, sets)
     if not across.isEmpty():
-        roots = components(roots.toDF("a", "b").unionByName(across))
+        first, roots = roots, components(roots.toDF("a", "b").unionByName(across))
+        dropped(first)
     of_class = members.select("key", "least").join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     least = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of_class.join(least, "root").select("key", "root", "component_id")
-    return rows.select("doc_id", "same", "key").join(named, "key")
+    named = written(of_class.join(least, "root").select("key", "root", "component_id"), "classes")
+    dropped(members, roots, across)
+    return rows.join(named, "key")
 
 
 def deduplicated(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,10 +44,45 @@ def drop_dir(spark: SparkSession, path: str) -> None:
         return
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends there, and a lost executor costs nothing."""
-    spark = df.sparkSession
+def memory_returned() -> None:
+    """Gives back what a Python worker has freed: workers live on and would keep the most that any task of theirs took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession):
+    """What is written inside gives back the files of its shuffles when it is done, not when the driver collects garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one, dropped with the session at the latest."""
     path = f"{shared_dir(spark)}/lexspark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     atexit.register(drop_dir, spark, path)
+    return path
+
+
+def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again: lineage ends there, and a lost executor costs nothing."""
+    spark = df.sparkSession
+    path = work_path(spark, name)
+    with shuffles_freed(spark):
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Gives back the folders of written tables that nothing reads any more."""
+    for t in tables:
+        for folder in {f[: m.end()] for f in t.inputFiles() if (m := re.search(r"/lexspark-[\w-]+-[0-9a-f]{32}(?=/)", f))}:
+            drop_dir(t.sparkSession, folder)
