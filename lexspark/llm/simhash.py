@@ -126,8 +126,9 @@ def pivot_table(distinct: DataFrame) -> DataFrame:
             rows = pivot_distances(fps.view(np.uint64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["fp", "distances"])
 
-    # a set number of parts: each row becomes 28 in the next step, which small files would do in one task
-    return written(distinct.select("fp").repartition(n, "fp").mapInArrow(run, "fp long, distances binary"), "pivots")
+    stored = written(distinct.select("fp").mapInArrow(run, "fp long, distances binary"), "pivots")
+    # a set number of parts: each row becomes 28 in the next step, and small files would be read by a few tasks
+    return stored.repartition(n, "fp")
 
 
 def linked(fps: np.ndarray, radius: int, table: np.ndarray | None = None) -> tuple[np.ndarray, int]:
