@@ -4,7 +4,7 @@ History is summed by key, fold and instant.  Time is cut into leaves; over a key
 of whose nodes sums an aligned run of 2^level leaves.  The leaves before a probe's own are the disjoint union of one
 node for each set bit of its leaf's number, so a probe explodes into logarithmically many nodes and finds their sums by
 an equi-join.  Inside the probe's leaf, which holds a bounded run of instants, sums run in order.  In the end
-the sums of the probe's own fold are taken from those of all folds.
+the sums of the folds but the probe's own are added up.
 
 Nothing goes through one task: a key's rows are dealt by leaf and by node, whatever share of all rows it has.
 A leaf's window sees one row for each instant and fold of a key.  Leaves are narrow for columns of few values, where
@@ -39,7 +39,8 @@ class Encoded:
     leaf: int = WIDE
 
 
-KEY = ["part", "value", "text"]
+#: The value comes first: sorts compare it before the columns that most rows share.
+KEY = ["value", "text", "part"]
 
 
 def instants(lines: DataFrame, columns: list[Encoded]) -> DataFrame:
@@ -49,21 +50,24 @@ def instants(lines: DataFrame, columns: list[Encoded]) -> DataFrame:
     return each.select("c.*", "at", "fold", "n", "s").groupBy(*KEY, "leaf", "at", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
 
 
-def before_leaves(leaves: DataFrame, depth: int) -> DataFrame:
-    """The tree: key, leaf, fold, n, s, the sums of each fold over all leaves of a key that come before this one.
+def before_leaves(leaves: DataFrame, folds: int) -> DataFrame:
+    """The tree: key, leaf and, for each fold, n<fold> and s<fold>: the sums over all leaves of a key that come before this one.
 
-    ``leaves`` has the sums of each leaf; ``place`` is its number, from 0 to below 2^depth.
+    ``leaves`` has the sums of each leaf and fold; ``place`` is its number from 0, ``depth`` the levels above it.
     """
-    level = F.explode(F.sequence(F.lit(0), F.lit(max(depth - 1, 0)))).alias("level")
+    level = F.explode(F.sequence(F.lit(0), F.col("depth") - 1)).alias("level")
     node = F.expr("shiftright(place, level)")
-    # a set bit's node lies left of the probe's own at that level, so none but left children are ever asked for
-    nodes = leaves.select(*KEY, "place", "fold", "n", "s", level).where(node % 2 == 0).groupBy(*KEY, "level", node.alias("node"), "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    probes = leaves.select(*KEY, "leaf", "place").distinct().select(*KEY, "leaf", "place", level).where(node % 2 == 1).select(*KEY, "leaf", "level", (node - 1).alias("node"))
+    deep = leaves.where("depth > 0")
+    # A set bit's node lies left of the probe's own at that level, so none but left children are ever asked for.  A node
+    # has a row for each leaf and fold below it at most, so it can be dealt as it will be asked for, and summed there.
+    below = deep.select(*KEY, "place", "fold", "n", "s", level).where(node % 2 == 0).select(*KEY, "level", node.alias("node"), "fold", "n", "s")
+    nodes = below.repartition(*KEY, "level", "node").groupBy(*KEY, "level", "node", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    probes = deep.select(*KEY, "leaf", "place", "depth").distinct().select(*KEY, "leaf", "place", level).where(node % 2 == 1).select(*KEY, "leaf", "level", (node - 1).alias("node"))
     met = probes.hint("merge").join(nodes, [*KEY, "level", "node"])
-    return met.groupBy(*KEY, "leaf", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    return met.groupBy(*KEY, "leaf").agg(*[F.sum(F.when(F.col("fold") == f, F.col(c))).alias(f"{c}{f}") for f in range(folds) for c in "ns"])
 
 
-def histories(lines: DataFrame, columns: list[Encoded], gap: int = 0) -> DataFrame:
+def histories(lines: DataFrame, columns: list[Encoded], folds: int, gap: int = 0) -> DataFrame:
     """part, value, text, at, fold, n, s for every instant of ``lines``: the sums of other folds' lines more than ``gap`` microseconds earlier.
 
     Written to the shared folder, by part.  The extent of each column in time (a row for each) alone reaches the driver.
@@ -76,26 +80,33 @@ def histories(lines: DataFrame, columns: list[Encoded], gap: int = 0) -> DataFra
         rows = rows.withColumn("asked", F.lit(True))
     rows = written(rows, "instants")
     ends = {r.part: (r.first, r.last) for r in rows.groupBy("part").agg(F.min("leaf").alias("first"), F.max("leaf").alias("last")).collect()}
-    first = F.create_map(*[F.lit(x) for part, (low, _) in ends.items() for x in (part, low)]) if ends else F.create_map(F.lit(0), F.lit(0))
-    depth = max([(high - low).bit_length() for low, high in ends.values()], default=0)
-    leaves = written(rows.groupBy(*KEY, "leaf", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("place", F.col("leaf") - first[F.col("part")]), "leaves")
-    width = F.element_at(F.array(*[F.lit(c.leaf * SECOND) for c in columns]), F.col("part") + 1)
-    # what came before a leaf stands just before its first instant
-    earlier = before_leaves(leaves, depth).select(*KEY, "leaf", (F.col("leaf") * width - 1).alias("at"), "fold", "n", "s", F.lit(False).alias("asked"))
-    inside = lambda *more: Window.partitionBy(*KEY, "leaf", *more).orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    of = lambda c: F.coalesce(F.sum(c).over(inside()), F.lit(0)) - F.coalesce(F.sum(c).over(inside("fold")), F.lit(0))
-    found = rows.unionByName(earlier).select(*KEY, "leaf", "at", "fold", "n", "s", "asked").select(*KEY, "at", "fold", of("n").alias("n"), of("s").alias("s"), "asked")
-    out = written(found.where("asked").drop("asked"), "histories", ["part"])
+    of_part = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("part") + 1)
+    first, depth = zip(*[(low, (high - low).bit_length()) for low, high in (ends.get(i, (0, 0)) for i in range(len(columns)))])
+    leaves = rows.groupBy(*KEY, "leaf", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    leaves = written(leaves.withColumns({"place": F.col("leaf") - of_part(first), "depth": of_part(depth)}), "leaves")
+    # this window and the sums before each leaf are dealt alike, so they meet without another shuffle
+    inside = Window.partitionBy(*KEY, "leaf").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    within = lambda c, f: F.sum(F.when(F.col("fold") == f, F.col(c))).over(inside).alias(f"{c}_{f}")
+    found = rows.select(*KEY, "leaf", "at", "fold", "asked", *[within(c, f) for f in range(folds) for c in "ns"])
+    found = found.where("asked").join(before_leaves(leaves, folds).hint("merge"), [*KEY, "leaf"], "left")
+    none = F.lit(0)
+    others = lambda c: sum((F.when(F.col("fold") == f, none).otherwise(F.coalesce(F.col(f"{c}_{f}"), none) + F.coalesce(F.col(f"{c}{f}"), none)) for f in range(folds)), none).cast("long").alias(c)
+    out = written(found.select(*KEY, "at", "fold", others("n"), others("s")), "histories", ["part"])
     dropped(rows, leaves)
     return out
 
 
 def with_history(rows: DataFrame, found: DataFrame, columns: list[Encoded], name: str, gap: int = 0) -> DataFrame:
-    """``rows`` with <name>_n and <name>_s from :func:`histories`; a large group on one side is split by adaptive execution."""
+    """``rows`` with <name>_n and <name>_s from :func:`histories`; a large group of rows is split by adaptive execution.
+
+    What is found has one row for each value, instant and fold, and is hashed; ``rows`` stream by and need no order.
+    """
     part, c = next((i, c) for i, c in enumerate(columns) if c.name == name)
     right = found.where(F.col("part") == part).select(F.col("value").alias("_v"), F.col("text").alias("_t"), F.col("at").alias("_a"), F.col("fold").alias("_f"), F.col("n").alias(f"{name}_n"), F.col("s").alias(f"{name}_s"))
-    on = (c.value.cast("long") == F.col("_v")) & ((F.lit("") if c.text is None else c.text) == F.col("_t")) & (F.col("at") - gap == F.col("_a")) & (F.col("fold") == F.col("_f"))
-    return rows.hint("merge").join(right, on).drop("_v", "_t", "_a", "_f")
+    on = (F.col("at") - gap == F.col("_a")) & (F.col("fold") == F.col("_f")) & (c.value.cast("long") == F.col("_v"))
+    if c.text is not None:
+        on = on & (c.text == F.col("_t"))
+    return rows.join(right.hint("shuffle_hash"), on).drop("_v", "_t", "_a", "_f")
 
 
 def rate(n: Column, s: Column, prior: Column, weight: int = 50, whole: int = 1_000_000) -> Column:
@@ -120,7 +131,8 @@ def _known(c: str) -> tuple[Column, Column]:
 
 
 def shop_columns() -> list[Encoded]:
-    missing = lambda c: (F.col(c).isNull().cast("long"), F.coalesce(F.col(c), F.lit("")))
+    # a text's hash is its value, and the text beside it keeps it exact; a null has a value of its own
+    missing = lambda c: (F.when(F.col(c).isNull(), 0).otherwise(F.xxhash64(c)), F.coalesce(F.col(c), F.lit("")))
     return [
         Encoded("item", F.col("item_id")), Encoded("vendor", *_known("vendor_id")), Encoded("client", F.col("client_id")),
         Encoded("kind", *missing("kind"), NARROW), Encoded("nation", *_known("nation_id"), NARROW), Encoded("segment", *missing("segment"), NARROW),
@@ -131,7 +143,8 @@ def shop_columns() -> list[Encoded]:
 def _looked_up(rows: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
     """``rows`` with ``value`` of the table's row of that id, null for an id it lacks; of a repeated id, the least value."""
     one = table.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("_id")).agg(F.min(value).alias(value))
-    return rows.hint("merge").join(one, F.col(key) == F.col("_id"), "left").drop("_id")
+    # written, so that a shuffle stands right below the join on either side: then a frequent id is split over tasks
+    return rows.join(written(one, value).hint("shuffle_hash"), F.col(key) == F.col("_id"), "left").drop("_id")
 
 
 def sold_lines(sale_lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataFrame, clients: DataFrame) -> DataFrame:
@@ -145,7 +158,7 @@ def sold_lines(sale_lines: DataFrame, sales: DataFrame, items: DataFrame, vendor
     heads = sales.where(F.col("sale_id").isNotNull() & F.col("sold_at").isNotNull())
     heads = heads.select(F.col("sale_id").cast("long").alias("_sale"), F.coalesce(F.col("client_id").cast("long"), F.lit(-1)).alias("client_id"), micros(F.col("sold_at")).alias("at"), (F.crc32(F.col("sale_id").cast("long").cast("string")) % FOLDS).alias("fold"))
     heads = _looked_up(heads, clients, "client_id", "segment")
-    return lines.hint("merge").join(heads, F.col("sale_id") == F.col("_sale")).drop("_sale")
+    return lines.join(heads.hint("merge"), F.col("sale_id") == F.col("_sale")).drop("_sale")
 
 
 def return_rates(sale_lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataFrame, clients: DataFrame, gap: int = 0) -> DataFrame:
@@ -155,13 +168,13 @@ def return_rates(sale_lines: DataFrame, sales: DataFrame, items: DataFrame, vend
     """
     lines = written(sold_lines(sale_lines, sales, items, vendors, clients), "lines")
     columns = shop_columns()
-    found = histories(lines, columns, gap)
+    found = histories(lines, columns, FOLDS, gap)
     add = functools.partial(with_history, found=found, columns=columns, gap=gap)
     heads = lines.select("client_id", "segment", "at", "fold").distinct()  # a row for each sale: its lines share these three
     heads = functools.reduce(lambda rows, name: add(rows, name=name), ("client", "segment", "all"), heads)
     heads = heads.select(F.col("client_id").alias("_c"), F.col("at").alias("_a"), F.col("fold").alias("_f"), *[f"{n}_{x}" for n in ("client", "segment", "all") for x in "ns"])
     rows = functools.reduce(lambda rows, name: add(rows, name=name), ("item", "kind", "vendor", "nation"), lines)
-    rows = rows.hint("merge").join(heads, (F.col("client_id") == F.col("_c")) & (F.col("at") == F.col("_a")) & (F.col("fold") == F.col("_f")))
+    rows = rows.join(heads.hint("shuffle_hash"), (F.col("client_id") == F.col("_c")) & (F.col("at") == F.col("_a")) & (F.col("fold") == F.col("_f")))
     of = lambda name, prior: rate(F.col(f"{name}_n"), F.col(f"{name}_s"), prior)
     rows = rows.withColumn("p", of("all", F.lit(500_000).cast("long")))
     out = ["sale_id", "item_id", "vendor_id", F.col("n").alias("n_lines"), F.col("s").alias("n_returned")]

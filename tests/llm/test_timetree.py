@@ -25,7 +25,7 @@ def test_tree_against_all_pairs(spark):
     for gap in (0, 1, 7_000_000):
         for leaf in (1, 64, 1 << 18):
             columns = [T.Encoded("k", F.col("k"), None, leaf), T.Encoded("w", F.lit(0), F.col("w"), 3)]
-            found = T.histories(frame, columns, gap)
+            found = T.histories(frame, columns, 3, gap)
             rows = T.with_history(T.with_history(frame, found, columns, "k", gap), found, columns, "w", gap).collect()
             assert len(rows) == len(lines)
             for r in rows[:: 7 if leaf > 1 else 1]:
