@@ -26,7 +26,7 @@ from .work import dropped, written
 
 SECOND = 1_000_000
 #: Widths of leaves in seconds: for ids and for columns of few values.
-WIDE, NARROW = 1 << 18, 1 << 13
+WIDE, NARROW = 1 << 19, 1 << 13
 
 
 @dataclasses.dataclass(frozen=True)

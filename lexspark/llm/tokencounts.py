@@ -6,13 +6,14 @@ of the vocabulary has a space after another character or holds a line feed (chec
 crosses the places where texts are cut, and a text's count is the sum over its pre-tokens.
 
 Blocks of documents are tokenised together: a row for each pre-token of a block lists the documents that have it and
-how often.  Only the pre-tokens themselves are counted by the model, each once over the whole corpus.  The join moves
-the lists, not the texts; a word that all documents share has a row for each block, and its rows are split over
-tasks by adaptive execution.
+how often.  These rows meet by pre-token, in sorted order, so that the model counts each pre-token once and its count
+is joined to all its lists as they stream by; what moves is lists, not texts.  A word that all documents share has a
+row for each block, so blocks are gathered in groups of bounded size, and a pre-token is counted once in each group:
+once in all up to some gigabytes of text, and never so that its rows meet in one task beyond that.
 
 Cases: a null text is empty, with no token; repeated rows and null doc_ids have rows of their own; a pre-token of any
 length is taken whole; the space's own sign (U+2581) counts as a space, as the library takes it; a document that holds
-a pre-token over 65,535 times is listed several times; an empty table gives no rows.
+a pre-token over 255 times is listed several times; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,9 +33,11 @@ from .work import memory_returned
 
 SIGN = "▁"
 PRE_TOKEN = re.compile(r" *[^ \n]+| +|\n+")
-#: Characters and documents of a block, at most, but for one document that is longer.
-BLOCK_CHARS, BLOCK_DOCS = 12_000_000, 60_000
-MOST = 65_535
+#: Characters and documents of a block, at most, but for one document that is longer; partitions whose blocks are a group.
+BLOCK_CHARS, BLOCK_DOCS, GROUP = 30_000_000, 60_000, 64
+MOST = 255
+#: Documents whose sums a task holds before it gives them out.
+HELD = 2_000_000
 
 
 @functools.cache
@@ -63,14 +65,13 @@ def pre_tokens(text: str) -> Counter:
     return Counter(PRE_TOKEN.findall(" " + text.replace(SIGN, " "))) if text else Counter()
 
 
-LISTED = "block long, pre_token string, docs binary, times binary, doc_ids array<long>, bytes array<long>"
+#: hits: a 16-bit number of each document and then 8 bits of how often; of a head: ids, sizes and whether the id is null.
+LISTED = "block long, token string, hits binary, part int"
+HITS = pa.schema([("block", pa.int64()), ("token", pa.string()), ("hits", pa.binary()), ("part", pa.int32())])
 
 
 def _block(number: int, ids: list, texts: list[str]) -> pa.RecordBatch:
-    """A row for each pre-token of the documents (docs and times: 16-bit numbers), and one with what the documents are.
-
-    That one stands under a name of its own that is no pre-token, so that it goes through the join beside the others.
-    """
+    """A row for each pre-token of the documents, and a head that tells what the documents are, under a name that is no pre-token."""
     places: dict[str, int] = {}
     token, doc, times = [], [], []
     for at, text in enumerate(texts):
@@ -83,19 +84,20 @@ def _block(number: int, ids: list, texts: list[str]) -> pa.RecordBatch:
         over = times > MOST
         token, doc, times = np.r_[token, token[over]], np.r_[doc, doc[over]], np.r_[np.where(over, MOST, times), times[over] - MOST]
     order = np.argsort(token, kind="stable")
-    ends = np.r_[0, np.cumsum(np.bincount(token, minlength=len(places)))].astype(np.int64) * 2
+    ends = np.r_[0, np.cumsum(np.bincount(token, minlength=len(places)))]
+    doc, times = doc[order].astype("<u2").tobytes(), times[order].astype("u1").tobytes()
+    hits = [doc[2 * a : 2 * b] + times[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    sizes = np.array([len(t.encode()) for t in texts], "<i8")
+    null = np.array([i is None for i in ids], "u1")
+    head = np.array([i or 0 for i in ids], "<i8").tobytes() + sizes.tobytes() + null.tobytes()
+    n = len(places) + 1
+    columns = [pa.array(np.full(n, number)), pa.array([*places, f"\n{number}"]), pa.array([*hits, head], pa.binary()), pa.array(np.full(n, (number >> 32) // GROUP, np.int32))]
+    return pa.RecordBatch.from_arrays(columns, schema=HITS)
 
-    def runs(values):
-        data = pa.py_buffer(values[order].astype("<u2").tobytes())
-        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(places), [None, pa.py_buffer(ends.tobytes()), data]).cast(pa.binary())
 
-    none = lambda kind: pa.nulls(len(places), kind)
-    lists = pa.list_(pa.int64())
-    sizes = [len(t.encode()) for t in texts]
-    rows = pa.table({"pre_token": pa.array(list(places), pa.string()), "docs": runs(doc), "times": runs(times), "doc_ids": none(lists), "bytes": none(lists)})
-    head = pa.table({"pre_token": pa.array([f"\n{number}"]), "docs": pa.nulls(1, pa.binary()), "times": pa.nulls(1, pa.binary()), "doc_ids": pa.array([ids], lists), "bytes": pa.array([sizes], lists)})
-    both = pa.concat_tables([rows, head]).combine_chunks()
-    return both.add_column(0, "block", pa.array(np.full(len(both), number), pa.int64()))
+def _sliced(batch: pa.RecordBatch, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(batch), rows):
+        yield batch.slice(at, rows)
 
 
 def listed(docs: DataFrame) -> DataFrame:
@@ -107,72 +109,72 @@ def listed(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 text = text.as_py() or ""
                 if texts and (chars + len(text) > BLOCK_CHARS or len(texts) == BLOCK_DOCS):
-                    yield from _block(number, ids, texts).to_batches(max_chunksize=20_000)
+                    yield from _sliced(_block(number, ids, texts))
                     number, ids, texts, chars = number + 1, [], [], 0
                 ids.append(doc_id.as_py())
                 texts.append(text)
                 chars += len(text)
         if texts:
-            yield from _block(number, ids, texts).to_batches(max_chunksize=20_000)
+            yield from _sliced(_block(number, ids, texts))
         memory_returned()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, LISTED)
 
 
-def distinct_pieces(docs: DataFrame, path: str) -> DataFrame:
-    """token and pieces of each distinct pre-token of all documents."""
-
-    def found(batches):
-        seen, chars = set(), 0
-        for batch in batches:
-            for text in batch.column(0):
-                text = text.as_py()
-                seen.update(PRE_TOKEN.findall(" " + text.replace(SIGN, " ")))
-                chars += len(text)
-                if chars > BLOCK_CHARS:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["token"])
-                    seen, chars = set(), 0
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["token"])
-        memory_returned()
-
-    def count(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces_of(path, batch.column(0).to_pylist()))], names=["token", "pieces"])
+def summed(rows: DataFrame, path: str) -> DataFrame:
+    """block, doc, doc_id, n_bytes, n: what each task's rows of :func:`listed`, sorted by token, add to each document."""
+    schema = pa.schema([("block", pa.int64()), ("doc", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n", pa.int64())])
 
-    texts = docs.select(F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
-    return texts.mapInArrow(found, "token string").distinct().mapInArrow(count, "token string, pieces long")
+    def row(number, n, ids, sizes, sums):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, number, np.int64)), pa.array(np.arange(n, dtype=np.int32)), ids, sizes, pa.array(sums)], schema=schema)
 
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        last, pieces = None, 0
 
-def summed(rows: DataFrame) -> DataFrame:
-    """block, doc, doc_id, n_bytes, n: what the rows of a batch (pieces joined to :func:`listed`) add to each document of a block."""
-    schema = pa.schema([("block", pa.int64()), ("doc", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n", pa.int64())])
+        def given():
+            for number, found in sums.items():
+                some = np.flatnonzero(found)
+                none = pa.nulls(len(some), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), number, np.int64)), pa.array(some.astype(np.int32)), none, none, pa.array(found[some])], schema=schema)
+            sums.clear()
 
-    def run(batches):
         for batch in batches:
-            head = pa.compute.is_null(batch["pieces"])
-            for number, ids, sizes in zip(*[batch.filter(head)[c].to_pylist() for c in ("block", "doc_ids", "bytes")]):
-                n = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(np.arange(n, dtype=np.int32)), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.zeros(n, np.int64))], schema=schema)
-            batch = batch.filter(pa.compute.invert(head))
-            block, pieces = batch["block"].to_numpy(), batch["pieces"].to_numpy()
-            docs, times = [np.frombuffer(b"".join(batch[c].to_pylist()), "<u2").astype(np.int64) for c in ("docs", "times")]
-            each = np.array([len(x) // 2 for x in batch["docs"].to_pylist()], np.int64)
-            numbers, at = np.unique(block, return_inverse=True)
-            key = np.repeat(at.astype(np.int64), each) << 16 | docs
-            held, place = np.unique(key, return_inverse=True)
-            n = np.zeros(len(held), np.int64)
-            np.add.at(n, place, times * np.repeat(pieces, each))
-            none = pa.nulls(len(held), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(numbers[held >> 16], pa.int64()), pa.array((held & 0xFFFF).astype(np.int32)), none, none, pa.array(n)], schema=schema)
+            tokens = batch["token"].to_pylist()
+            is_head = lambda t: t[0] == "\n" and t != "\n" * len(t)
+            new = [t for t in dict.fromkeys(tokens) if t != last and not is_head(t)]
+            counts = dict(zip(new, pieces_of(path, new).tolist())) | ({last: pieces} if last is not None else {})
+            for number, token, hits in zip(batch["block"].to_pylist(), tokens, batch["hits"].to_pylist()):
+                if is_head(token):
+                    n = len(hits) // 17
+                    ids, sizes = np.frombuffer(hits, "<i8", n), np.frombuffer(hits, "<i8", n, 8 * n)
+                    yield row(number, n, pa.array(ids, mask=np.frombuffer(hits, "u1", n, 16 * n) > 0), pa.array(sizes), np.zeros(n, np.int64))
+                    continue
+                n = len(hits) // 3
+                docs, times = np.frombuffer(hits, "<u2", n), np.frombuffer(hits, "u1", n, 2 * n)
+                held = sums.get(number)
+                top = int(docs[-1]) + 1 if n == 1 else int(docs.max()) + 1
+                if held is None or len(held) < top:
+                    sums[number] = held = np.r_[held if held is not None else np.zeros(0, np.int64), np.zeros(max(top - (0 if held is None else len(held)), 256), np.int64)]
+                if n == 1:
+                    held[docs[0]] += counts[token] * int(times[0])
+                elif len(np.unique(docs)) == n:
+                    held[docs] += counts[token] * times.astype(np.int64)
+                else:  # listed several times
+                    np.add.at(held, docs, counts[token] * times.astype(np.int64))
+            if new:
+                last, pieces = new[-1], counts[new[-1]]
+            if sum(map(len, sums.values())) > HELD:
+                yield from given()
+        yield from given()
+        memory_returned()
 
     return rows.mapInArrow(run, "block long, doc int, doc_id long, n_bytes long, n long")
 
 
 def counted(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than ``limit``) of every row of ``docs``, a table as it is read."""
-    rows = listed(docs)
-    met = rows.hint("merge").join(distinct_pieces(docs, path), F.col("pre_token") == F.col("token"), "left")
-    n = summed(met.select("block", "docs", "times", "doc_ids", "bytes", "pieces"))
+    rows = listed(docs).repartition("token", "part").sortWithinPartitions("token").select("block", "token", "hits")
+    n = summed(rows, path)
     total = n.groupBy("block", "doc").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
     return total.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

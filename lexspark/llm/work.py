@@ -54,15 +54,23 @@ def memory_returned() -> None:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+
+
 @contextlib.contextmanager
-def shuffles_freed(spark: SparkSession):
-    """What is written inside gives back the files of its shuffles when it is done, not when the driver collects garbage."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def setting(spark: SparkSession, key: str, value: str):
+    """A setting that holds for what is run inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def shuffles_freed(spark: SparkSession):
+    """What is written inside gives back the files of its shuffles when it is done, not when the driver collects garbage."""
+    return setting(spark, CLEANUP, "true")
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -76,7 +84,7 @@ def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    with shuffles_freed(spark):
+    with shuffles_freed(spark), setting(spark, WRITERS, str(16 if by else 0)):  # a folder's rows need no sort while few are open
         (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -47,4 +47,6 @@ def test_blocks(spark, monkeypatch):
     rows = [(i, f"the {i} the word " * (i % 4)) for i in range(20)]
     batches = tokencounts.listed(spark.createDataFrame(rows, "doc_id long, text string"))
     assert batches.count() > 20
+    monkeypatch.setattr(tokencounts, "HELD", 1)
+    assert ours(tokencounts.counted(spark.createDataFrame(rows, "doc_id long, text string"), PATH)) == library(rows)
     assert tokencounts.pieces_of(PATH, [" the", "  the", "\n\n", "x", " "]).tolist() == [1, 2, 2, 1, 1]
