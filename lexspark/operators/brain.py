@@ -9,34 +9,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.common import held
 from ..functions.reference import CATEGORY
 from ..functions.text import nfc, trim_blanks
-from .stanzas import CONJ, tags
+from .stanzas import CONJ, SLOTS, tags
 
 
 def cleaned_english(c: Column) -> Column:
     bare = trim_blanks(F.regexp_replace(c, r"\([^)]*\)|\[[^\]]*\]", ""))
-    return nfc(F.lower(F.coalesce(F.get(F.split(trim_blanks(F.regexp_replace(bare, r"^[tT][oO]\s+", "")), r"\s+"), F.lit(0)), F.lit(""))))
+    return F.lower(F.coalesce(F.get(F.split(trim_blanks(F.regexp_replace(bare, r"^[tT][oO]\s+", "")), r"\s+"), F.lit(0)), F.lit("")))
 
 
 def cleaned_reformed(c: Column) -> Column:
-    return nfc(F.regexp_replace(F.regexp_replace(c, r"[.,!?()\[\]{}]", ""), r"^\s+|\s+$", ""))
+    return F.regexp_replace(F.regexp_replace(c, r"[.,!?()\[\]{}]", ""), r"^\s+|\s+$", "")
 
 
-def composed(conj: Column) -> Column:
-    """Conjugations with every form composed; the English side of explicit pairs is a key and stays as it is."""
-    done = F.from_json(nfc(F.to_json(conj)), CONJ)
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
+def composed_text(c: Column) -> Column:
+    """Canonical composition; only what isn't ASCII leaves the JVM."""
+    return F.when(is_ascii(c), c).otherwise(nfc(F.when(~is_ascii(c), c)))
+
+
+def composed(conj: Column, ascii: Column) -> Column:
+    """Conjugations with every form composed; the English side of explicit pairs is a key and stays as it is.
+
+    ``ascii`` tells whether there is nothing to compose.
+    """
+    done = F.from_json(nfc(F.when(~ascii, F.to_json(conj))), CONJ)
     pairs = F.transform(F.arrays_zip(conj["explicit"].alias("a"), done["explicit"].alias("b")), lambda z: F.struct(z["a"]["eng"].alias("eng"), z["b"]["ing"].alias("ing")))
-    return F.when(conj.isNotNull(), done.withField("explicit", pairs))
+    return F.when(ascii | conj.isNull(), conj).otherwise(done.withField("explicit", pairs))
+
+
+def _forms(conj: Column) -> Column:
+    """All forms of conjugations in one text."""
+    return F.concat_ws(" ", *[conj[s] for s in SLOTS], conj["plural"], F.array_join(F.transform(conj["explicit"], lambda p: p["ing"]), " "), F.array_join(conj["variants"], " "), F.array_join(conj["forms"], " "))
 
 
 def validated(records: DataFrame) -> DataFrame:
     """Records with eng, ing, categories and ``reason`` (null: kept)."""
     table = F.create_map(*[F.lit(x) for kv in CATEGORY.items() for x in kv])
-    rows = records.withColumn("eng", cleaned_english(F.col("me_word"))).withColumn("ing", cleaned_reformed(F.col("reformed_word")))
-    rows = rows.withColumn("conjugations", composed(F.col("conjugations")))
     known = F.filter(F.transform(tags(F.lower("pos")), lambda t: F.try_element_at(table, t)), lambda c: c.isNotNull())
-    rows = rows.withColumn("categories", known)
+    rows = held(records, eng=cleaned_english(F.col("me_word")), ing=cleaned_reformed(F.col("reformed_word")), categories=known, ascii=is_ascii(_forms(F.col("conjugations"))))
+    conj = F.col("conjugations")
+    rows = rows.withColumns({"eng": composed_text(F.col("eng")), "ing": composed_text(F.col("ing")), "conjugations": composed(conj, F.coalesce("ascii", F.lit(True)))}).drop("ascii")
     blank = lambda c: c.isNull() | (F.trim(c) == "")
     reason = (
         F.when(blank(F.col("me_word")) | blank(F.col("reformed_word")), "no word")
@@ -51,22 +69,28 @@ def rejected(records: DataFrame) -> DataFrame:
 
 
 def mappings(records: DataFrame) -> DataFrame:
-    """ord, eng, category, form, conj_kind, conj of every kept record: its roots, its explicit pairs, its special case."""
+    """ord, eng, category, form, conj (conj_kind and conjugations) of every kept record: its roots, its explicit pairs, its special case.
+
+    A record is read once: each of its categories gives an array of mappings, told apart by their kind and place.
+    """
     kept = validated(records).where(F.col("reason").isNull())
     each = kept.select("file", "stanza_idx", "eng", "ing", "conj_kind", "conjugations", F.posexplode("categories").alias("cat_idx", "category"))
-    order = lambda kind, sub: F.struct("file", "stanza_idx", "cat_idx", F.lit(kind).alias("kind"), sub.cast("int").alias("sub")).alias("ord")
-    roots = each.select(order(0, F.lit(0)), "eng", "category", F.col("ing").alias("form"), F.when(F.col("conj_kind") != "empty", F.struct("conj_kind", "conjugations")).alias("conj"))
-    none = F.lit(None).cast(roots.schema["conj"].dataType).alias("conj")
-    pairs = each.select("file", "stanza_idx", "cat_idx", "category", F.posexplode("conjugations.explicit").alias("p", "pair"))
-    pairs = pairs.where((F.coalesce(F.col("pair.eng"), F.lit("")) != "") & (F.coalesce(F.col("pair.ing"), F.lit("")) != ""))
-    as_categories = F.when(F.col("category") == "Verb", F.array(F.lit("Verb"))).otherwise(F.array(F.lit("Verb"), "category"))
-    pairs = pairs.select("*", F.posexplode(as_categories).alias("q", "to"))
-    explicit = pairs.select(order(1, F.col("p") * 2 + F.col("q")), F.lower("pair.eng").alias("eng"), F.col("to").alias("category"), nfc(F.col("pair.ing")).alias("form"), none)
-    can = each.where((F.col("category") == "Modal") & (F.col("eng") == "can"))
-    negated = F.get(F.filter("conjugations.explicit", lambda p: p["eng"] == "can't"), F.lit(0))["ing"]
-    can = can.select("*", F.posexplode(F.array(F.lit("Modal"), F.lit("Verb"))).alias("q", "to"))
-    cannot = can.select(order(2, F.col("q")), F.lit("cannot").alias("eng"), F.col("to").alias("category"), F.coalesce(F.nullif(negated, F.lit("")), "ing").alias("form"), none)
-    return roots.unionByName(explicit).unionByName(cannot)
+    conj = F.struct("conj_kind", "conjugations")
+    none = F.when(F.lit(False), conj)
+    mapping = lambda kind, sub, eng, to, form, conj=none: F.struct(F.lit(kind).alias("kind"), sub.cast("int").alias("sub"), eng.alias("eng"), to.alias("category"), form.alias("form"), conj.alias("conj"))
+    root = F.array(mapping(0, F.lit(0), F.col("eng"), F.col("category"), F.col("ing"), F.when(F.col("conj_kind") != "empty", conj)))
+    pairs = F.transform("conjugations.explicit", lambda p, i: F.struct(p["eng"].alias("eng"), p["ing"].alias("ing"), i.alias("i")))
+    pairs = F.filter(pairs, lambda p: (F.coalesce(p["eng"], F.lit("")) != "") & (F.coalesce(p["ing"], F.lit("")) != ""))
+    verb = F.transform(pairs, lambda p: mapping(1, p["i"] * 2, F.lower(p["eng"]), F.lit("Verb"), p["ing"]))
+    other = F.transform(pairs, lambda p: mapping(1, p["i"] * 2 + 1, F.lower(p["eng"]), F.col("category"), p["ing"]))
+    negated = F.coalesce(F.nullif(F.get(F.filter("conjugations.explicit", lambda p: p["eng"] == "can't"), F.lit(0))["ing"], F.lit("")), F.col("ing"))
+    can = F.array(mapping(2, F.lit(0), F.lit("cannot"), F.lit("Modal"), negated), mapping(2, F.lit(1), F.lit("cannot"), F.lit("Verb"), negated))
+    nothing = F.slice(root, 1, 0)
+    some = lambda where, a: F.when(where, a).otherwise(nothing)
+    paired = F.col("conjugations.explicit").isNotNull()
+    all_of = F.concat(root, some(paired, verb), some(paired & (F.col("category") != "Verb"), other), some((F.col("category") == "Modal") & (F.col("eng") == "can"), can))
+    rows = each.select("file", "stanza_idx", "cat_idx", F.explode(all_of).alias("m"))
+    return rows.select(F.struct("file", "stanza_idx", "cat_idx", "m.kind", "m.sub").alias("ord"), "m.eng", "m.category", "m.form", "m.conj")
 
 
 def merged(maps: DataFrame) -> DataFrame:

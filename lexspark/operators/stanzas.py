@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.common import held
 from ..functions.text import tokens, trim_blanks, without_to
 
 POS_AT_END = r"\(([a-z][a-z ,]*)\)[ \t]*$"
@@ -118,16 +119,14 @@ def conjugations(slotted: Column, verbish: Column, nounish: Column, t: Column, m
 
 def parse(files: DataFrame) -> DataFrame:
     """Records of the stanzas that have a reformed line; ``files`` has file and text."""
-    rows = stanzas(files).withColumn("lines", clean_lines(F.col("stanza")))
-    rows = rows.withColumn("reformed", F.try_element_at(F.filter("lines", is_reformed), F.lit(-1))).where(F.col("reformed").isNotNull())
-    rows = rows.withColumn("etymology", etymology_of(F.col("lines"))).withColumn("pos", F.regexp_extract("reformed", POS_AT_END, 1))
-    rows = rows.withColumn("toks", tokens(without_to(trim_blanks(F.regexp_replace("reformed", POS_AT_END, "")))))
-    me = F.coalesce(first_form(F.col("etymology"), "ME"), first_form(F.col("etymology"), "MI"), F.try_element_at("etymology", F.lit(-1))["form"])
-    rows = rows.withColumn("me", F.coalesce(without_to(me), F.lit("")))
-    found = F.transform(F.split("pos", ","), trim_blanks)
-    rows = rows.withColumns({"me_toks": tokens(F.col("me")), "real_me": first_form(F.col("etymology"), "ME").isNotNull(), "tags": found})
-    rows = rows.withColumns({"slotted": has_tag(F.col("tags"), SLOTTED), "verbish": has_tag(F.col("tags"), VERBISH), "nounish": has_tag(F.col("tags"), NOUNISH)})
-    rows = rows.withColumn("c", conjugations(*[F.col(x) for x in ("slotted", "verbish", "nounish", "toks", "me_toks", "real_me")]))
+    rows = held(stanzas(files), lines=clean_lines(F.col("stanza"))).drop("stanza")
+    rows = held(rows, reformed=F.try_element_at(F.filter("lines", is_reformed), F.lit(-1))).where(F.col("reformed").isNotNull())
+    rows = held(rows, etymology=etymology_of(F.col("lines")), pos=F.regexp_extract("reformed", POS_AT_END, 1), toks=tokens(without_to(trim_blanks(F.regexp_replace("reformed", POS_AT_END, "")))))
+    first = first_form(F.col("etymology"), "ME")
+    me = F.coalesce(first, first_form(F.col("etymology"), "MI"), F.try_element_at("etymology", F.lit(-1))["form"])
+    rows = held(rows, me=F.coalesce(without_to(me), F.lit("")), real_me=first.isNotNull(), tags=F.transform(F.split("pos", ","), trim_blanks))
+    rows = held(rows, me_toks=tokens(F.col("me")), slotted=has_tag(F.col("tags"), SLOTTED), verbish=has_tag(F.col("tags"), VERBISH), nounish=has_tag(F.col("tags"), NOUNISH))
+    rows = held(rows, c=conjugations(*[F.col(x) for x in ("slotted", "verbish", "nounish", "toks", "me_toks", "real_me")]))
     return rows.select(
         "file", "stanza_idx", F.coalesce(F.get(F.split("me", r"[ \t,]+"), F.lit(0)), F.lit("")).alias("me_word"),
         F.coalesce(F.regexp_replace(F.get("toks", F.lit(0)), "[,.]$", ""), F.lit("")).alias("reformed_word"), "pos",

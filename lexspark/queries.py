@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as X
 from .functions import geometry, keys, reference, text
+from .functions.common import held
 from .operators import analytics, brain, content, graph, histories, lint, stanzas, translate
 from .plans import pipelines
 from .sources import readers, sinks
@@ -57,10 +58,11 @@ def _stanza_sql(stanza: str) -> str:
 
 
 FILES_SQL = f"""{X.values(X.FILES, "fixture", "file, text")},
-wd AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents)),
-w4 AS (SELECT doc_id, i // 4 AS k, max(x) FILTER (i % 4 = 0) AS w0, max(x) FILTER (i % 4 = 1) AS w1, max(x) FILTER (i % 4 = 2) AS w2, max(x) FILTER (i % 4 = 3) AS w3, (doc_id + i // 4) % 6 AS turn FROM wd GROUP BY 1, 2 HAVING count(*) = 4),
+wd AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '\\p{{L}}+') AS w FROM documents)),
+w4 AS (SELECT doc_id, i // 4 AS k, max(x) FILTER (i % 4 = 0) AS w0, coalesce(max(x) FILTER (i % 4 = 1), w0) AS w1, coalesce(max(x) FILTER (i % 4 = 2), w0) AS w2, coalesce(max(x) FILTER (i % 4 = 3), w0) AS w3, (doc_id + i // 4) % 6 AS turn FROM wd GROUP BY doc_id, i // 4),
 s4 AS (SELECT doc_id, k, w0, w1, w2, w3, turn, CASE (doc_id // 6 + k) % 6 {" ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(POS_BY_ID))} END AS p FROM w4),
-files AS (SELECT file, text FROM fixture UNION ALL SELECT concat('doc/', doc_id, '.txt'), string_agg(CASE turn {" ".join(f"WHEN {i} THEN {_stanza_sql(s)}" for i, s in enumerate(STANZAS))} END, chr(10) || chr(10) ORDER BY k) FROM s4 GROUP BY doc_id)"""
+made AS (SELECT doc_id, left(min(w0) FILTER (k = 0), 1) AS letter, string_agg(CASE turn {" ".join(f"WHEN {i} THEN {_stanza_sql(s)}" for i, s in enumerate(STANZAS))} END, chr(10) || chr(10) ORDER BY k) AS text FROM s4 GROUP BY doc_id),
+files AS (SELECT file, text FROM fixture UNION ALL SELECT concat(coalesce(letter, 'none'), '/', doc_id, '.txt'), coalesce(made.text, '') FROM documents LEFT JOIN made USING (doc_id))"""
 
 PARSED_SQL = rf"""{FILES_SQL},
 st AS (SELECT file, generate_subscripts(ps, 1)::INT AS stanza_idx, unnest(ps) AS stanza FROM
@@ -97,25 +99,30 @@ records AS (SELECT *, coalesce(list_filter(etymology, lambda e: e.lang IN ('ME',
 
 
 def entry_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file and text: a document's words, all of them, in stanzas of four."""
+    """file and text: for each document its words, all of them, in stanzas of four, in the folder of its first letter.
+
+    The first word of a last stanza stands in for the words that it lacks; a document without a word is an empty file.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cores = spark.sparkContext.defaultParallelism
     if docs.rdd.getNumPartitions() < cores:  # a table of one file: parsing is the work, so all cores get a share
         docs = docs.repartition(cores)
-    # lowered first, as SQL does: A-Z alone have a lower form in a-z but for the Kelvin sign, which both lower
-    rows = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w")).where(F.size("w") >= 4)
-    fours = F.sequence(F.lit(0), F.floor(F.size("w") / 4).cast("int") - 1)
+    rows = held(docs, w=F.coalesce(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)), F.array().cast("array<string>")))
+    none = F.array().cast("array<int>")
+    fours = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.ceil(F.size("w") / 4).cast("int") - 1)).otherwise(none)
 
     def stanza(k: Column) -> Column:
         p = F.get(F.array(*[F.lit(x) for x in POS_BY_ID]), ((F.floor(F.col("doc_id") / 6) + k) % 6).cast("int"))
+        word = lambda i: F.coalesce(F.get("w", k * 4 + i), F.get("w", k * 4))
         out, turn = None, (F.col("doc_id") + k) % 6
         for i, s in enumerate(STANZAS):
-            text = F.concat(*[(p if x == "p" else F.get("w", k * 4 + int(x))) if n % 2 else F.lit(x) for n, x in enumerate(re.split(r"\{(\w)\}", s)) if x])
+            text = F.concat(*[(p if x == "p" else word(int(x))) if n % 2 else F.lit(x) for n, x in enumerate(re.split(r"\{(\w)\}", s)) if x])
             out = F.when(turn == i, text) if out is None else out.when(turn == i, text)
         return out
 
     fixed = spark.createDataFrame(X.FILES, "file string, text string")
-    return fixed.unionByName(rows.select(F.concat(F.lit("doc/"), "doc_id", F.lit(".txt")).alias("file"), F.array_join(F.transform(fours, stanza), "\n\n").alias("text")))
+    letter = F.coalesce(F.left(F.get("w", F.lit(0)), F.lit(1)), F.lit("none"))
+    return fixed.unionByName(held(rows, file=F.concat(letter, F.lit("/"), "doc_id", F.lit(".txt")), text=F.array_join(F.transform(fours, stanza), "\n\n")).select("file", "text"))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
