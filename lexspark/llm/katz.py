@@ -551,20 +551,21 @@ class Levels:
 # -- jobs --------------------------------------------------------------------------------------------------
 
 def bucketed(df: DataFrame, by: str) -> DataFrame:
-    """``df`` as a table of the warehouse, bucketed so that later joins on ``by`` leave it where it is."""
+    """``df`` as a table in the shared folder, bucketed so that later joins on ``by`` leave it where it is."""
     spark = df.sparkSession
-    name = f"lexspark_{uuid.uuid4().hex}"
+    name, path = f"lexspark_{uuid.uuid4().hex}", work_path(spark, "bucketed")
     with shuffles_freed(spark):
-        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).saveAsTable(name)
+        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(name)
     out = spark.table(name)
-    out.drop_table = lambda: _drop_table(spark, name)
+    out.drop_table = lambda: _drop_table(spark, name, path)
     atexit.register(out.drop_table)
     return out
 
 
-def _drop_table(spark: SparkSession, name: str) -> None:
+def _drop_table(spark: SparkSession, name: str, path: str) -> None:
     try:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop_dir(spark, path)
     except Exception:  # the session has ended
         return
 

@@ -157,8 +157,8 @@ def piece(text: str) -> str:
     return " ".join(words[at : at + size])
 
 
-def document_frequencies(known: DataFrame) -> np.ndarray:
-    """The number of texts with a letter, and of those with each n-gram: one vector a partition."""
+def frequency_rows(known: DataFrame) -> DataFrame:
+    """at, n: the number of texts with a letter (at 0), and of those with each n-gram, summed over all partitions by the executors."""
 
     def run(batches):
         seen = np.zeros(1 + WIDTH, np.int64)
@@ -166,10 +166,18 @@ def document_frequencies(known: DataFrame) -> np.ndarray:
             for text in batch.column(0):
                 if (c := counts(text.as_py())) is not None:
                     seen += np.r_[1, c > 0]
-        yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary())], names=["seen"])
+        yield pa.RecordBatch.from_arrays([pa.array([seen], pa.list_(pa.int64()))], names=["seen"])
+
+    parts = known.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "seen array<long>")
+    return parts.select(F.posexplode("seen").alias("at", "n")).where("n > 0").groupBy("at").agg(F.sum("n").alias("n"))
 
-    rows = known.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "seen binary").collect()
-    return sum((np.frombuffer(r.seen, np.int64) for r in rows), np.zeros(1 + WIDTH, np.int64))
+
+def document_frequencies(known: DataFrame) -> np.ndarray:
+    """The sums of :func:`frequency_rows`, of which there are 1 + WIDTH at most, whatever the partitions."""
+    seen = np.zeros(1 + WIDTH, np.int64)
+    for r in frequency_rows(known).collect():
+        seen[r["at"]] = r["n"]
+    return seen
 
 
 def train(docs: DataFrame, bound: int = SAMPLE) -> Model:

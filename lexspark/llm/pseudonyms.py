@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .work import free
+
 ROUNDS = 8
 #: For tests and demonstrations; a deployment passes its own secret.
 DEFAULT_KEY = "lexspark pseudonyms"
@@ -218,7 +220,7 @@ def pseudonymised(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text
     """``docs`` with the values in ``text_col`` replaced, and in ``found_col`` how many were."""
     text = F.col(text_col)
     hit = text.rlike("[0-9@=:]|A[KS]IA") & text.rlike(ANY)
-    names = [f"__{step}_of_{text_col}" for step in ("kinds", "digits", "moved", "new")]
+    names = [free(docs, f"__{step}_of_{text_col}") for step in ("kinds", "digits", "moved", "new")]
     kinds, digits, moved, new = map(F.col, names)
     tweak = lambda c: F.concat_ws(";", F.when(c["kind"].isin("iso", "dmy", "mdy"), F.lit("day")).otherwise(c["kind"]), c["d"]["radix"].cast("string"), c["d"]["base"].cast("string"))
     found = F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .work import dropped, written
+from .work import dropped, free, written
 
 BLOCKS, BLOCK_BITS = 8, 8
 PIVOTS = 32
@@ -387,11 +387,12 @@ def deduplicated(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Dat
     """
     classed = near_copies(docs, size, similarity).groupBy("root", "doc_id", "same").agg(F.count("*").alias("rows"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same", "rows")).alias("first")
-    kept = written(classed.groupBy("root").agg(first).select("first.doc_id", "first.same", F.col("first.rows").alias("__rows")), "kept")
-    named = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__same": text_hash()})
-    same = (F.col("d.__same") == F.col("k.same")) & F.col("d.__id").eqNullSafe(F.col("k.doc_id"))
+    own, text, times = (free(docs, name) for name in ("__id", "__same", "__rows"))
+    kept = written(classed.groupBy("root").agg(first).select(F.col("first.doc_id").alias("id"), F.col("first.same").alias("same"), F.col("first.rows").alias(times)), "kept")
+    named = docs.withColumns({own: F.col("doc_id").cast("long"), text: text_hash()})
+    same = (F.col(f"d.{text}") == F.col("k.same")) & F.col(f"d.{own}").eqNullSafe(F.col("k.id"))
     stay = lambda rows: named.alias("d").join(rows.alias("k"), same, "left_semi")
-    if kept.where(F.col("__rows") > 1).isEmpty():  # then texts are shuffled once
+    if kept.where(F.col(times) > 1).isEmpty():  # then texts are shuffled once
         return stay(kept).select(*docs.columns)
-    once = stay(kept.where(F.col("__rows") > 1)).dropDuplicates(["__id", "__same"])
-    return stay(kept.where(F.col("__rows") == 1)).unionByName(once).select(*docs.columns)
+    once = stay(kept.where(F.col(times) > 1)).dropDuplicates([own, text])
+    return stay(kept.where(F.col(times) == 1)).unionByName(once).select(*docs.columns)

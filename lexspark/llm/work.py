@@ -24,6 +24,14 @@ def remainder(id_col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % F.lit(n)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to be the name of no column, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one is made only for a local session that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

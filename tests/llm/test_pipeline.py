@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from lexspark.llm import langid, simhash, toxicity
+from lexspark.llm.work import table
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +64,22 @@ def test_stages(spark, folder, tmp_path):
 def test_run(spark, folder):
     first = sorted(map(str, P.run(spark, folder).collect()))
     assert first and first == sorted(map(str, P.run(spark, folder).collect()))
+
+
+def test_columns_that_clash_with_helpers_stay(spark, sf):
+    docs = table(spark, sf, "documents")
+    names = ["__score", "__found", "__id", "__same", "__rows", "__FOUND_", "_lead", "__kinds_of_text"]
+    more = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, more, sf)
+        assert out.columns == more.columns and out.schema == more.schema
+        wrong = F.lit(False)
+        for n in names:
+            wrong = wrong | (F.col(n) != F.concat(F.lit(n), F.col("doc_id").cast("string")))
+        assert out.where(wrong).isEmpty() and not out.isEmpty()
+
+
+def test_language_sums_don_t_grow_with_partitions(spark, sf):
+    docs = table(spark, sf, "documents").where("lang IS NOT NULL")
+    one, many = (langid.frequency_rows(docs.repartition(n)) for n in (1, 50))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) and many.count() <= 1 + langid.WIDTH
