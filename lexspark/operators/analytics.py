@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower
@@ -135,6 +137,27 @@ def term_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return terms.groupBy("term", "doc_id", "section").agg(F.count("*").alias("n"))
 
 
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def write_index(index: DataFrame, path: str, buckets: int = 64) -> None:
+    """:func:`term_index` as a table in ``path``, a folder for each bucket of terms, sorted by term in every file.
+
+    The postings of a frequent term are split over tasks and files; searches then read the buckets of their words only.
+    """
+    dealt = index.withColumn("bucket", bucket_of(F.col("term"), buckets)).hint("rebalance", "bucket")
+    dealt.sortWithinPartitions("bucket", "term", "doc_id", "section").write.partitionBy("bucket").parquet(path)
+
+
+def stored_index(spark: SparkSession, path: str, query: str, buckets: int = 64) -> DataFrame:
+    """The part of a written index that a query needs: its words' folders, and of these the row groups that hold them."""
+    words = sorted({w for w in query.lower().split() if w})
+    index = spark.read.schema("term string, doc_id long, section int, n long, bucket int").parquet(path)
+    folders = functools.reduce(lambda a, w: a | (F.col("bucket") == bucket_of(F.lit(w), buckets)), words, F.lit(False))
+    return index.where(folders).drop("bucket")
+
+
 def search_index(index: DataFrame, query: str, top: int = 15, sections: int = 3) -> DataFrame:
     """doc_id, score, sections, section, section_score: the best documents, and of each its best sections (ties by place).  A blank query finds nothing."""
     words = sorted({w for w in query.lower().split() if w})

@@ -15,6 +15,7 @@ from .functions.common import held
 from .operators import analytics, brain, content, graph, histories, lint, stanzas, translate
 from .plans import pipelines
 from .sources import readers, sinks
+from .sources.shared import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -663,6 +664,21 @@ def search_sections(spark, sf_dir):
     return analytics.search_index(analytics.term_index(table(spark, sf_dir, "documents")), "the of tion")
 
 
+SEARCHES = {"short": ["the", "of", "tion"], "one": ["er"], "blank": []}
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1)::INT AS section FROM (SELECT doc_id, string_split(lower(text), chr(10)) AS s FROM documents)), t AS (SELECT doc_id, section, unnest(regexp_extract_all(line, '[a-z]+')) AS term FROM l),
+q(search, term) AS (VALUES """ + ", ".join(f"('{q}', '{w}')" for q, ws in SEARCHES.items() for w in ws) + r"""),
+s AS (SELECT search, doc_id, section, count(*) AS n FROM t JOIN q USING (term) GROUP BY 1, 2, 3), d AS (SELECT search, doc_id, sum(n)::BIGINT AS score, count(*) AS sections, row_number() OVER (PARTITION BY search ORDER BY sum(n) DESC, doc_id) AS place FROM s GROUP BY 1, 2)
+SELECT search, doc_id, score, sections, section, n AS section_score FROM (SELECT d.*, s.section, s.n, row_number() OVER (PARTITION BY search, doc_id ORDER BY s.n DESC, s.section) AS rn FROM d JOIN s USING (search, doc_id) WHERE place <= 15) WHERE rn <= 3""")
+def search_stored(spark, sf_dir):
+    """An index of all documents, written once, and three searches that read the folders of their words."""
+    path = shared_folder(spark, "index")
+    analytics.write_index(analytics.term_index(table(spark, sf_dir, "documents")), path)
+    found = [analytics.search_index(analytics.stored_index(spark, path, " ".join(ws)), " ".join(ws)).select(F.lit(q).alias("search"), "*") for q, ws in SEARCHES.items()]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 @query(f"WITH {X.values(X.TYPED, 'k', 'keys, made')} SELECT keys, made FROM k")
 def keyboard_fold(spark, sf_dir):
     pressed = spark.createDataFrame([(k,) for k, _ in X.TYPED], "keys string")
@@ -694,6 +710,25 @@ def rect_overlap(spark, sf_dir):
     return boxes.join(F.broadcast(rects), geometry.boxes_overlap(F.col("box"), F.col("rect"))).groupBy("name").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
+WIDE_SQL = "CAST({0} * 7919 % 10007 AS DOUBLE) AS x0, CAST({0} * 104729 % 10007 AS DOUBLE) AS y0"
+
+
+@query(f"""WITH b AS (SELECT p_partkey AS id, {WIDE_SQL.format('p_partkey')}, p_size AS s FROM part), r AS (SELECT c_custkey AS id, {WIDE_SQL.format('c_custkey * 31')}, c_custkey % 90 AS s FROM customer)
+SELECT r.id AS rect, count(*) AS n, sum(b.id)::BIGINT AS ids FROM b JOIN r ON b.x0 <= r.x0 + r.s AND b.x0 + b.s >= r.x0 AND b.y0 <= r.y0 + r.s AND b.y0 + b.s >= r.y0 GROUP BY 1""")
+def rects_overlap(spark, sf_dir):
+    """Rectangles of all customers against boxes of all parts, by the cells of a grid."""
+    place = lambda k, m: (k * m % 10007).cast("double")
+
+    def boxes(df, key, k, size, name):
+        x, y = place(k, 7919), place(k, 104729)
+        return df.select(F.col(key).alias(name), geometry.normalized_rect(x, y, x + size, y + size).alias(f"{name}_box"))
+
+    parts = boxes(table(spark, sf_dir, "part"), "p_partkey", F.col("p_partkey"), F.col("p_size"), "part")
+    rects = boxes(table(spark, sf_dir, "customer"), "c_custkey", F.col("c_custkey") * 31, F.col("c_custkey") % 90, "rect")
+    pairs = geometry.overlapping(parts, rects, "part_box", "rect_box", 64.0)
+    return pairs.groupBy("rect").agg(F.count("*").alias("n"), F.sum("part").alias("ids"))
+
+
 def drawings(spark: SparkSession) -> DataFrame:
     t = F.struct(*[F.lit(float(v)).alias(n) for n, v in (("tx", 5), ("ty", -5), ("scaleX", 2), ("scaleY", 1), ("cx", 5), ("cy", 5))])
     rows = spark.createDataFrame([(i, "stroke" if n == "two" else "glyph", n, p) for i, (n, p) in enumerate(X.PATHS)], "entry int, type string, name string, paths array<string>")
@@ -720,6 +755,16 @@ def path_flatten(spark, sf_dir):
     return part_columns(spark, sf_dir).select("id", F.posexplode(F.flatten(geometry.flattened(path))).alias("i", "p")).select("id", "i", "p.x", "p.y")
 
 
+@query(f"""WITH {PARTS_SQL}, t AS (SELECT i::INT AS i, i / 32.0::DOUBLE AS t FROM range(33) r(i))
+SELECT id, i, (1 - t) * (1 - t) * (1 - t) * a + 3 * t * (1 - t) * (1 - t) * (a + s) + 3 * t * t * (1 - t) * (a + s) + t * t * t * (a - 2) AS x, (1 - t) * (1 - t) * (1 - t) * b + 3 * t * (1 - t) * (1 - t) * (b - s) + 3 * t * t * (1 - t) * (b + s) + t * t * t * (b + 1) AS y FROM c, t""")
+def path_cubic(spark, sf_dir):
+    """Points of a cubic curve with relative control points, for each part."""
+    n = lambda c: c.cast("string")
+    a, b, s = F.col("a"), F.col("b"), F.col("s")
+    path = F.concat_ws(" ", F.lit("M"), n(a), n(b), F.lit("c"), n(s), n(-s), n(s), n(s), F.lit("-2 1"))
+    return part_columns(spark, sf_dir).select("id", F.posexplode(F.flatten(geometry.flattened(path))).alias("i", "p")).select("id", "i", "p.x", "p.y")
+
+
 @query(f"""WITH {PARTS_SQL} SELECT id, concat('M ', 2 * a, ' ', b - 5, ' L ', 2 * (a + s), ' ', b - 4, ' Z') AS baked, concat('M ', a + 3, ' ', b - 2, ' L ', a + s + 3, ' ', b - 1, ' Z') AS moved,
  'translate(10.0, 0.0) scale(2.0, 1.0) translate(-5.0, -5.0)' AS attribute FROM c""")
 def path_transform(spark, sf_dir):
@@ -730,12 +775,28 @@ def path_transform(spark, sf_dir):
     return rows.select("id", geometry.bake("path", "transform").alias("baked"), geometry.translate("path", F.lit(3.0), F.lit(-2.0)).alias("moved"), geometry.transform_attribute(F.col("transform")).alias("attribute"))
 
 
-@query(f"""WITH {PARTS_SQL}, e AS (SELECT *, b % 20 AS y, id % 3 AS kind FROM c)
+def _clip_sql(ring: str, axis: str, bound: str, sign: str) -> str:
+    """A closed ring of (x, y) cut by one side of a box, in SQL: for each corner where the edge to it crosses, then the corner if it is inside."""
+    before = f"{ring}[CASE WHEN i = 1 THEN len({ring}) ELSE i - 1 END]"
+    off = lambda p: f"({sign} * ((CASE WHEN {axis} = 'x' THEN {p}.x ELSE {p}.y END) - {bound}))"
+    dp, dq = off(before), off(f"{ring}[i]")
+    part = lambda c: f"CASE WHEN {axis} = '{c}' THEN {bound}::DOUBLE ELSE {before}.{c} + ({ring}[i].{c} - {before}.{c}) * ({dp} / ({dp} - {dq})) END"
+    crossing = f"CASE WHEN ({dp} < 0) <> ({dq} < 0) THEN {{'x': {part('x')}, 'y': {part('y')}}} END"
+    return f"list_filter(flatten(list_transform(range(1, len({ring}) + 1), lambda i: [{crossing}, CASE WHEN {dq} >= 0 THEN {ring}[i] END])), lambda v: v IS NOT NULL)"
+
+
+@query(f"""WITH {PARTS_SQL}, e AS (SELECT *, b % 20 AS y, id % 3 AS kind FROM c),
+g AS (SELECT *, a <= 60 AND a + 1 >= 40 AND b <= 10 AND b + 1 >= 5 AS hit FROM e WHERE kind = 2),
+r0 AS (SELECT id, strip, axis, bound, sg, [{{'x': a::DOUBLE, 'y': b::DOUBLE}}, {{'x': a + 1.0::DOUBLE, 'y': b::DOUBLE}}, {{'x': a + 1.0::DOUBLE, 'y': b + 1.0::DOUBLE}}] AS p FROM g, (VALUES (1, 'y', 5, -1), (2, 'y', 10, 1), (3, 'x', 40, -1), (4, 'x', 60, 1)) AS s(strip, axis, bound, sg) WHERE hit),
+r1 AS (SELECT id, strip, {_clip_sql('p', 'axis', 'bound', 'sg')} AS p FROM r0),
+r2 AS (SELECT id, strip, CASE WHEN strip < 3 THEN p ELSE {_clip_sql('p', "'y'", '5', '1')} END AS p FROM r1),
+r3 AS (SELECT id, strip, CASE WHEN strip < 3 THEN p ELSE {_clip_sql('p', "'y'", '10', '-1')} END AS p FROM r2)
 SELECT id AS entry, 'stroke' AS type, concat('M 0 ', y, ' L 100 ', y) AS path FROM e WHERE kind < 2 AND y NOT BETWEEN 5 AND 10
 UNION ALL SELECT id, 'stroke', concat('M 0 ', y, ' L 40 ', y) FROM e WHERE kind < 2 AND y BETWEEN 5 AND 10 UNION ALL SELECT id, 'stroke', concat('M 60 ', y, ' L 100 ', y) FROM e WHERE kind < 2 AND y BETWEEN 5 AND 10
-UNION ALL SELECT id, 'glyph', concat('M ', a, ' ', b, ' L ', a + 1, ' ', b, ' L ', a + 1, ' ', b + 1, ' Z') FROM e WHERE kind = 2 AND NOT (a <= 60 AND a + 1 >= 40 AND b <= 10 AND b + 1 >= 5)""")
+UNION ALL SELECT id, 'glyph', concat('M ', a, ' ', b, ' L ', a + 1, ' ', b, ' L ', a + 1, ' ', b + 1, ' Z') FROM g WHERE NOT hit
+UNION ALL SELECT id, 'glyph', string_agg('M ' || array_to_string(list_transform(p, lambda v: v.x::BIGINT || ' ' || v.y::BIGINT), ' L ') || ' Z', ' ' ORDER BY strip) FROM r3 WHERE len(p) >= 3 GROUP BY id""")
 def erase_area(spark, sf_dir):
-    """A rectangle erased from a drawing of all parts: lines across it are cut in two, shapes inside it go, others stay."""
+    """A rectangle erased from a drawing of all parts: lines across it are cut in two, shapes inside it go, those that reach its rim leave the rings that cutting gives, others stay."""
     n = lambda c: c.cast("string")
     a, b, y = F.col("a"), F.col("b"), n(F.col("b") % 20)
     line = F.concat_ws(" ", F.lit("M 0"), y, F.lit("L 100"), y)
@@ -743,10 +804,7 @@ def erase_area(spark, sf_dir):
     still = F.struct(*[F.lit(float(v)).alias(k) for k, v in (("tx", 0), ("ty", 0), ("scaleX", 1), ("scaleY", 1), ("cx", 0), ("cy", 0))])
     stroke = F.col("id") % 3 < 2
     entries = part_columns(spark, sf_dir).select(F.col("id").alias("entry"), F.when(stroke, "stroke").otherwise("glyph").alias("type"), F.array(F.when(stroke, line).otherwise(shape)).alias("paths"), still.alias("transform"))
-    # shapes that only meet its rim or its edge are left to the tests
-    rim = (F.col("id") % 3 == 2) & ~((a >= 40) & (a + 1 <= 60) & (b >= 5) & (b + 1 <= 10)) & (a <= 60) & (a + 1 >= 40) & (b <= 10) & (b + 1 >= 5)
-    met = part_columns(spark, sf_dir).where(rim).select(F.col("id").alias("entry"))
-    return geometry.apply_erase(entries.join(met, "entry", "left_anti"), (40.0, 5.0, 60.0, 10.0)).select("entry", "type", F.explode("paths").alias("path"))
+    return geometry.apply_erase(entries, (40.0, 5.0, 60.0, 10.0)).select("entry", "type", F.explode("paths").alias("path"))
 
 
 GLYPHS = [("New Glyph", "Kana", ["M 0 0"]), ("x", "", ["M 1 1"]), ("y", None, ["M 1 1", "M 2 2"]), ("Old  Rune", "Runes", []), ("", "Kana", ["M 0 0"]), ("no paths", "Kana", None)]
