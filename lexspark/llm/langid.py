@@ -15,6 +15,7 @@ repeated rows repeat; of equal cosines the centroid of the alphabetically first
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import remainder
+from .work import memory_returned, remainder
 
 #: Documents of each language that are learned from, at most; buckets of hashed n-grams; centroids of a language.
 SAMPLE, WIDTH, CENTROIDS = 500, 4096, 4
@@ -86,9 +87,8 @@ class Model:
         out: list[tuple[str, float, bool]] = [(UNKNOWN, 0.0, True)] * len(texts)
         if not self.languages:
             return out
-        found = [(i, c) for i, t in enumerate(texts) if (c := counts(t)) is not None]
-        for at in range(0, len(found), 256):
-            part = found[at : at + 256]
+        found = ((i, c) for i, t in enumerate(texts) if (c := counts(t)) is not None)
+        while part := list(itertools.islice(found, 256)):  # a vector is long: few are held at a time
             raw = np.stack([c for _, c in part]).astype(np.float32)
             cosine = self.vectors(raw) @ self.centroids.T
             best = cosine.argmax(axis=1)
@@ -216,7 +216,9 @@ def predictions(docs: DataFrame, model: Model, name: str = "found") -> DataFrame
     def predict(texts):
         import pandas as pd
 
-        return pd.DataFrame(handle.value.predict(list(texts)), columns=["lang_pred", "score", "rejected"])
+        out = pd.DataFrame(handle.value.predict(list(texts)), columns=["lang_pred", "score", "rejected"])
+        memory_returned()
+        return out
 
     return docs.withColumn(name, predict(F.col("text").cast("string")))
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import remainder, written
+from .work import memory_returned, remainder, written
 
 #: Documents of each label that are learned from, at most.
 SAMPLE = 2500
@@ -366,7 +366,9 @@ def scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     def score(texts):
         import pandas as pd
 
-        return pd.Series([probability(features(t, model), model) for t in texts], dtype=float)
+        out = pd.Series([probability(features(t, model), model) for t in texts], dtype=float)
+        memory_returned()
+        return out
 
     return docs.withColumn(name, score(F.col("text").cast("string")))
 
