@@ -122,11 +122,14 @@ def listed(docs: DataFrame) -> DataFrame:
 
 
 def summed(rows: DataFrame, path: str) -> DataFrame:
-    """block, doc, doc_id, n_bytes, n: what each task's rows of :func:`listed`, sorted by token, add to each document."""
-    schema = pa.schema([("block", pa.int64()), ("doc", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n", pa.int64())])
+    """block, head, sums: what each task's rows of :func:`listed`, sorted by token, add to the documents of a block.
 
-    def row(number, n, ids, sizes, sums):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, number, np.int64)), pa.array(np.arange(n, dtype=np.int32)), ids, sizes, pa.array(sums)], schema=schema)
+    A row for each block and task (16-bit numbers of documents, then their 64-bit sums), and the heads as they come.
+    """
+    schema = pa.schema([("block", pa.int64()), ("head", pa.binary()), ("sums", pa.binary())])
+
+    def row(number, head, sums):
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([head], pa.binary()), pa.array([sums], pa.binary())], schema=schema)
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
@@ -135,8 +138,7 @@ def summed(rows: DataFrame, path: str) -> DataFrame:
         def given():
             for number, found in sums.items():
                 some = np.flatnonzero(found)
-                none = pa.nulls(len(some), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), number, np.int64)), pa.array(some.astype(np.int32)), none, none, pa.array(found[some])], schema=schema)
+                yield row(number, None, some.astype("<u2").tobytes() + found[some].astype("<i8").tobytes())
             sums.clear()
 
         for batch in batches:
@@ -146,9 +148,7 @@ def summed(rows: DataFrame, path: str) -> DataFrame:
             counts = dict(zip(new, pieces_of(path, new).tolist())) | ({last: pieces} if last is not None else {})
             for number, token, hits in zip(batch["block"].to_pylist(), tokens, batch["hits"].to_pylist()):
                 if is_head(token):
-                    n = len(hits) // 17
-                    ids, sizes = np.frombuffer(hits, "<i8", n), np.frombuffer(hits, "<i8", n, 8 * n)
-                    yield row(number, n, pa.array(ids, mask=np.frombuffer(hits, "u1", n, 16 * n) > 0), pa.array(sizes), np.zeros(n, np.int64))
+                    yield row(number, hits, None)
                     continue
                 n = len(hits) // 3
                 docs, times = np.frombuffer(hits, "<u2", n), np.frombuffer(hits, "u1", n, 2 * n)
@@ -169,12 +169,38 @@ def summed(rows: DataFrame, path: str) -> DataFrame:
         yield from given()
         memory_returned()
 
-    return rows.mapInArrow(run, "block long, doc int, doc_id long, n_bytes long, n long")
+    return rows.mapInArrow(run, "block long, head binary, sums binary")
+
+
+def of_documents(parts: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_tokens of every document: the parts of a block come together in order, its head first, and are added up."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
+
+    def run(batches):
+        head, total = None, None
+
+        def done():
+            n = len(total)
+            ids = pa.array(np.frombuffer(head, "<i8", n), mask=np.frombuffer(head, "u1", n, 16 * n) > 0)
+            return pa.RecordBatch.from_arrays([ids, pa.array(np.frombuffer(head, "<i8", n, 8 * n)), pa.array(total)], schema=schema)
+
+        for batch in batches:
+            for new, sums in zip(batch["head"].to_pylist(), batch["sums"].to_pylist()):
+                if new is not None:
+                    if head is not None:
+                        yield done()
+                    head, total = new, np.zeros(len(new) // 17, np.int64)
+                else:
+                    n = len(sums) // 10
+                    total[np.frombuffer(sums, "<u2", n)] += np.frombuffer(sums, "<i8", n, 2 * n)
+        if head is not None:
+            yield done()
+        memory_returned()
+
+    return parts.repartition("block").sortWithinPartitions("block", F.col("head").isNull()).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
 
 
 def counted(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than ``limit``) of every row of ``docs``, a table as it is read."""
     rows = listed(docs).repartition("token", "part").sortWithinPartitions("token").select("block", "token", "hits")
-    n = summed(rows, path)
-    total = n.groupBy("block", "doc").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
-    return total.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return of_documents(summed(rows, path)).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
