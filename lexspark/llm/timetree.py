@@ -51,7 +51,7 @@ def instants(lines: DataFrame, columns: list[Encoded]) -> DataFrame:
 
 
 def before_leaves(leaves: DataFrame, folds: int) -> DataFrame:
-    """The tree: key, leaf and, for each fold, n<fold> and s<fold>: the sums over all leaves of a key that come before this one.
+    """The tree: key, leaf, before_n and before_s: for each fold, the sums of the other folds over all leaves of a key that come before this one.
 
     ``leaves`` has the sums of each leaf and fold; ``place`` is its number from 0, ``depth`` the levels above it.
     """
@@ -64,7 +64,9 @@ def before_leaves(leaves: DataFrame, folds: int) -> DataFrame:
     nodes = below.repartition(*KEY, "level", "node").groupBy(*KEY, "level", "node", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     probes = deep.select(*KEY, "leaf", "place", "depth").distinct().select(*KEY, "leaf", "place", level).where(node % 2 == 1).select(*KEY, "leaf", "level", (node - 1).alias("node"))
     met = probes.hint("merge").join(nodes, [*KEY, "level", "node"])
-    return met.groupBy(*KEY, "leaf").agg(*[F.sum(F.when(F.col("fold") == f, F.col(c))).alias(f"{c}{f}") for f in range(folds) for c in "ns"])
+    sums = met.groupBy(*KEY, "leaf").agg(*[F.coalesce(F.sum(F.when(F.col("fold") == f, F.col(c))), F.lit(0)).alias(f"{c}{f}") for f in range(folds) for c in "ns"])
+    others = lambda c: F.array(*[sum((F.col(f"{c}{g}") for g in range(folds) if g != f), F.lit(0).cast("long")) for f in range(folds)]).alias(f"before_{c}")
+    return sums.select(*KEY, "leaf", others("n"), others("s"))
 
 
 def histories(lines: DataFrame, columns: list[Encoded], folds: int, gap: int = 0) -> DataFrame:
@@ -84,13 +86,14 @@ def histories(lines: DataFrame, columns: list[Encoded], folds: int, gap: int = 0
     first, depth = zip(*[(low, (high - low).bit_length()) for low, high in (ends.get(i, (0, 0)) for i in range(len(columns)))])
     leaves = rows.groupBy(*KEY, "leaf", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     leaves = written(leaves.withColumns({"place": F.col("leaf") - of_part(first), "depth": of_part(depth)}), "leaves")
-    # this window and the sums before each leaf are dealt alike, so they meet without another shuffle
-    inside = Window.partitionBy(*KEY, "leaf").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    within = lambda c, f: F.sum(F.when(F.col("fold") == f, F.col(c))).over(inside).alias(f"{c}_{f}")
-    found = rows.select(*KEY, "leaf", "at", "fold", "asked", *[within(c, f) for f in range(folds) for c in "ns"])
+    # these windows and the sums before each leaf are dealt alike, so they meet without another shuffle; other folds' sums
+    # are all less the own, two narrow columns where a column for each fold would make code too long to be compiled
+    own = Window.partitionBy(*KEY, "leaf", "fold").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*KEY, "leaf").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    found = rows.repartition(*KEY, "leaf").withColumns({f"own_{c}": F.sum(c).over(own) for c in "ns"}).withColumns({f"every_{c}": F.sum(c).over(every) for c in "ns"})
     found = found.where("asked").join(before_leaves(leaves, folds).hint("merge"), [*KEY, "leaf"], "left")
-    none = F.lit(0)
-    others = lambda c: sum((F.when(F.col("fold") == f, none).otherwise(F.coalesce(F.col(f"{c}_{f}"), none) + F.coalesce(F.col(f"{c}{f}"), none)) for f in range(folds)), none).cast("long").alias(c)
+    others = lambda c: (F.coalesce(F.col(f"every_{c}"), none) - F.coalesce(F.col(f"own_{c}"), none) + F.coalesce(F.get(f"before_{c}", F.col("fold").cast("int")), none)).alias(c)
     out = written(found.select(*KEY, "at", "fold", others("n"), others("s")), "histories", ["part"])
     dropped(rows, leaves)
     return out
@@ -111,7 +114,7 @@ def with_history(rows: DataFrame, found: DataFrame, columns: list[Encoded], name
 
 def rate(n: Column, s: Column, prior: Column, weight: int = 50, whole: int = 1_000_000) -> Column:
     """Share of ``s`` in ``n`` in parts of ``whole``, drawn to the prior as if by ``weight`` more lines; the prior without lines."""
-    return F.when(n < 1, prior).otherwise(F.floor((whole * s + weight * prior).cast("decimal(38,0)") / (n + weight)).cast("long"))
+    return F.when(n < 1, prior).otherwise(F.call_function("div", whole * s + weight * prior, n + F.lit(weight).cast("long")))
 
 
 # -- the shop's tables ---------------------------------------------------------------------------------------
