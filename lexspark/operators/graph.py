@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 PROJECT = "Reformed"
 
 
@@ -37,6 +39,44 @@ def neighbour_pairs(rows: DataFrame, key: str, order: list[str], value: str) ->
     return rows.select(before.alias("source"), F.col(value).alias("target")).where(F.col("source").isNotNull()).groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
+def _stored(rows: DataFrame, folder: str, step: str) -> DataFrame:
+    """``rows`` written below ``folder`` and read again: the plan ends there, and a lost executor reads what was written."""
+    rows.write.mode("overwrite").parquet(f"{folder}/{step}")
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/{step}")
+
+
+def families(links: DataFrame) -> DataFrame:
+    """id and family (the least id that can be reached over links of either direction) for every id of ``links`` (source, target).
+
+    Each round hangs the greater neighbours of a node on the least of them all, then the lesser ones on the least of
+    these, so paths halve and rounds grow as the logarithm of the longest.  Rows never outnumber the links.  Least
+    neighbours are found by partial aggregation and stored, so that adaptive execution can split the links of a hub.
+
+    A link with a null end is none; a link of an id to itself gives a family of its own; no links give no rows.
+    """
+    folder = shared_folder(links.sparkSession, "families")
+    ends = links.where(F.col("source").isNotNull() & F.col("target").isNotNull())
+    ends = _stored(ends.select(F.greatest("source", "target").alias("a"), F.least("source", "target").alias("b")).distinct(), folder, "links")
+    now, before, step = ends.where("a <> b"), None, 0
+    while True:
+        step += 1
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = _stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), folder, f"{step}/least")
+        hung = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        hung = _stored(hung, folder, f"{step}/hung")
+        least = _stored(hung.groupBy("a").agg(F.min("b").alias("m")), folder, f"{step}/lesser")
+        lesser = hung.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = _stored(lesser.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), folder, f"{step}/links")
+        # the links of a round as a set: how many, and the sums of two hashes of them
+        total = lambda seed: F.sum(F.xxhash64("a", "b", F.lit(seed)).cast("decimal(38,0)"))
+        after = tuple(now.agg(F.count("*"), total(1), total(2)).first())
+        if after == before:
+            break
+        before = after
+    alone = ends.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return alone.join(now.withColumnRenamed("a", "id"), "id", "left").select("id", F.coalesce("b", "id").alias("family"))
+
+
 def mermaid(records: DataFrame, project: str = PROJECT) -> DataFrame:
     """One row, ``diagram``: the graph of the given records as text; meant for the few records of a word."""
     node = nodes(records, project).select(F.lit(1).alias("part"), F.concat(F.lit("  "), "id", F.lit('["'), "label", F.lit("<br><b>["), "lang", F.lit(']</b>"]')).alias("line"))

@@ -280,6 +280,15 @@ def etym_edges(spark, sf_dir):
     return graph.edges(records(spark, sf_dir))
 
 
+@query(f"""WITH RECURSIVE {CHAINS_SQL}, e AS (SELECT DISTINCT source, target FROM (SELECT lag(n.label || '_' || n.lang) OVER (PARTITION BY file, stanza_idx ORDER BY i) AS source, n.label || '_' || n.lang AS target FROM nd) WHERE source IS NOT NULL),
+both_ways AS MATERIALIZED (SELECT source AS a, target AS b FROM e UNION SELECT target, source FROM e),
+f(id, family) USING KEY (id) AS (SELECT DISTINCT a AS id, a AS family FROM both_ways
+ UNION SELECT l.b, min(f.family) FROM f JOIN both_ways l ON l.a = f.id JOIN recurring.f r ON r.id = l.b WHERE f.family < r.family GROUP BY l.b)
+SELECT id, family FROM f""")
+def etym_families(spark, sf_dir):
+    return graph.families(graph.edges(records(spark, sf_dir)))
+
+
 @query(f"""WITH {CHAINS_SQL}, sel AS (SELECT * FROM nd WHERE file IN ('b/body.txt', 'f/fox.txt')),
 lines AS (SELECT DISTINCT 1 AS part, '  ' || n.label || '_' || n.lang || '["' || n.label || '<br><b>[' || n.lang || ']</b>"]' AS line FROM sel
  UNION SELECT DISTINCT 2, '  ' || source || ' --> ' || target FROM (SELECT lag(n.label || '_' || n.lang) OVER (PARTITION BY file, stanza_idx ORDER BY i) AS source, n.label || '_' || n.lang AS target FROM sel) WHERE source IS NOT NULL)

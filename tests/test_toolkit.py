@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -265,3 +267,26 @@ def test_erase(spark):
     assert same.count() == len(X.PATHS)  # too small to erase
     rows = {r.name: r for r in G.apply_erase(drawings(spark), (90.0, 40.0, 210.0, 110.0)).collect()}
     assert rows["triangle"].paths == X.PATHS[0][1]
+
+
+def test_families_of_paths_hubs_and_loops(spark):
+    rng = random.Random(5)
+    links = [(f"p{i}", f"p{i + 1}") for i in range(100)]  # a path
+    links += [("hub", f"z{i}") for i in range(2000)] + [("hub", "z1")] * 500  # a hub holds most links, one of them often
+    links += [(f"r{rng.randrange(400)}", f"r{rng.randrange(400)}") for _ in range(250)]
+    links += [("self", "self"), (None, "a"), ("b", None)]
+    parent: dict[str, str] = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a is not None and b is not None:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+    found = graph.families(spark.createDataFrame(links, "source string, target string")).collect()
+    assert sorted((r.id, r.family) for r in found) == sorted((x, root(x)) for x in parent)
+    assert graph.families(spark.createDataFrame([], "source string, target string")).count() == 0
