@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
@@ -232,6 +233,22 @@ def test_stream_tells_a_missing_word_once(spark, tmp_path):
     assert sorted(r.word for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "yak", "zebra"]
 
 
+def test_stream_never_forgets_a_missing_word(spark, tmp_path):
+    from lexspark.queries import lexicon
+
+    (tmp_path / "in").mkdir()
+    # the last book is met first and is years newer: what it tells holds for older books and after a restart
+    for day, (name, text) in zip((1_700_000_000, 1_000_000_000, 1_600_000_000), (("c", "zebra yak"), ("a", "zebra gnu"), ("b", "gnu yak okapi"))):
+        (tmp_path / f"in/{name}.txt").write_text(text)
+        os.utime(tmp_path / f"in/{name}.txt", (day, day))
+        books.watch_missing(spark, str(tmp_path / "in"), lexicon(spark), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    told = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r.word for r in told.collect()) == ["gnu", "okapi", "yak", "zebra"]
+    (tmp_path / "in/d.txt").write_text("a zebra, an okapi")
+    books.watch_missing(spark, str(tmp_path / "in"), lexicon(spark), str(tmp_path / "again"), str(tmp_path / "cp2"), told).awaitTermination()
+    assert sorted(r.word for r in spark.read.parquet(str(tmp_path / "again")).collect()) == ["a", "an"]
+
+
 def test_keys(spark):
     rows = spark.createDataFrame([(k, m) for k, m in X.TYPED], "k string, m string").select("m", keys.typed(F.split("k", ",")).alias("x")).collect()
     assert all(r.m == r.x for r in rows)
