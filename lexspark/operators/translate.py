@@ -7,6 +7,8 @@ under the session's threshold, so a large lexicon is joined by shuffle.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,10 +74,32 @@ def transcribed_words(words: DataFrame, brain: DataFrame) -> DataFrame:
 KEYS = ["text", "lemma", "pos", "tag", "is_ent"]
 
 
+#: A word is frequent if it makes up more than one in so many tokens for each shuffle partition.
+FREQUENT = 4
+
+
 def transcribe(tokens: DataFrame, brain: DataFrame) -> DataFrame:
-    """Tokens with their word: distinct tokens are worked out once and joined back."""
-    words = transcribed_words(tokens.select(*KEYS).distinct(), brain)
-    return tokens.join(words, KEYS)
+    """Tokens with their word: distinct tokens are worked out once and joined back.
+
+    The words of a text are uneven: one may make up half of all tokens, and an equi-join would send these to one task.
+    So tokens are counted as they are made distinct, and the words of frequent ones, fewer than FREQUENT times the shuffle
+    partitions by what frequent means, are broadcast.  The rest meet their words by shuffle, by a hash of the token; a token
+    that has its word already is dealt by its place instead, so it goes anywhere.  Tokens with nulls keep them.
+    """
+    partitions = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = tokens.groupBy(*KEYS).agg(F.count("*").alias("_n"))
+    total = counted.agg(F.sum("_n").alias("_all"))  # one row
+    results = ["word", "missing", "fallback"]
+    same = lambda left, right: functools.reduce(lambda a, b: a & b, [left(k).eqNullSafe(right(k)) for k in KEYS])
+    named = lambda df, mark: df.select(*[F.col(k).alias(f"_{mark}_{k}") for k in KEYS], F.struct(*results).alias(f"_{mark}"))
+    frequent = counted.crossJoin(F.broadcast(total)).where(F.col("_n") * (FREQUENT * partitions) > F.col("_all")).select(*KEYS)
+    few = named(transcribed_words(frequent, brain), "few")
+    many = named(transcribed_words(counted.select(*KEYS), brain), "many").withColumn("_to", F.xxhash64(*[f"_many_{k}" for k in KEYS]))
+    met = tokens.join(F.broadcast(few), same(lambda k: F.col(k), lambda k: F.col(f"_few_{k}")), "left")
+    met = met.withColumn("_at", F.when(F.col("_few").isNull(), F.xxhash64(*KEYS)).otherwise(F.xxhash64("doc_id", "tok_idx")))
+    met = met.join(many, (F.col("_at") == F.col("_to")) & same(lambda k: F.col(k), lambda k: F.col(f"_many_{k}")), "left")
+    word = F.coalesce("_few", "_many")
+    return met.select(*KEYS, *[c for c in tokens.columns if c not in KEYS], *[word[r].alias(r) for r in results])
 
 
 def reassembled(transcribed: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from .functions import geometry, keys, reference, text
 from .functions.common import held
 from .operators import analytics, brain, content, graph, histories, lint, stanzas, translate
 from .plans import pipelines
-from .sources import readers, sinks
+from .sources import readers, sinks, tree
 from .sources.shared import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -403,6 +403,55 @@ def history_split(spark, sf_dir):
     return histories.split_histories(entry_files(spark, sf_dir))
 
 
+# -- real folders of files: what the sources read and the sinks write ------------------------------------------
+
+
+def planted(spark: SparkSession, files: DataFrame, name: str) -> str:
+    """A shared folder that holds each of (file, text) as a file."""
+    root = shared_folder(spark, name)
+    tree.write_tree(files, root)
+    return root
+
+
+@query(f"WITH {PARSED_SQL} SELECT file, stanza_idx, me_word, reformed_word, pos, conj_kind, {ETYM} AS etymology FROM records")
+def tree_stanzas(spark, sf_dir):
+    """The entry files as a folder on disk, read back and parsed."""
+    files = tree.read_tree(spark, planted(spark, entry_files(spark, sf_dir), "entries"))
+    return stanzas.parse(files).select("file", "stanza_idx", "me_word", "reformed_word", "pos", "conj_kind", _list(F.transform("etymology", lambda e: F.concat(e["form"], F.lit("/"), e["lang"]))).alias("etymology"))
+
+
+@query(f"WITH {LINT_SQL} SELECT file, rule, level, detail FROM issues")
+def tree_lint(spark, sf_dir):
+    """The linter over a folder on disk; a file without a byte is a fault that it finds."""
+    return lint.issues(tree.read_tree(spark, planted(spark, entry_files(spark, sf_dir), "linted")), pos_codes(spark))
+
+
+@query(ORACLES["history_split"].replace("SELECT dir, word, pos, word || '_' || pos || '.txt' AS name, ", "SELECT concat_ws('/', dir, word || '_' || pos || '.txt') AS file, ").replace("chr(10)) AS text FROM k", "chr(10)) || chr(10) AS text FROM k"))
+def tree_histories(spark, sf_dir):
+    """History files, each written by an executor under its name, read back."""
+    return tree.read_tree(spark, planted(spark, sinks.history_files(histories.split_histories(entry_files(spark, sf_dir))), "histories")).select("file", "text")
+
+
+@query(f"WITH {PARSED_SQL} SELECT reformed_word, pos, coalesce(origin.lang, '?') AS lang, count(*) AS records FROM records GROUP BY ALL")
+def dataset_lines(spark, sf_dir):
+    """The dataset of JSON lines, written and read by its reader."""
+    root = shared_folder(spark, "dataset")
+    sinks.write_json_lines(records(spark, sf_dir), root)
+    e = F.col("etymology")
+    last = lambda found: F.try_element_at(found, F.lit(-1))
+    origin = F.coalesce(last(F.filter(e, lambda x: x["lang"].isin("ME", "MI"))), last(e))
+    return readers.record_lines(spark, root).groupBy("reformed_word", "pos", F.coalesce(origin["lang"], F.lit("?")).alias("lang")).agg(F.count("*").alias("records"))
+
+
+@query("SELECT c_nationkey::VARCHAR AS nation, n_name AS name, count(*) AS count FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
+def code_names(spark, sf_dir):
+    """Counts by code, named by a table of two columns on disk."""
+    root = shared_folder(spark, "codes")
+    table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string"), "n_name").write.csv(root, sep="\t")
+    counted = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("string").alias("nation")).agg(F.count("*").alias("count"))
+    return analytics.named(counted, "nation", readers.code_table(spark, root))
+
+
 # -- the compiled lexicon -----------------------------------------------------------------------------------
 
 CATEGORY_MAP = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in reference.CATEGORY.items()) + "}"
@@ -540,6 +589,16 @@ def transcribe_text(spark, sf_dir):
     return translate.reassembled(transcribed(spark, sf_dir))
 
 
+@query(f"WITH {TRANSLATED_SQL} SELECT concat('out/', doc_id, '.txt') AS file, string_agg(word || whitespace, '' ORDER BY tok_idx) AS text FROM done GROUP BY doc_id")
+def tree_books(spark, sf_dir):
+    """Token files on disk, a JSON array for each turn, transcribed into text files of mirrored names and read back."""
+    t = F.struct("tok_idx", F.struct("text", "lemma", "pos", "tag", "is_ent", "whitespace").alias("t"))
+    arrays = tokens(spark, sf_dir).groupBy("doc_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(t)), lambda x: x["t"])).alias("text"))
+    root = planted(spark, arrays.select(F.concat(F.lit("in/"), "doc_id", F.lit(".json")).alias("file"), "text"), "tokens")
+    done = translate.reassembled(translate.transcribe(readers.tokens_of(tree.read_tree(spark, root, ".json")), lexicon(spark)))
+    return tree.read_tree(spark, planted(spark, done.select(text.mirrored(F.col("doc_id"), "in", "out", "txt").alias("file"), "text"), "books")).select("file", "text")
+
+
 @query(f"WITH {TRANSLATED_SQL} SELECT DISTINCT missing AS word FROM done WHERE missing IS NOT NULL")
 def missing_words(spark, sf_dir):
     return translate.missing_words(transcribed(spark, sf_dir))
@@ -688,15 +747,29 @@ def search_stored(spark, sf_dir):
     return functools.reduce(DataFrame.unionByName, found)
 
 
-@query(f"WITH {X.values(X.TYPED, 'k', 'keys, made')} SELECT keys, made FROM k")
+CHANGE_SQL = "map {" + ", ".join(f"{X.literal(a + b)}: {X.literal(out)}" for a, row in reference.KEYS.items() for b, out in row.items()) + "}"
+IGNORED_SQL = ", ".join(X.literal(k) for k in keys.IGNORED + keys.ENDING)
+PRESSED_SQL = "list_reduce(pressed, lambda made, k: CASE WHEN k IN (" + IGNORED_SQL + ") THEN made ELSE coalesce(left(made, length(made) - 1) || " + CHANGE_SQL + "[right(made, 1) || k], made || k) END, '')"
+
+
+@query(f"""WITH {X.values(X.TYPED, 'k', 'keys, made')}, w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS keys FROM conversations), p AS (SELECT keys, regexp_extract_all(keys, '(?s).') AS pressed FROM w WHERE keys <> '')
+SELECT keys, made FROM k UNION ALL SELECT keys, {PRESSED_SQL} FROM p""")
 def keyboard_fold(spark, sf_dir):
-    pressed = spark.createDataFrame([(k,) for k, _ in X.TYPED], "keys string")
-    return pressed.select("keys", keys.typed(F.split("keys", ",")).alias("made"))
+    """What named keys make, and what the letters of each word make that anyone says, pressed in turn."""
+    named = spark.createDataFrame([(k,) for k, _ in X.TYPED], "keys string").withColumn("pressed", F.split("keys", ","))
+    words = table(spark, sf_dir, "conversations").select(F.explode(F.split("text", " ")).alias("keys")).where("keys <> ''").distinct()
+    pressed = named.unionByName(words.withColumn("pressed", F.regexp_extract_all("keys", F.lit("(?s)."), F.lit(0))))
+    return pressed.select("keys", keys.typed(F.col("pressed")).alias("made"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(str(tuple(row[:4])) for row in reference.VOWEL_SHIFT) + ") AS v(id, before, after, word)")
+@query("WITH v(id, before, after, word) AS (VALUES " + ", ".join(str(tuple(row[:4])) for row in reference.VOWEL_SHIFT) + """), w AS (SELECT lang, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS word FROM documents),
+n AS (SELECT word, count(*) AS times FROM w WHERE lang = 'en' GROUP BY 1) SELECT id, before, after, word, coalesce(times, 0) AS times FROM v LEFT JOIN n USING (word)""")
 def vowel_shift(spark, sf_dir):
-    return spark.createDataFrame(reference.VOWEL_SHIFT, "id string, before string, after string, word string, x0 int, y0 int, x1 int, y1 int").select("id", "before", "after", "word")
+    """The shifted vowels, and how often English documents have the word that shows each."""
+    rows = spark.createDataFrame(reference.VOWEL_SHIFT, "id string, before string, after string, word string, x0 int, y0 int, x1 int, y1 int").select("id", "before", "after", "word")
+    said = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word"))
+    times = said.select(F.lower("word").alias("word")).groupBy("word").agg(F.count("*").alias("times"))
+    return rows.join(times, "word", "left").select("id", "before", "after", "word", F.coalesce("times", F.lit(0)).alias("times"))
 
 
 BOXES_SQL = "b AS (SELECT p_partkey AS id, (p_partkey % 97)::DOUBLE AS x0, (p_partkey % 89)::DOUBLE AS y0, (p_partkey % 97 + p_size)::DOUBLE AS x1, (p_partkey % 89 + p_size / 2.0)::DOUBLE AS y1 FROM part)"

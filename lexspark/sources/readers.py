@@ -26,12 +26,22 @@ def one_file(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.col("value").alias("text"))
 
 
-def token_files(spark: SparkSession, root: str) -> DataFrame:
-    """Token rows of JSON files, each an array of tokens, with doc_id (the path) and tok_idx."""
-    rows = text_files(spark, root, "*.json").select(F.col("file").alias("doc_id"), F.posexplode(F.from_json("text", TOKENS)).alias("tok_idx", "t"))
+def tokens_of(files: DataFrame) -> DataFrame:
+    """Token rows of (file, text), each text a JSON array of tokens, with doc_id (the file) and tok_idx."""
+    rows = files.select(F.col("file").alias("doc_id"), F.posexplode(F.from_json("text", TOKENS)).alias("tok_idx", "t"))
     return rows.select("doc_id", "tok_idx", "t.*")
 
 
+def token_files(spark: SparkSession, root: str) -> DataFrame:
+    """Token rows of JSON files; a file that is no array of tokens gives none, :func:`broken_token_files` names it."""
+    return tokens_of(text_files(spark, root, "*.json"))
+
+
+def broken_token_files(files: DataFrame) -> DataFrame:
+    """file of those (file, text) whose text is no JSON array of tokens: null, empty, or malformed."""
+    return files.where(F.from_json("text", TOKENS).isNull()).select("file")
+
+
 def record_lines(spark: SparkSession, path: str, word_field: str = "reformed_word") -> DataFrame:
     """Records of a JSON-lines dataset; ``conjugations`` comes as JSON text, a legacy array counts as corrupt and is dropped.
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import glyph_slug
 from ..operators import graph
 from ..operators.analytics import flattened, json_lines
+from .tree import write_tree
 
 
 def write_json_lines(records: DataFrame, path: str) -> int:
@@ -75,29 +74,20 @@ def write_words(words: DataFrame, path: str) -> bool:
 
 
 def write_histories(histories: DataFrame, path: str, dry_run: bool = False) -> list[str]:
-    """Each history as ``<dir>/<word>_<pos>.txt`` below ``path``; returns the names, which is all that a dry run does.
+    """Each history as ``<dir>/<word>_<pos>.txt`` below ``path``, by the executors; returns the names, for a reader to be told.
 
-    Spark writes the texts, a folder for each name; the driver then renames the one file of each to its place.
+    Names alone reach the driver, and of a dry run nothing else is made; :func:`history_files` without them is for
+    dictionaries of any size.
     """
-    named = histories.select(F.concat_ws("/", "dir", "name").alias("name"), F.col("text").alias("value"))
-    if dry_run:
-        return sorted(r.name for r in named.select("name").toLocalIterator())
-    spark = histories.sparkSession
-    made = f"{path.rstrip('/')}/_made"
-    named.write.mode("overwrite").partitionBy("name").option("lineSep", "\n").text(made)
-    root, files = _folder(spark, made)
-    names = []
-    for folder in files.listStatus(root):
-        if folder.isDirectory():
-            (part,) = [f for f in files.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
-            name = unquote(folder.getPath().getName().removeprefix("name="))
-            to, _ = _folder(spark, f"{path.rstrip('/')}/{name}")
-            files.mkdirs(to.getParent())
-            files.delete(to, False)
-            files.rename(part.getPath(), to)
-            names.append(name)
-    files.delete(root, True)
-    return sorted(names)
+    named = history_files(histories)
+    if not dry_run:
+        write_tree(named, path)
+    return sorted(r.file for r in named.select("file").toLocalIterator())
+
+
+def history_files(histories: DataFrame) -> DataFrame:
+    """file and text of each history, as ``tree.write_tree`` takes them; a text ends in a line end."""
+    return histories.select(F.concat_ws("/", "dir", "name").alias("file"), F.concat("text", F.lit("\n")).alias("text"))
 
 
 def write_graph(records: DataFrame, path: str) -> None:
