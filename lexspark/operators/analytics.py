@@ -13,17 +13,34 @@ from .stanzas import clean_lines, conj_leaves, origin, tags
 
 def pos_frequency(records: DataFrame) -> DataFrame:
     """tag, count of every comma tag, commonest first, ties by tag."""
-    return records.select(F.explode(tags(F.col("pos"))).alias("tag")).groupBy("tag").count().orderBy(F.desc("count"), "tag")
+    return _pos(records.groupBy("pos").count())
 
 
 def origin_frequency(records: DataFrame) -> DataFrame:
     """lang, count by language of origin; no origin and an empty tag are groups of their own."""
-    return records.select(origin(F.col("etymology"))["lang"].alias("lang")).groupBy("lang").count().orderBy(F.desc("count"), F.asc_nulls_first("lang"))
+    return _lang(pair_counts(records))
 
 
 def cross_tabulation(records: DataFrame) -> DataFrame:
     """pos (as it stands), lang ('?' for none), count."""
-    return records.groupBy("pos", F.coalesce(origin(F.col("etymology"))["lang"], F.lit("?")).alias("lang")).count().orderBy(F.desc("count"), "pos", "lang")
+    return _cells(pair_counts(records))
+
+
+def pair_counts(records: DataFrame) -> DataFrame:
+    """pos, lang of origin (null: none), count: few rows, from which all three statistics follow."""
+    return records.groupBy("pos", origin(F.col("etymology"))["lang"].alias("lang")).count()
+
+
+def _pos(counted: DataFrame) -> DataFrame:
+    return counted.select(F.explode(tags(F.col("pos"))).alias("tag"), "count").groupBy("tag").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "tag")
+
+
+def _lang(counted: DataFrame) -> DataFrame:
+    return counted.groupBy("lang").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), F.asc_nulls_first("lang"))
+
+
+def _cells(counted: DataFrame) -> DataFrame:
+    return counted.groupBy("pos", F.coalesce("lang", F.lit("?")).alias("lang")).agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "pos", "lang")
 
 
 def cross_tab_report(records: DataFrame, top: int = 5) -> DataFrame:
@@ -31,15 +48,16 @@ def cross_tab_report(records: DataFrame, top: int = 5) -> DataFrame:
 
     A record with several tags matches none of them, as its pos is compared whole.
     """
-    pos, lang = pos_frequency(records).limit(top).select("tag"), origin_frequency(records).limit(top).select(F.coalesce("lang", F.lit("?")).alias("lang"))
-    cells = cross_tabulation(records).select(F.col("pos").alias("tag"), "lang", "count")
+    counted = pair_counts(records).cache()
+    pos, lang = _pos(counted).limit(top).select("tag"), _lang(counted).limit(top).select(F.coalesce("lang", F.lit("?")).alias("lang"))
+    cells = _cells(counted).select(F.col("pos").alias("tag"), "lang", "count")
     return pos.crossJoin(lang).join(cells, ["tag", "lang"], "left").select("tag", "lang", F.coalesce("count", F.lit(0)).alias("count"))  # top x top rows
 
 
 def summary(records: DataFrame) -> dict[str, DataFrame]:
-    """The three statistics over one cached parse."""
-    held = records.select("pos", "etymology").cache()
-    return {"parts_of_speech": pos_frequency(held), "languages": origin_frequency(held), "cross_tabulation": cross_tabulation(held)}
+    """The three statistics over the counts of one parse, which are cached."""
+    counted = pair_counts(records).cache()
+    return {"parts_of_speech": _pos(counted), "languages": _lang(counted), "cross_tabulation": _cells(counted)}
 
 
 def named(frequency: DataFrame, key: str, names: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.common import held
 from ..sources.shared import shared_folder
 
 PROJECT = "Reformed"
@@ -17,18 +18,46 @@ def chains(records: DataFrame, project: str = PROJECT) -> DataFrame:
     return records.where(F.size("etymology") > 0).select(F.struct("file", "stanza_idx").alias("ord"), F.concat(old, new).alias("chain"))
 
 
+def _ids(chain: str) -> Column:
+    return F.transform(chain, lambda n: F.concat_ws("_", n["label"], n["lang"]))
+
+
+def _pairs(ids: str) -> Column:
+    return F.arrays_zip(F.slice(ids, F.lit(1), F.size(ids) - 1).alias("source"), F.slice(ids, F.lit(2), F.size(ids) - 1).alias("target"))
+
+
 def nodes(records: DataFrame, project: str = PROJECT) -> DataFrame:
     """id, label, lang, pos: the first of each id in the order of the records."""
     each = chains(records, project).select("ord", F.posexplode("chain").alias("i", "n"))
     keyed = each.select(F.concat_ws("_", "n.label", "n.lang").alias("id"), F.struct("ord", "i").alias("at"), "n")
-    return keyed.groupBy("id").agg(F.min_by("n", "at").alias("n")).select("id", "n.label", "n.lang", "n.pos").orderBy("id")
+    return keyed.groupBy("id").agg(F.min_by("n", "at").alias("n")).select("id", "n.label", "n.lang", "n.pos")
+
+
+def links(records: DataFrame, project: str = PROJECT) -> DataFrame:
+    """source, target: neighbours in a chain, as often as they are."""
+    return held(chains(records, project), ids=_ids("chain")).select(F.explode(_pairs("ids")).alias("e")).select("e.source", "e.target")
 
 
 def edges(records: DataFrame, project: str = PROJECT) -> DataFrame:
     """source, target: neighbours in a chain, each pair once."""
-    ids = F.transform("chain", lambda n: F.concat_ws("_", n["label"], n["lang"]))
-    pairs = F.arrays_zip(F.slice(ids, F.lit(1), F.size(ids) - 1).alias("source"), F.slice(ids, F.lit(2), F.size(ids) - 1).alias("target"))
-    return chains(records, project).select(F.explode(pairs).alias("e")).select("e.source", "e.target").distinct().orderBy("source", "target")
+    return links(records, project).distinct()
+
+
+def parts(records: DataFrame, project: str = PROJECT) -> DataFrame:
+    """source, target, at, n: nodes (no target; their place and what they hold) and neighbours (neither) of every chain, as often as they are, in one pass."""
+    each = held(chains(records, project), ids=_ids("chain"))
+    node = F.transform("chain", lambda n, i: F.struct(F.get("ids", i).alias("source"), F.lit(None).cast("string").alias("target"), F.struct("ord", i.alias("i")).alias("at"), n.alias("n")))
+    no_place, no_node = F.when(F.lit(False), F.struct("ord", F.lit(0).alias("i"))), F.when(F.lit(False), F.get("chain", F.lit(0)))
+    link = F.transform(_pairs("ids"), lambda e: F.struct(e["source"].alias("source"), e["target"].alias("target"), no_place.alias("at"), no_node.alias("n")))
+    return each.select(F.explode(F.concat(node, link)).alias("e")).select("e.*")
+
+
+def json_lines(records: DataFrame, project: str = PROJECT) -> DataFrame:
+    """kind (node or edge) and json of each."""
+    once = parts(records, project).groupBy("source", "target").agg(F.min_by("n", "at").alias("n"))
+    node = F.to_json(F.struct(F.col("source").alias("id"), "n.label", "n.lang", "n.pos"))
+    is_node = F.col("target").isNull()
+    return once.select(F.when(is_node, "node").otherwise("edge").alias("kind"), F.when(is_node, node).otherwise(F.to_json(F.struct("source", "target"))).alias("json"))
 
 
 def neighbour_pairs(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
@@ -88,10 +117,14 @@ def mermaid(records: DataFrame, project: str = PROJECT) -> DataFrame:
 
 def document(records: DataFrame, project: str = PROJECT) -> DataFrame:
     """One row, ``json``: {"nodes": [...], "edges": [...]} of the given records, sorted; meant for a few of them."""
-    held = nodes(records, project).agg(F.array_sort(F.collect_list(F.struct("id", "label", "lang", "pos"))).alias("nodes"))
-    held = held.crossJoin(edges(records, project).agg(F.array_sort(F.collect_list(F.struct("source", "target"))).alias("edges")))  # one row each
-    return held.select(F.to_json(F.struct("nodes", "edges")).alias("json"))
+    both = nodes(records, project).agg(F.array_sort(F.collect_list(F.struct("id", "label", "lang", "pos"))).alias("nodes"))
+    both = both.crossJoin(edges(records, project).agg(F.array_sort(F.collect_list(F.struct("source", "target"))).alias("edges")))  # one row each
+    return both.select(F.to_json(F.struct("nodes", "edges")).alias("json"))
 
 
 def graph_counts(records: DataFrame, project: str = PROJECT) -> DataFrame:
-    return nodes(records, project).agg(F.count("*").alias("nodes")).crossJoin(edges(records, project).agg(F.count("*").alias("edges")))  # one row each
+    """nodes and edges, counted in one pass and one shuffle."""
+    each = held(chains(records, project), ids=_ids("chain"))
+    node = F.transform("ids", lambda x: F.struct(x.alias("source"), F.lit(None).cast("string").alias("target")))
+    once = each.select(F.explode(F.concat(node, _pairs("ids"))).alias("e")).select("e.source", "e.target").distinct()
+    return once.agg(F.count_if(F.col("target").isNull()).alias("nodes"), F.count("target").alias("edges"))
