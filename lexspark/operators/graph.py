@@ -74,36 +74,56 @@ def _stored(rows: DataFrame, folder: str, step: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/{step}")
 
 
+def _numbered(ids: DataFrame, folder: str) -> tuple[DataFrame, int]:
+    """id and n, a long that no two ids share, and the seed of the hash that gave it: one that clashes is followed by another."""
+    seed = 42
+    while True:
+        named = _stored(ids.select("id", F.xxhash64("id", F.lit(seed)).alias("n")), folder, f"ids-{seed}")
+        if named.groupBy("n").agg(F.count("*").alias("ids")).where("ids > 1").isEmpty():
+            return named, seed
+        seed += 1
+
+
+def _stirred(c: Column, step: int) -> Column:
+    """Another long for each long, and by the same call back: an order of hashes for each step."""
+    return c.bitwiseXOR(F.lit(0x1E3779B97F4A7C15 * (2 * step + 1) % (1 << 63)))
+
+
 def families(links: DataFrame) -> DataFrame:
     """id and family (the least id that can be reached over links of either direction) for every id of ``links`` (source, target).
 
-    Each round hangs the greater neighbours of a node on the least of them all, then the lesser ones on the least of
-    these, so paths halve and rounds grow as the logarithm of the longest.  Rows never outnumber the links.  Least
-    neighbours are found by partial aggregation and stored, so that adaptive execution can split the links of a hub.
+    Ids become longs of their hashes, checked to be told apart.  Each round merges a node into the first of itself and its
+    neighbours, in an order drawn anew, and the links between what is left are a set of fewer: rounds grow as the logarithm
+    of the nodes, and nearly all rows are moved in the first.  Names are met again at the end.  First neighbours are found
+    by partial aggregation and stored, so that adaptive execution can split the links of a hub.
 
     A link with a null end is none; a link of an id to itself gives a family of its own; no links give no rows.
     """
     folder = shared_folder(links.sparkSession, "families")
-    ends = links.where(F.col("source").isNotNull() & F.col("target").isNotNull())
-    ends = _stored(ends.select(F.greatest("source", "target").alias("a"), F.least("source", "target").alias("b")).distinct(), folder, "links")
-    now, before, step = ends.where("a <> b"), None, 0
-    while True:
-        step += 1
+    raw = _stored(links.where(F.col("source").isNotNull() & F.col("target").isNotNull()).select("source", "target"), folder, "links")
+    named, seed = _numbered(raw.select(F.explode(F.array("source", "target")).alias("id")).distinct(), folder)
+    a, b = (F.xxhash64(c, F.lit(seed)) for c in ("source", "target"))
+    now = _stored(raw.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), folder, "0/links")
+    merged = []
+    while not now.isEmpty():
+        step = len(merged) + 1
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = _stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), folder, f"{step}/least")
-        hung = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        hung = _stored(hung, folder, f"{step}/hung")
-        least = _stored(hung.groupBy("a").agg(F.min("b").alias("m")), folder, f"{step}/lesser")
-        lesser = hung.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = _stored(lesser.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), folder, f"{step}/links")
-        # the links of a round as a set: how many, and the sums of two hashes of them
-        total = lambda seed: F.sum(F.xxhash64("a", "b", F.lit(seed)).cast("decimal(38,0)"))
-        after = tuple(now.agg(F.count("*"), total(1), total(2)).first())
-        if after == before:
-            break
-        before = after
-    alone = ends.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return alone.join(now.withColumnRenamed("a", "id"), "id", "left").select("id", F.coalesce("b", "id").alias("family"))
+        first = both.groupBy("a").agg(F.min(_stirred(F.col("b"), step)).alias("m"))
+        to = _stored(first.select(F.col("a").alias("x"), _stirred(F.least("m", _stirred(F.col("a"), step)), step).alias("y")), folder, f"{step}/first")
+        merged.append(to)
+        half = now.join(to, F.col("a") == F.col("x")).select(F.col("y").alias("c"), "b").distinct()
+        left = half.join(to, F.col("b") == F.col("x")).select("c", F.col("y").alias("d")).where("c <> d")
+        now = _stored(left.select(F.greatest("c", "d").alias("a"), F.least("c", "d").alias("b")).distinct(), folder, f"{step}/links")
+    if not merged:
+        return named.select("id", F.col("id").alias("family"))
+    root = merged.pop().withColumnRenamed("y", "root")
+    while merged:  # from the last round back: a name that no later round has is final
+        step = len(merged)
+        later = root.select(F.col("x").alias("then"), "root")
+        root = _stored(merged.pop().join(later, F.col("y") == F.col("then"), "left").select("x", F.coalesce("root", "y").alias("root")), folder, f"{step}/roots")
+    of = _stored(named.join(root, F.col("n") == F.col("x"), "left").select("id", F.coalesce("root", "n").alias("root")), folder, "of")
+    least = of.groupBy("root").agg(F.min("id").alias("family"))
+    return of.join(least, "root").select("id", "family")
 
 
 def mermaid(records: DataFrame, project: str = PROJECT) -> DataFrame:

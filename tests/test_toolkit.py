@@ -307,3 +307,31 @@ def test_families_of_paths_hubs_and_loops(spark):
     found = graph.families(spark.createDataFrame(links, "source string, target string")).collect()
     assert sorted((r.id, r.family) for r in found) == sorted((x, root(x)) for x in parent)
     assert graph.families(spark.createDataFrame([], "source string, target string")).count() == 0
+
+
+def test_records_of_some_columns_and_the_graph_in_one_pass(spark):
+    from lexspark.fixtures import FILES
+    from lexspark.operators import brain, graph, stanzas
+
+    files = spark.createDataFrame(FILES, "file string, text string")
+    whole, order = stanzas.parse(files), ["file", "stanza_idx"]
+    for c in stanzas.COLUMNS[2:]:
+        part = stanzas.parse(files, *order, c)
+        assert part.columns == [*order, c] and sorted(map(str, part.collect())) == sorted(map(str, whole.select(*order, c).collect()))
+    plan = stanzas.parse(files, "pos")._jdf.queryExecution().optimizedPlan().toString()
+    assert "etymology" not in plan and "third_singular" not in plan  # not worked out
+    lines = [r.kind for r in graph.json_lines(whole).collect()]
+    counted = graph.graph_counts(whole).first()
+    assert (lines.count("node"), lines.count("edge")) == (counted.nodes, counted.edges) == (graph.nodes(whole).count(), graph.edges(whole).count())
+    assert brain.record_counts(whole).first() == brain.counts(brain.compile_brain(whole), whole).first()
+
+
+def test_families_move_longs(spark, tmp_path):
+    from lexspark.operators import graph
+
+    path = [(f"n{i:03}", f"n{i + 1:03}") for i in range(120)] + [("x", "x"), ("b", "a"), ("a", "b"), (None, "q")]
+    got = {r.id: r.family for r in graph.families(spark.createDataFrame(path, "source string, target string")).collect()}
+    assert got == {f"n{i:03}": "n000" for i in range(121)} | {"x": "x", "a": "a", "b": "a"}
+    ids = spark.createDataFrame([("a",), ("b",)], "id string")
+    named, seed = graph._numbered(ids, str(tmp_path))
+    assert seed == 42 and named.select("n").distinct().count() == 2 and dict(named.dtypes)["n"] == "bigint"
