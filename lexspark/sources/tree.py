@@ -18,18 +18,22 @@ absent one raises.  A file is held whole in a task's memory.  Stores are those t
 from __future__ import annotations
 
 import dataclasses
+import os
 import posixpath
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 NAME = "lexspark_tree"
 #: Tasks that share a folder.
 SLICES = 8
+#: Files, and characters of text, that a task reads before it hands them on.
+BATCH_ROWS, BATCH_CHARS = 1000, 4_000_000
 
 
 def store(path: str):
@@ -62,6 +66,23 @@ def _shown(path: str) -> bool:
     return posixpath.basename(path)[:1] not in (".", "_")
 
 
+def _entries(files, folder: str) -> Iterator[tuple[str, bool, bool]]:
+    """Path, whether a folder, whether a file: of a local folder one by one; pyarrow lists those of other stores whole."""
+    from pyarrow import fs
+
+    if isinstance(files, fs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            for f in found:
+                yield posixpath.join(folder, f.name), f.is_dir(), f.is_file()
+        return
+    for f in files.get_file_info(fs.FileSelector(folder)):
+        yield f.path, f.type == fs.FileType.Directory, f.type == fs.FileType.File
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["file", "text", "corrupt"])
+
+
 class TreeReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root, self.ending, self.slices = options["path"], options.get("ending", ""), int(options.get("slices", SLICES))
@@ -75,19 +96,29 @@ class TreeReader(DataSourceReader):
         return [Slice(folder, deep, i) for folder, deep in [(root, False), *[(f, True) for f in folders]] for i in range(self.slices)]
 
     def _names(self, files, part: Slice) -> Iterator[str]:
-        from pyarrow import fs
-
         folders = [part.folder]
         while folders:
-            for f in files.get_file_info(fs.FileSelector(folders.pop())):
-                if not _shown(f.path):
+            for path, is_folder, is_file in _entries(files, folders.pop()):
+                if not _shown(path):
                     continue
-                if f.type == fs.FileType.Directory and part.deep:
-                    folders.append(f.path)
-                elif f.type == fs.FileType.File and f.path.endswith(self.ending) and zlib.crc32(f.path.encode()) % self.slices == part.number:
-                    yield f.path
-
-    def read(self, partition: Slice) -> Iterator[tuple]:
+                if is_folder and part.deep:
+                    folders.append(path)
+                elif is_file and path.endswith(self.ending) and zlib.crc32(path.encode()) % self.slices == part.number:
+                    yield path
+
+    def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
+        """Batches of bounded bytes: rows would be gathered by their number alone, however long their texts."""
+        held, size = [], 0
+        for row in self._rows(partition):
+            held.append(row)
+            size += len(row[1] or "")
+            if len(held) >= BATCH_ROWS or size >= BATCH_CHARS:
+                yield _batch(held)
+                held, size = [], 0
+        if held:
+            yield _batch(held)
+
+    def _rows(self, partition: Slice) -> Iterator[tuple]:
         files, root = store(self.root)
         for path in self._names(files, partition):
             with files.open_input_stream(path, compression=None) as stream:
@@ -99,23 +130,27 @@ class TreeReader(DataSourceReader):
                 yield name, None, f"{wrong.reason} at byte {wrong.start}"
 
 
-class TreeWriter(DataSourceWriter):
+class TreeWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str]):
         self.root = options["path"]
 
     def write(self, iterator) -> Written:
         files, root = store(self.root)
-        n = 0
-        for row in iterator:
-            name = posixpath.normpath((row["file"] or "").lstrip("/"))
+        n, there = 0, set()
+        # Arrow's values are read one at a time: a batch is never a second time in memory as rows
+        for file, text in ((f.as_py(), t.as_py()) for batch in iterator for f, t in zip(batch.column("file"), batch.column("text"))):
+            name = posixpath.normpath((file or "").lstrip("/"))
             if name in (".", "..") or name.startswith("../"):
-                raise ValueError(f"not the name of a file below the folder: {row['file']!r}")
+                raise ValueError(f"not the name of a file below the folder: {file!r}")
             to = posixpath.join(root, name)
-            made = posixpath.join(posixpath.dirname(to), f".{uuid.uuid4().hex}")
-            files.create_dir(posixpath.dirname(to), recursive=True)
+            folder = posixpath.dirname(to)
+            made = posixpath.join(folder, f".{uuid.uuid4().hex}")
+            if folder not in there:
+                files.create_dir(folder, recursive=True)
+                there = {folder} if len(there) >= 1000 else there | {folder}
             try:
                 with files.open_output_stream(made, compression=None) as stream:
-                    stream.write((row["text"] or "").encode("utf-8"))
+                    stream.write((text or "").encode("utf-8"))
                 files.move(made, to)
             except BaseException:
                 if files.get_file_info(made).is_file:

@@ -100,3 +100,12 @@ def test_tokens_with_nulls_stay(spark):
     got = {r.tok_idx: r for r in translate.transcribe(made, Q.lexicon(spark)).collect()}
     assert len(got) == 2 and got[1].word == "þe" and got[0].text == "cake"
     assert translate.transcribe(made.limit(0), Q.lexicon(spark)).count() == 0
+
+
+def test_a_slice_is_read_in_batches_of_bounded_text(tmp_path, monkeypatch):
+    monkeypatch.setattr(tree, "BATCH_CHARS", 1000)
+    for i in range(30):
+        (tmp_path / f"{i}.txt").write_text("x" * 400)
+    reader = tree.TreeReader({"path": str(tmp_path), "ending": ".txt", "slices": "1"})
+    batches = list(reader.read(tree.Slice(str(tmp_path), False, 0)))
+    assert sum(b.num_rows for b in batches) == 30 and max(b.num_rows for b in batches) == 3
