@@ -37,6 +37,6 @@ def split_histories(files: DataFrame, dirs: list[str] | None = None) -> DataFram
         "dir", "file", "stanza_idx", word.alias("word"), named.otherwise(F.regexp_replace(tag, "[^a-z0-9]", "_")).alias("pos"),
         F.array_join(F.filter("lines", lambda x, i: i != F.col("r.i")), "\n").alias("text"),
     ).where((F.col("word") != "") & (F.col("pos") != ""))
-    last = F.row_number().over(Window.partitionBy("dir", "word", "pos").orderBy(F.col("file").desc(), F.col("stanza_idx").desc()))
-    kept = rows.withColumn("rn", last).where("rn = 1")
-    return kept.select("dir", "word", "pos", F.concat_ws("", "word", F.lit("_"), "pos", F.lit(".txt")).alias("name"), "text")
+    rows = rows.withColumn("name", F.concat("word", F.lit("_"), "pos", F.lit(".txt")))  # by which they meet: two words can share one
+    last = F.row_number().over(Window.partitionBy("dir", "name").orderBy(F.col("file").desc(), F.col("stanza_idx").desc()))
+    return rows.withColumn("rn", last).where("rn = 1").select("dir", "word", "pos", "name", "text")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from lexspark import queries as Q
-from lexspark.operators import lint, translate
+from lexspark.operators import histories, lint, translate
 from lexspark.sources import readers, sinks, tree
 
 
@@ -109,3 +111,44 @@ def test_a_slice_is_read_in_batches_of_bounded_text(tmp_path, monkeypatch):
     reader = tree.TreeReader({"path": str(tmp_path), "ending": ".txt", "slices": "1"})
     batches = list(reader.read(tree.Slice(str(tmp_path), False, 0)))
     assert sum(b.num_rows for b in batches) == 30 and max(b.num_rows for b in batches) == 3
+
+
+def test_archives_hold_the_same_files(spark, tmp_path, monkeypatch):
+    long = "d/" + "þ" * 90 + "/x.txt"  # over the hundred bytes of a plain header
+    given = rows(spark, ("a/x.txt", "1\n"), ("/b/c/y y.txt", None), (long, "é" * 100_000), ("a/z.json", "{}"), ("a/.h.txt", "hidden"))
+    tree.write_tree(given, str(tmp_path / "p"), archives=True)
+    got = {r.file: (r.text, r.corrupt) for r in tree.read_tree(spark, str(tmp_path / "p"), archives=True).collect()}
+    assert got == {"a/x.txt": ("1\n", None), "b/c/y y.txt": ("", None), long: ("é" * 100_000, None)}
+    assert not list((tmp_path / "p").glob(".*.tar.gz"))
+    tree.write_tree(given.limit(0), str(tmp_path / "none"), archives=True)
+    assert tree.read_tree(spark, str(tmp_path / "none"), archives=True).count() == 0
+    with pytest.raises(PySparkException, match="not the name of a file"):
+        tree.write_tree(rows(spark, ("../x.txt", "x")), str(tmp_path / "bad"), archives=True)
+    assert not list((tmp_path / "bad").rglob("*.tar.gz"))
+    (tmp_path / "p/.stale.tar.gz").write_bytes(b"of a task that was lost")
+    assert tree.read_tree(spark, str(tmp_path / "p"), archives=True).count() == 3
+
+
+def test_small_files_don_t_take_a_block_each(spark, tmp_path):
+    """A hundred and twenty thousand files of a few bytes take under a hundred bytes each, in archives of bounded size."""
+    made = spark.range(120_000).select(F.concat(F.lit("one/"), "id", F.lit(".txt")).alias("file"), F.col("id").cast("string").alias("text"))
+    tree.write_tree(made.coalesce(1), str(tmp_path), archives=True)
+    held = list(tmp_path.glob("*.tar.gz"))
+    assert len(held) == 3 and sum(f.stat().st_blocks * 512 for f in held) < 120_000 * 100
+    back = tree.read_tree(spark, str(tmp_path), archives=True)
+    assert back.where("file = concat('one/', text, '.txt')").select("file").distinct().count() == 120_000 == back.count()
+
+
+def test_histories_of_one_name_meet(spark):
+    """Word and part of speech can be told apart in two ways; the last stanza has the name."""
+    one, two = "a_b [ME]\nx (c)", "a [ME]\nx (b c)"
+    got = histories.split_histories(rows(spark, ("d/1.txt", one), ("d/2.txt", two))).collect()
+    assert [(r.name, r.word, r.pos) for r in got] == [("a_b_c.txt", "a", "b_c")]
+
+
+def test_tree_histories_packs_its_files(spark, monkeypatch):
+    roots = []
+    monkeypatch.setattr(tree, "write_tree", lambda files, root, archives=False, write=tree.write_tree: (roots.append(root), write(files, root, archives)))
+    got = Q.tree_histories(spark, "/root/testdata/sf0.001").count()
+    held = list(Path(roots[0].removeprefix("file:").replace("///", "/")).rglob("*"))
+    assert got > 1000 and sum(f.is_file() for f in held) < 100
