@@ -13,9 +13,14 @@ verified by a full comparison.  A bucket gives one link for each fingerprint joi
 class), never its pairs.
 
 **Near copies by similarity** (:func:`near_copies`).  Runs of five words at a similarity of 0.8 lie 4 to 18 bits
-apart on the test tables and further where a copy repeats a passage, so no bound on bits is used: buckets come
-from least-hash samples of the same run hashes, and the exact similarity of the run sets decides.  Two leaders of a bucket
-join most of it; then every pair of a bucket that isn't joined is compared, in blocks.
+apart on the test tables and further where a copy repeats a passage.  So the links of fingerprints come first, found as
+above; each is verified by the exact similarity of the run sets.  For the classes they leave, buckets come from
+least-hash samples of the same run hashes: two leaders of a bucket join most of it; then every pair of a bucket that
+isn't joined is compared, in blocks.  The tables of
+pivot distances are of the run sets here: a pivot is all hashes with a certain bit, and the size of a set's symmetric difference
+to it follows from the sum that decides this bit of a fingerprint.  By the triangle inequality a pair whose distances to
+some pivot differ by more than sets of that similarity can is discarded, which loses none; the exact similarity verifies
+the rest.
 
 Cases: null text is empty; without words the fingerprint is zero and links as any other; with fewer words than
 a run the whole sequence is the one run; repeated rows share their class; a null doc_id has no class of its own
@@ -66,14 +71,17 @@ def run_hashes(words: list[str], size: int) -> np.ndarray:
     return np.fromiter((digest(raw[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, len(stops))
 
 
-def fingerprint(hashes: np.ndarray) -> int:
-    if not len(hashes):
-        return 0
+def bit_sums(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set, the highest first."""
     set_bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):
         part = hashes[at : at + 65_536].astype(">u8")
         set_bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * set_bits > len(hashes)).tobytes(), "big")
+    return set_bits
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    return int.from_bytes(np.packbits(2 * bit_sums(hashes) > len(hashes)).tobytes(), "big")
 
 
 def signed(x: int) -> int:
@@ -234,22 +242,42 @@ def text_hash() -> Column:
 
 
 def described(docs: DataFrame, size: int) -> DataFrame:
-    """For each document: hash of its text, content key of its run set, bucket keys and the set (sorted 32-bit run hashes)."""
+    """For each document: hash of its text, content key and fingerprint of its run set, bucket keys, the set (sorted 32-bit run hashes) and its distances to the pivots."""
 
     def run(batches):
         times, plus = _multipliers(KEYS * KEY_ROWS)
         for batch in batches:
-            key, keys, sets = [], [], []
+            key, keys, sets, fp, distances = [], [], [], [], []
             for text in batch.column(1):
                 unique = np.unique(run_hashes(words_of(text.as_py()), size))
+                runs = np.unique((unique >> np.uint64(32)).astype("<u4"))
+                fp.append(signed(fingerprint(unique)))
+                distances.append(set_distances(runs).tobytes())
                 key.append(signed(xxhash.xxh64_intdigest(unique.tobytes())))
                 keys.append(least_hash_keys(unique, times, plus))
-                sets.append(np.unique((unique >> np.uint64(32)).astype("<u4")).tobytes())
-            arrays = [batch.column(0), batch.column(2), pa.array(key, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "same", "key", "keys", "runs"])
+                sets.append(runs.tobytes())
+            arrays = [batch.column(0), batch.column(2), pa.array(key, pa.int64()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary()), pa.array(distances, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "same", "key", "fp", "keys", "runs", "distances"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash().alias("same"))
-    return rows.mapInArrow(run, "doc_id long, same long, key long, keys array<long>, runs binary")
+    return rows.mapInArrow(run, "doc_id long, same long, key long, fp long, keys array<long>, runs binary, distances binary")
+
+
+def set_distances(runs: np.ndarray) -> np.ndarray:
+    """Distances of a set of 32-bit run hashes to PIVOTS pivots, each of all hashes with a certain bit, less the pivot's size.
+
+    The symmetric difference of a set and a pivot has the pivot's members, less the set's that are in it, and the set's others.
+    """
+    return (len(runs) - 2 * bit_sums(runs.astype(np.uint64))[-PIVOTS:]).astype("<i4")
+
+
+def apart(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the pivot distances ``a`` and ``b`` of pairs of sets, of ``sizes`` together, rule ``similarity`` out.
+
+    Sets of that similarity differ by (1 - similarity) / (1 + similarity) of their sizes together at most, and so do
+    their distances to any pivot.
+    """
+    return np.abs(a - b).max(axis=-1) > (1 - similarity) / (1 + similarity) * sizes + 1e-6
 
 
 def similar(a: bytes, b: bytes) -> float:
@@ -261,11 +289,12 @@ def similar(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def block_links(keys: np.ndarray, sets: list[np.ndarray], of: np.ndarray, left: np.ndarray, right: np.ndarray, buckets: np.ndarray, bucket: int, similarity: float) -> list[tuple[int, int]]:
+def block_links(keys: np.ndarray, sets: list[np.ndarray], of: np.ndarray, left: np.ndarray, right: np.ndarray, buckets: np.ndarray, bucket: int, similarity: float, distances: np.ndarray) -> list[tuple[int, int]]:
     """Links of each member in ``left`` to those in ``right`` (masks of two blocks of a bucket, or of one twice).
 
     ``of`` is the class that a member is joined to so far.  A pair that shares several buckets is compared in the
-    first of them only, and of the links found those that join something are given.
+    first of them only, and of the links found those that join something are given.  ``distances`` has the distances
+    to the pivots.
     """
     full = np.flatnonzero([len(s) > 0 for s in sets])  # an empty set is like no other
     while len(full) > 1:
@@ -279,7 +308,7 @@ def block_links(keys: np.ndarray, sets: list[np.ndarray], of: np.ndarray, left:
         full = full[some]
     else:
         return []
-    keys, of, left, right, buckets = keys[full], of[full], left[full], right[full], buckets[full]
+    keys, of, left, right, buckets, distances = keys[full], of[full], left[full], right[full], buckets[full], distances[full]
     parent: dict[int, int] = {}
 
     def find(x):
@@ -292,6 +321,8 @@ def block_links(keys: np.ndarray, sets: list[np.ndarray], of: np.ndarray, left:
         agree = buckets == buckets[i]
         wanted = right & (of != of[i]) & (buckets[np.arange(len(full)), agree.argmax(axis=1)] == bucket) & (~(left & right) | (keys > keys[i]))
         wanted &= np.minimum(sizes, sizes[i]) / np.maximum(sizes, sizes[i]) >= similarity
+        some = np.flatnonzero(wanted)
+        wanted[some] = ~apart(distances[some], distances[i], sizes[some] + sizes[i], similarity)
         if not wanted.any():
             continue
         own = runs[starts[i] : starts[i] + sizes[i]]
@@ -306,6 +337,19 @@ def block_links(keys: np.ndarray, sets: list[np.ndarray], of: np.ndarray, left:
     return out
 
 
+def tabled(distances: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(distances.to_pylist()), "<i4").reshape(-1, PIVOTS)
+
+
+def near_fingerprints(members: DataFrame, radius: int = 2) -> DataFrame:
+    """(a, b): pairs of ``key`` whose fingerprints ``fp`` are equal or linked, a key for each fingerprint standing for the rest."""
+    of_fp = members.groupBy("fp").agg(F.min("key").alias("first"))
+    equal = members.join(of_fp, "fp").where(F.col("key") != F.col("first")).select(F.col("key").alias("a"), F.col("first").alias("b"))
+    side = lambda name, key: of_fp.select(F.col("fp").alias(name), F.col("first").alias(key))
+    near = links(of_fp.select("fp"), radius).toDF("x", "y").join(side("x", "a"), "x").join(side("y", "b"), "y").select("a", "b")
+    return equal.unionByName(near)
+
+
 def links_across(members: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b) for run sets of ``similarity`` or more that share a bucket and that ``roots`` doesn't join.
 
@@ -329,7 +373,7 @@ def links_across(members: DataFrame, roots: DataFrame, sets: DataFrame, similari
         of_block = t["block"].to_numpy()
         sets = [np.frombuffer(r.as_py(), "<u4") for r in t["runs"]]
         left, right = of_block == t["i"][0].as_py(), of_block == t["j"][0].as_py()
-        found = block_links(t["key"].to_numpy(), sets, t["of"].to_numpy(), left, right, np.array(t["keys"].to_pylist(), np.int64), t["bucket"][0].as_py(), similarity)
+        found = block_links(t["key"].to_numpy(), sets, t["of"].to_numpy(), left, right, np.array(t["keys"].to_pylist(), np.int64), t["bucket"][0].as_py(), similarity, tabled(t["distances"]))
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return met.join(sets, "key").groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
@@ -338,12 +382,13 @@ def links_across(members: DataFrame, roots: DataFrame, sets: DataFrame, similari
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, same (hash of the text), key (of the run set), root and component_id for every document, linking run sets of ``similarity`` or more.
 
-    Equal sets share a key and cost one row.  In a bucket each member is first tried with two leaders, drawn anew in
+    Equal sets share a key and cost one row.  Sets of near fingerprints are candidates first.  In a bucket each member is first tried with two leaders, drawn anew in
     each of the KEYS buckets it is in; what they leave in several classes is compared by :func:`links_across`.
     """
     described_rows = rows = written(described(docs, size), "described")
-    distinct = rows.groupBy("key").agg(F.first("keys").alias("keys"), (F.first(F.length("runs")) / 4).cast("long").alias("n"), F.min("doc_id").alias("least"))
+    distinct = rows.groupBy("key").agg(F.first("keys").alias("keys"), F.first("fp").alias("fp"), (F.first(F.length("runs")) / 4).cast("long").alias("n"), F.min("doc_id").alias("least"))
     members = written(distinct, "members")
+    near = written(near_fingerprints(members), "near")
     inside = members.select("key", "n", F.posexplode("keys").alias("number", "bucket"))
     draw = F.struct(F.xxhash64("key", "number").alias("draw"), "key", "n")
     leaders = inside.groupBy("number", "bucket").agg(F.min(draw).alias("first"), F.max(draw).alias("last")).where(F.col("first.key") != F.col("last.key"))
@@ -351,25 +396,28 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     tried = inside.join(leaders, ["number", "bucket"]).where(F.col("key") != F.col("leader.key"))
     # sets of sizes further apart than this can't be alike
     tried = tried.where(F.least("n", "leader.n") / F.greatest("n", "leader.n") >= similarity)
-    pairs = written(tried.select(F.least("key", "leader.key").alias("a"), F.greatest("key", "leader.key").alias("b")).distinct(), "pairs")
+    tried = tried.select("key", F.col("leader.key").alias("other")).unionByName(near.toDF("key", "other"))
+    pairs = written(tried.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), "pairs")
     met = inside.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
-    wanted = inside.join(met, "bucket", "left_semi").select("key").distinct()
+    wanted = inside.join(met, "bucket", "left_semi").select("key").unionByName(near.select(F.explode(F.array("a", "b")).alias("key"))).distinct()
     # copies become one row before the shuffle, so that a large group of them doesn't meet in one task; from here on
-    # only the sets that share a bucket with another are moved
-    sets = written(rows.groupBy("key").agg(F.first("runs").alias("runs"), F.first("keys").alias("keys")).join(wanted, "key", "left_semi"), "sets")
+    # only the sets that share a bucket with another, or have a near fingerprint, are moved
+    sets = written(rows.groupBy("key").agg(F.first("runs").alias("runs"), F.first("keys").alias("keys"), F.first("distances").alias("distances")).join(wanted, "key", "left_semi"), "sets")
     rows = written(rows.select("doc_id", "same", "key"), "keys")
     dropped(described_rows)
-    runs_of = lambda side: sets.select(F.col("key").alias(side), F.col("runs").alias(f"runs_{side}"))
+    runs_of = lambda side: sets.select(F.col("key").alias(side), F.col("runs").alias(f"runs_{side}"), F.col("distances").alias(f"distances_{side}"))
     both = pairs.join(runs_of("a"), "a").join(runs_of("b"), "b")
 
     def verify(batches):
         for batch in batches:
-            ok = [similar(x.as_py(), y.as_py()) >= similarity for x, y in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            sizes = np.array([(len(x.as_py()) + len(y.as_py())) // 4 for x, y in zip(batch.column(2), batch.column(3))], np.int64)
+            left = batch.filter(pa.array(~apart(tabled(batch.column(4)), tabled(batch.column(5)), sizes, similarity)))
+            ok = [similar(x.as_py(), y.as_py()) >= similarity for x, y in zip(left.column(2), left.column(3))]
+            yield pa.RecordBatch.from_arrays([left.column(0), left.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    roots = components(both.select("a", "b", "runs_a", "runs_b").mapInArrow(verify, "a long, b long"))
+    roots = components(both.select("a", "b", "runs_a", "runs_b", "distances_a", "distances_b").mapInArrow(verify, "a long, b long"))
     across = written(links_across(members, roots, sets, similarity), "across")
-    dropped(pairs, sets)
+    dropped(pairs, sets, near)
     if not across.isEmpty():
         first, roots = roots, components(roots.toDF("a", "b").unionByName(across))
         dropped(first)

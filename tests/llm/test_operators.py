@@ -801,6 +801,36 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_near_fingerprints_are_candidates(spark):
+    """Equal fingerprints, and those within two bits, meet through the links of the operator; three bits don't."""
+    members = spark.createDataFrame([(1, 0), (2, 0), (3, 3), (4, -1), (5, -1 ^ (7 << 20))], "key long, fp long")
+    got = {tuple(sorted((r.a, r.b))) for r in simhash.near_fingerprints(members).collect()}
+    assert got == {(1, 2), (1, 3)}
+    assert simhash.near_fingerprints(members.limit(0)).count() == 0
+    texts = spark.createDataFrame([(1, "a b c d e f g"), (2, None)], "doc_id long, text string")
+    made = {r.doc_id: r for r in simhash.described(texts, 5).collect()}
+    runs = np.frombuffer(made[1].runs, "<u4")
+    assert made[2].fp == 0 and made[1].fp == simhash.signed(simhash.fingerprint(simhash.run_hashes("a b c d e f g".split(), 5)))
+    # a distance is that of the symmetric difference, by hand over a universe of three bits' halves
+    for place, bit in ((0, 31), (5, 26), (31, 0)):
+        inside = sum(int(x) >> bit & 1 for x in runs)
+        assert np.frombuffer(made[1].distances, "<i4")[place] == (len(runs) - inside) - inside
+
+
+def test_pivot_distances_of_sets_lose_no_pair():
+    draw, gone = np.random.default_rng(0), 0
+    some = lambda n: draw.integers(0, 2**32, n).astype("<u4")
+    for _ in range(2000):
+        n = int(draw.integers(4, 300))
+        both, more = some(n), n // 4  # a quarter more on one side or on both: a similarity of 0.8 or just above
+        k = int(draw.integers(0, more + 1))
+        x, y, z = np.unique(np.r_[both, some(k)]), np.unique(np.r_[both, some(more - k)]), np.unique(some(n))
+        assert simhash.similar(x.tobytes(), y.tobytes()) >= 0.8
+        assert not simhash.apart(simhash.set_distances(x), simhash.set_distances(y), len(x) + len(y), 0.8)
+        gone += bool(simhash.apart(simhash.set_distances(x), simhash.set_distances(z), len(x) + len(z), 0.8))
+    assert gone > 1000  # and most that have nothing in common are discarded
+
+
 def test_near_copies(spark, docs, none):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = sorted((r.doc_id, r.text) for r in table.collect())
