@@ -335,3 +335,12 @@ def test_families_move_longs(spark, tmp_path):
     ids = spark.createDataFrame([("a",), ("b",)], "id string")
     named, seed = graph._numbered(ids, str(tmp_path))
     assert seed == 42 and named.select("n").distinct().count() == 2 and dict(named.dtypes)["n"] == "bigint"
+
+
+def test_a_last_line_of_another_kind_ends_no_text(spark):
+    """Only line feeds at the very ends go: before a last carriage return they part paragraphs, as in the SQL."""
+    files = spark.createDataFrame([("a", "\n\nx\ny\n\n\r"), ("b", "\n\n"), ("c", ""), ("d", "x\n\n\n \n\ny\n")], "file string, text string")
+    got = {}
+    for r in stanzas.stanzas(files).orderBy("file", "stanza_idx").collect():
+        got.setdefault(r.file, []).append(r.stanza)
+    assert got == {"a": ["x\ny", "\r"], "d": ["x", " ", "y"]}
