@@ -15,6 +15,7 @@ repeated rows repeat; of equal cosines the centroid of the alphabetically first
 
 from __future__ import annotations
 
+import functools
 import itertools
 import zlib
 from dataclasses import dataclass
@@ -79,8 +80,12 @@ class Model:
     floor: np.ndarray  # least cosine accepted, by length bin
 
     def vectors(self, raw: np.ndarray) -> np.ndarray:
-        x = np.log1p(raw) * self.idf
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        """Rows of counts weighted and of length 1; some at a time, so that little but the result is held."""
+        out = np.empty(raw.shape, np.float32)
+        for at in range(0, len(raw), 256):
+            x = np.log1p(raw[at : at + 256].astype(np.float32)) * self.idf
+            out[at : at + 256] = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """(language, score, rejected) of each text."""
@@ -138,7 +143,7 @@ def fit(raw: np.ndarray, labels: list[str], pieces: np.ndarray, seen: np.ndarray
         if mine.any():
             learned(model, x[~mine], y[~mine], k)
             whole[mine] = (x[mine] @ model.centroids.T).max(axis=1)
-            part[mine] = (model.vectors(pieces[mine].astype(np.float32)) @ model.centroids.T).max(axis=1)
+            part[mine] = (model.vectors(pieces[mine]) @ model.centroids.T).max(axis=1)
     learned(model, x, y, k)
     bins = length_bin(np.r_[raw.sum(axis=1), pieces.sum(axis=1)])
     cosines = np.r_[whole, part]
@@ -190,7 +195,7 @@ def train(docs: DataFrame, bound: int = SAMPLE) -> Model:
         condition = condition | ((F.col("lang") == lang) & (F.pmod(draw, F.lit(1_000_000)) < int(1_000_000 * min(1.0, bound / n)) + 1))
 
     def binary(c):
-        return np.minimum(c, 65535).astype("<u2").tobytes()
+        return zlib.compress(np.minimum(c, 65535).astype("<u2").tobytes(), 1)  # most are zeros, and all of them pass the driver
 
     def run(batches):
         for batch in batches:
@@ -203,9 +208,28 @@ def train(docs: DataFrame, bound: int = SAMPLE) -> Model:
 
     chosen = known.where(condition).select(F.col("text").cast("string").alias("text"), "lang", draw.alias("draw")).groupBy("lang", "draw").agg(F.min("text").alias("text"))
     rows = chosen.select("text", "lang").mapInArrow(run, "raw binary, piece binary, lang string").collect()
-    rows = sorted((r.lang, bytes(r.raw), bytes(r.piece)) for r in rows)
-    raw, pieces = (np.frombuffer(b"".join(r[i] for r in rows), "<u2").reshape(-1, WIDTH) for i in (1, 2))
-    return fit(raw.astype(np.float32), [r[0] for r in rows], pieces, document_frequencies(known))
+    raw, pieces, labels = in_order([r.raw for r in rows], [r.piece for r in rows], [r.lang for r in rows])
+    del rows
+    model = fit(raw, labels, pieces, document_frequencies(known))
+    del raw, pieces
+    memory_returned()
+    return model
+
+
+def in_order(raw: list[bytes], pieces: list[bytes], labels: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The counts of compressed rows, sorted by label and counts; the bytes of two rows at a time are held beside the result."""
+    tables = []
+    for column in (raw, pieces):
+        tables.append(np.empty((len(column), WIDTH), "<u2"))
+        for i, x in enumerate(column):
+            tables[-1][i] = np.frombuffer(zlib.decompress(x), "<u2")
+
+    def compared(i: int, j: int) -> int:
+        a, b = ((labels[k], *(t[k].tobytes() for t in tables)) for k in (i, j))
+        return (a > b) - (a < b)
+
+    order = sorted(range(len(labels)), key=functools.cmp_to_key(compared))
+    return tables[0][order], tables[1][order], [labels[i] for i in order]
 
 
 def predictions(docs: DataFrame, model: Model, name: str = "found") -> DataFrame:

@@ -490,6 +490,24 @@ FOREIGN = {
 }
 
 
+def test_language_counts_are_held_once():
+    import tracemalloc
+
+    draw = np.random.default_rng(1)
+    raw = draw.integers(0, 3, (1200, langid.WIDTH)).astype("<u2")
+    labels = [("b", "a")[i % 2] for i in range(len(raw))]
+    rows = [zlib.compress(r.tobytes(), 1) for r in raw]
+    got, pieces, names = langid.in_order(rows, rows[::-1], labels)
+    want = sorted((v, a.tobytes(), b.tobytes()) for v, a, b in zip(labels, raw, raw[::-1]))
+    assert [(v, a.tobytes(), b.tobytes()) for v, a, b in zip(names, got, pieces)] == want
+    model = langid.Model(["a", "b"], np.linspace(1, 2, langid.WIDTH).astype(np.float32), np.zeros((0, langid.WIDTH), np.float32), np.zeros(0, int), np.zeros(16))
+    tracemalloc.start()
+    x = model.vectors(raw)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert x.dtype == np.float32 and np.allclose(np.linalg.norm(x, axis=1), 1, atol=1e-5)
+    assert peak < 2 * x.nbytes  # three times the result before
+
 def test_language_rejects_other_latin_scripts(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(table)
