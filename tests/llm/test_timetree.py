@@ -34,6 +34,25 @@ def test_tree_against_all_pairs(spark):
                     assert (n, s) == (sum(x[4] for x in held), sum(x[5] for x in held))
 
 
+def test_null_values_and_leaves_over_several_batches(spark):
+    draw = random.Random(2)
+    lines = [(draw.choice([None, 0, 7]), draw.randrange(60) * 500_000, draw.randrange(3), draw.randrange(1, 4)) for _ in range(300)]
+    frame = spark.createDataFrame([(*x, draw.randrange(x[3] + 1)) for x in lines], "k long, at long, fold long, n long, s long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size, leaf in ((1, 4), (2, 1 << 18), (7, 8), (1000, 4)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            columns = [T.Encoded("k", F.col("k"), None, leaf), T.Encoded("all", F.lit(0), None, leaf)]
+            found = T.histories(frame, columns, 3)
+            rows = T.with_history(T.with_history(frame, found, columns, "k"), found, columns, "all").collect()
+            assert len(rows) == len(lines)
+            for r in rows:
+                held = [x for x in lines if x[2] != r.fold and x[1] < r.at]
+                assert (r.k_n, r.all_n) == (sum(x[3] for x in held if x[0] == r.k), sum(x[3] for x in held))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_shop_cases(spark):
     t = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
     lines = [(1, 5, 9, "returned"), (1, 5, 9, "returned"), (1, None, 9, None), (2, 5, None, "kept"), (3, 5, 9, "kept"), (None, 5, 9, "kept"), (4, 5, 9, "kept"), (99, 5, 9, "kept"), (6, -1, 9, "kept"), (7, 8, 9, "kept")]
