@@ -344,3 +344,22 @@ def test_a_last_line_of_another_kind_ends_no_text(spark):
     for r in stanzas.stanzas(files).orderBy("file", "stanza_idx").collect():
         got.setdefault(r.file, []).append(r.stanza)
     assert got == {"a": ["x\ny", "\r"], "d": ["x", " ", "y"]}
+
+
+def test_records_are_parsed_in_batches(spark):
+    """No lambda is left to be interpreted for each line, and records don't depend on where a batch ends."""
+    from lexspark.fixtures import FILES
+
+    odd = [("o/five.txt", "a [ME]\nb c d e f g (v)\nh(s (v)"), ("o/six.txt", "a [ME]\nb c d e f g (v)"), ("o/stem.txt", "to x y [ME]\nto x(s (v)\n z(s y(s (intr v)"), ("o/two.txt", "\t [OE]\n[ME] a [MI]\n, . ,b., (n, x)")]
+    files = spark.createDataFrame([*FILES, *odd, ("o/none.txt", None)], "file string, text string")
+    assert "lambdafunction" not in stanzas.parse(files)._jdf.queryExecution().optimizedPlan().toString()
+    whole = {(r.file, r.stanza_idx): r for r in stanzas.parse(files).collect()}
+    assert whole["o/six.txt", 1].warnings == ["over five forms: b c d e f g"] and slots(whole["o/five.txt", 1]) == ["", "-s", "", "", ""]
+    assert slots(whole["o/stem.txt", 1]) == ["y", "ys", "", "", ""]
+    assert [tuple(e) for e in whole["o/two.txt", 1].etymology] == [("a", "ME")] and whole["o/two.txt", 1].reformed_word == ""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+        assert {(r.file, r.stanza_idx): r for r in stanzas.parse(files).collect()} == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
