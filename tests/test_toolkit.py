@@ -363,3 +363,11 @@ def test_records_are_parsed_in_batches(spark):
         assert {(r.file, r.stanza_idx): r for r in stanzas.parse(files).collect()} == whole
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_counts_of_a_lexicon_compose_no_form(spark):
+    files = [("c/can.txt", "can, could, can't [ME]\ncan, coûd, cânt (modal)"), ("c/both.txt", "cat [ME]\ncât -s (m n, adj)"), ("x/x.txt", "ét [ME]\neta (n)\n\nét [ME]\neta (n)")]
+    records = stanzas.parse(spark.createDataFrame(files, "file string, text string"))
+    counted = brain.record_counts(records)
+    assert counted.first() == brain.counts(brain.compile_brain(records), records).first() and counted.first().compiled == 4
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("nfc(") == 1  # the lemma alone
